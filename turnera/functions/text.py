@@ -53,11 +53,10 @@ def clean(text: Column) -> Column:
     sentence = F.trim(F.substring_index(squeeze(present(text)), ".", 1))
     body = F.split(sentence, _CLOSING, 2)[0]
     plain = F.regexp_replace(F.regexp_replace(body, _COURTESY, ""), _NOISE, " ")
-    return F.btrim(squeeze(plain), F.lit(fixed.EDGE_MARKS))
+    return F.btrim(F.regexp_replace(plain, "  +", " "), F.lit(fixed.EDGE_MARKS))
 
 
 def is_usable(message: Column, cleaned: Column) -> Column:
-    """True where a message still says something once it is cleaned."""
-    long_enough = F.char_length(strip(present(message))) >= 3
-    says_something = (F.char_length(cleaned) >= 3) | cleaned.rlike(r"\p{L}")
-    return long_enough & (cleaned != "") & says_something
+    """True where a message of at least three characters still says something when cleaned:
+    three characters, or a letter among fewer."""
+    return (F.char_length(strip(present(message))) >= 3) & cleaned.rlike(r"(?s).{3}|\p{L}")

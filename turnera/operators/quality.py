@@ -60,6 +60,20 @@ def deduplicate(frame: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame
     return ranked.filter("_lugar = 1").drop("_clave", "_lugar")
 
 
+def valid_rows(frame: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """Usable rows without duplicates, cleaning each message once.
+
+    A filter on ``util`` before the window would be pushed below the cleaning and repeat
+    it.  Here unusable rows share one window group instead, which the rank filter thins
+    to a row per task, and they leave after the window.
+    """
+    flagged = with_usable(frame)
+    keys = {f"_k{i}": F.when(F.col("util"), k) for i, k in enumerate(duplicate_key(flagged))}
+    window = Window.partitionBy(*keys).orderBy(*order)
+    ranked = flagged.withColumns(keys).withColumn("_lugar", F.row_number().over(window))
+    return ranked.filter("_lugar = 1 and util").drop(*keys, "_lugar", "util")
+
+
 def collapse(frame: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """One row per patient and text with ``copias``, the number of rows it stands for.
 
@@ -115,7 +129,7 @@ def rejected(frame: DataFrame, valid: DataFrame | None = None, order: Sequence[s
     flagged = with_usable(frame)
     if valid is None:
         narrow = {*order, *(c for c in ("paciente_id",) if c in frame.columns)}
-        valid = deduplicate(flagged.filter("util").select(*narrow, "mensaje_limpio"), order)
+        valid = valid_rows(flagged.select(*narrow, "mensaje_texto", "mensaje_limpio"), order)
     losers = flagged.join(valid.select(*order), list(order), "left_anti")
     reason = F.when(F.col("util"), "duplicado").otherwise("vacio")
     return losers.select(*frame.columns, reason.alias("motivo_rechazo"))

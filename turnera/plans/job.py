@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from turnera import fixed_values as fixed
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans.settings import RunOptions
-from turnera.session import shared_folder
+from turnera.session import shared_folder, spread
 
 # A text held by this share of the rows or more is joined by broadcast: at most 1 / share
 # texts qualify, and their bytes are checked too.
@@ -53,7 +53,7 @@ def processed(
     rate=fixed.RATE_USD_PER_MILLION,
 ) -> DataFrame:
     """The whole row pipeline as one lazy plan, without intermediate tables."""
-    valid = quality.deduplicate(quality.usable(prepare(requests)))
+    valid = quality.valid_rows(prepare(requests))
     valid = fields.extract_fields(valid)
     if engine is None:
         counted = costing.count_variants(translation.untranslated(valid).drop("tokens_ingles"), counter, ("original", "limpio"))
@@ -72,7 +72,7 @@ def run(
     """Process ``requests`` and write results, report tables and, on request, rejects."""
     run_id = uuid.uuid4().hex[:12]
     stage = f"{shared_folder(spark)}/turnera/{run_id}"
-    prepared = prepare(requests)
+    prepared = spread(prepare(requests), *quality.ROW_ORDER)
 
     # 1. Clean, drop duplicates, extract, count what needs no translation.
     collapsed = fields.extract_fields(quality.collapse(prepared))

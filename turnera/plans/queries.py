@@ -14,7 +14,7 @@ from turnera.functions.tokens import bpe_counts, pretoken_counts
 from turnera.glossary import WORDS
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans import job
-from turnera.session import shared_folder
+from turnera.session import shared_folder, spread
 from turnera.sources import requests
 from turnera.sources.readers import consolidate
 
@@ -28,16 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
 def sol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.solicitudes(table(spark, sf_dir, "orders"))
+    return requests.solicitudes(orders(spark, sf_dir))
 
 
 def sol_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.solicitudes(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+    return requests.solicitudes(orders(spark, sf_dir), table(spark, sf_dir, "customer"))
 
 
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     return documents.select(
         F.col("lang").alias("archivo_origen"), F.col("doc_id").alias("fila"),
         F.col("source").alias("paciente_id"), F.col("text").alias("mensaje_texto"),
@@ -46,7 +50,7 @@ def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validated, usable requests, the first of each patient and text."""
-    return quality.deduplicate(quality.usable(job.prepare(sol(spark, sf_dir))))
+    return quality.valid_rows(job.prepare(sol(spark, sf_dir)))
 
 
 def results(spark: SparkSession, sf_dir: str, optimized: bool = True) -> DataFrame:
@@ -92,7 +96,7 @@ def rejected_messages(spark, d):
 
 
 def dedup_messages(spark, d):
-    return valid(spark, d).select(*ID, "paciente_id", "mensaje_limpio")
+    return quality.deduplicate(quality.usable(job.prepare(sol(spark, d)))).select(*ID, "paciente_id", "mensaje_limpio")
 
 
 def collapsed_messages(spark, d):
@@ -242,7 +246,7 @@ def incremental_run(spark, d):
 
 
 def generated_requests(spark, d):
-    return requests.generate_from(table(spark, d, "orders"), "o_orderkey")
+    return requests.generate_from(orders(spark, d), "o_orderkey")
 
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,3 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="turnera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work where an input has fewer splits than there are cores.
+
+    Tables of any size have more splits than that and pass as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.isStreaming or frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, *keys)
