@@ -2,33 +2,29 @@
 
 A rule table stays data (see ``fixed_values``); this module only decides how Spark
 evaluates it.  Both kinds of table are lazy ``CASE WHEN`` chains, so a row pays for the
-rules up to its first hit, and only for those of which it holds a needle.
+rules up to its first hit, and only for those of which it holds a needle.  ``text`` is
+the name of a column in matching form; SQL text keeps building hundreds of conditions
+to one call into the JVM.
 """
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnera import fixed_values as fixed
-from turnera.functions.text import SPACE, WORD, strip
+from turnera.functions.text import SPACE, WORD, sql_text, strip
 
 _EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 
 
-def java_pattern(*patterns: str) -> str:
-    """One Java pattern for any of ``patterns``, all of which begin at a word start."""
-    bodies = []
-    for pattern in patterns:
-        body = pattern.removeprefix(r"\b").replace("(", "(?:")
-        for ours, java in ((r"\b", _EDGE), (r"\w", f"[{WORD}]"), (r"\d", r"\p{Nd}"), (r"\s", f"[{SPACE}]")):
-            body = body.replace(ours, java)
-        bodies.append(body)
-    joined = bodies[0] if len(bodies) == 1 else f"(?:{'|'.join(bodies)})"
-    return rf"(?<![{WORD}]){joined}"
+def java_pattern(pattern: str) -> str:
+    """A rule in Spark's regex dialect; every rule begins at a word start."""
+    body = pattern.removeprefix(r"\b").replace("(", "(?:")
+    for ours, java in ((r"\b", _EDGE), (r"\w", f"[{WORD}]"), (r"\d", r"\p{Nd}"), (r"\s", f"[{SPACE}]")):
+        body = body.replace(ours, java)
+    return rf"(?<![{WORD}]){body}"
 
 
 def needles(pattern: str) -> tuple[str, ...]:
@@ -45,43 +41,45 @@ def needles(pattern: str) -> tuple[str, ...]:
     return max(choices, key=lambda words: min(map(len, words)), default=())
 
 
-def occurs(text: Column, pattern: str) -> Column:
-    """True where the rule matches; a byte search for a needle spares most regex scans."""
-    found = text.rlike(java_pattern(pattern))
-    words = needles(pattern)
-    return reduce(or_, map(text.contains, words)) & found if words else found
+def occurs(text: str, pattern: str) -> str:
+    """SQL condition: the rule matches.  A byte search for a needle spares most regex scans."""
+    found = f"{text} RLIKE {sql_text(java_pattern(pattern))}"
+    words = " OR ".join(f"contains({text}, {sql_text(word)})" for word in needles(pattern))
+    return f"(({words}) AND {found})" if words else found
 
 
-def first_label(text: Column, rules: Mapping[str, Sequence[str]], vetoes: Sequence[str] = ()) -> Column:
+def first_label(text: str, rules: Mapping[str, Sequence[str]], vetoes: Sequence[str] = ()) -> Column:
     """The first label, in table order, one of whose patterns occurs anywhere in ``text``."""
     labelled = ({"": vetoes} if vetoes else {}) | dict(rules)
-    chain = F
-    for label, patterns in labelled.items():
-        chain = chain.when(reduce(or_, (occurs(text, p) for p in patterns)), label)
-    return chain.otherwise("")
+    cases = (
+        f"WHEN {' OR '.join(occurs(text, p) for p in patterns)} THEN {sql_text(label)}"
+        for label, patterns in labelled.items()
+    )
+    return F.expr(f"CASE {' '.join(cases)} ELSE '' END")
 
 
-def first_match(text: Column, rules: Sequence[str]) -> Column:
+def first_match(text: str, rules: Sequence[str]) -> Column:
     """The text matched by the first rule that occurs anywhere: rule order beats position."""
-    chain = F
-    for rule in rules:
-        chain = chain.when(occurs(text, rule), strip(F.regexp_extract(text, java_pattern(rule), 0)))
-    return chain.otherwise("")
+    cases = (
+        f"WHEN {occurs(text, rule)} THEN regexp_extract({text}, {sql_text(java_pattern(rule))}, 0)"
+        for rule in rules
+    )
+    return strip(F.expr(f"CASE {' '.join(cases)} ELSE '' END"))
 
 
-def action(text: Column) -> Column:
+def action(text: str) -> Column:
     return first_label(text, fixed.ACTION_RULES, fixed.ACTION_VETOES)
 
 
-def specialty(text: Column) -> Column:
+def specialty(text: str) -> Column:
     return first_label(text, fixed.SPECIALTY_RULES)
 
 
-def requested_date(text: Column) -> Column:
+def requested_date(text: str) -> Column:
     return first_match(text, fixed.DATE_RULES)
 
 
-def preferred_time(text: Column) -> Column:
+def preferred_time(text: str) -> Column:
     return first_match(text, fixed.TIME_RULES)
 
 

@@ -23,6 +23,11 @@ _CLOSING = rf"(?iu) (?:{'|'.join(fixed.CLOSINGS)})(?![{WORD}])"
 _NOISE = rf"[^{WORD} {re.escape(fixed.KEPT_MARKS)}]"
 
 
+def sql_text(value: str) -> str:
+    """A string literal for a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
     return F.btrim(text, F.lit(SPACE_CHARS))

@@ -18,7 +18,7 @@ def extract_fields(frame: DataFrame, fields: Sequence[str] = EXTRACTED_COLUMNS)
     folded = frame.withColumn("_t", matching_form(present(F.col("mensaje_texto"))))
     columns = {}
     for field in fields:
-        value = EXTRACTORS[field](F.col("_t"))
+        value = EXTRACTORS[field]("_t")
         if field in frame.columns:
             given = F.col(field).cast("string")
             value = F.when(strip(present(given)) != "", given).otherwise(value)

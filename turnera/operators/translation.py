@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnera import fixed_values as fixed
-from turnera.functions.text import present, strip
+from turnera.functions.text import present, sql_text, strip
 
 MEMO_SCHEMA = (
     "cache_key string, texto_origen string, texto_destino string, motor string, "
@@ -59,9 +59,10 @@ def _in_batches(translate: Batches) -> Callable[[Column], Column]:
 
 def glossary_engine(words: dict[str, str], name: str = "glosario") -> Engine:
     """Word-for-word translation by a small dictionary; unknown words stay."""
+    entries = ", ".join(f"{sql_text(word)}, {sql_text(meaning)}" for word, meaning in words.items())
 
     def column(source: Column) -> Column:
-        table = F.create_map(*(F.lit(side) for pair in words.items() for side in pair))
+        table = F.expr(f"map({entries})")
         translated = F.transform(F.split(source, " "), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w))
         return F.array_join(translated, " ")
 

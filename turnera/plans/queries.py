@@ -96,7 +96,7 @@ def rejected_messages(spark, d):
 
 
 def dedup_messages(spark, d):
-    return quality.deduplicate(quality.usable(job.prepare(sol(spark, d)))).select(*ID, "paciente_id", "mensaje_limpio")
+    return valid(spark, d).select(*ID, "paciente_id", "mensaje_limpio")
 
 
 def collapsed_messages(spark, d):
@@ -110,7 +110,7 @@ def preprocess_stats(spark, d):
 def _extracted(field: str):
     def query(spark, d):
         folded = sol(spark, d).select(*ID, text.matching_form(text.present(F.col("mensaje_texto"))).alias("_t"))
-        return folded.select(*ID, rules.EXTRACTORS[field](F.col("_t")).alias(field))
+        return folded.select(*ID, rules.EXTRACTORS[field]("_t").alias(field))
 
     return query
 

@@ -9,6 +9,8 @@ nothing but its key and the seed, so any partitioning gives the same table.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnera.functions.text import sql_text
+
 # --- words of the derived view: one phrase per rule, in rule order ------------
 
 GREETINGS = ("Hola, ", "Buenos días, ", "Buenas tardes, por favor ", "¡Hola! ", "")
@@ -69,7 +71,7 @@ REPEATED = (
 
 
 def _pick(words: tuple[str, ...], index: str) -> Column:
-    return F.element_at(F.array(*map(F.lit, words)), F.expr(f"cast({index} + 1 as int)"))
+    return F.expr(f"element_at(array({', '.join(map(sql_text, words))}), cast({index} + 1 as int))")
 
 
 def solicitudes(orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:
@@ -134,14 +136,13 @@ FILLER = ("casa", "tiempo", "grupo", "parte", "mundo", "forma", "punto", "lugar"
 EMPTY_PERCENT = 10
 
 
-def _share(digest: str, start: int, digits: int, size: int) -> Column:
+def _share(digest: str, start: int, digits: int, size: int) -> str:
     """A number below ``size`` from some hex digits of a digest column."""
-    number = F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
-    return (number % size).cast("int")
+    return f"cast(conv(substring({digest}, {start}, {digits}), 16, 10) as bigint) % {size}"
 
 
 def _chosen(words: tuple[str, ...], digest: str, start: int, digits: int = 8) -> Column:
-    return F.element_at(F.array(*map(F.lit, words)), _share(digest, start, digits, len(words)) + 1)
+    return _pick(words, _share(digest, start, digits, len(words)))
 
 
 def generate_from(keys: DataFrame, key: str, seed: int = 42, first_day: str = "2025-01-01") -> DataFrame:
@@ -150,8 +151,8 @@ def generate_from(keys: DataFrame, key: str, seed: int = 42, first_day: str = "2
         *(F.md5(F.concat_ws(":", F.lit(f"{seed}{part}"), F.col(key).cast("string"))).alias(part) for part in "abc")
     )
     filler = F.concat_ws(" ", *(_chosen(FILLER, "c", 1 + 4 * i, 4) for i in range(8)))
-    day = F.date_add(F.lit(first_day).cast("date"), 2 + _share("b", 9, 8, 29))
-    message = F.when(_share("b", 17, 8, 100) < EMPTY_PERCENT, "").otherwise(
+    day = F.expr(f"date_add(date'{first_day}', cast(2 + {_share('b', 9, 8, 29)} as int))")
+    message = F.when(F.expr(_share("b", 17, 8, 100)) < EMPTY_PERCENT, "").otherwise(
         F.concat(_chosen(TEMPLATES, "b", 25), F.lit(" "), F.initcap(F.substring_index(filler, " ", 1)),
                  F.lit(" "), F.substring_index(filler, " ", -7), F.lit("."))
     )
