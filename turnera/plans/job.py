@@ -8,7 +8,9 @@ and a lost executor costs only its own tasks.
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from turnera import fixed_values as fixed
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans.settings import RunOptions
-from turnera.session import shared_folder, spread
+from turnera.session import shared_folder, ship_package, spread
 
 # A text held by this share of the rows or more is joined by broadcast: at most 1 / share
 # texts qualify, and their bytes are checked too.
@@ -70,6 +72,7 @@ def run(
     on_metrics: Callable[[dict], None] | None = None,
 ) -> RunResult:
     """Process ``requests`` and write results, report tables and, on request, rejects."""
+    ship_package(spark)
     run_id = uuid.uuid4().hex[:12]
     stage = f"{shared_folder(spark)}/turnera/{run_id}"
     prepared = spread(prepare(requests), *quality.ROW_ORDER)
@@ -141,9 +144,11 @@ def _write_report(cell: DataFrame, document: DataFrame, options: RunOptions) ->
         "proyeccion": report.projection(cell, options.messages_per_day, rate=options.rate),
         "comparacion": report.variant_comparison(cell, options.rate),
     }
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{options.output_path}/{name}")
-    document.write.mode("overwrite").option("ignoreNullFields", False).json(f"{options.output_path}/agregados")
+    writes = [partial(t.write.mode("overwrite").parquet, f"{options.output_path}/{name}") for name, t in tables.items()]
+    body = document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False)
+    writes.append(partial(body.json, f"{options.output_path}/agregados"))
+    with ThreadPoolExecutor(len(writes)) as pool:  # small, independent jobs
+        list(pool.map(lambda write: write(), writes))
 
 
 def export(results: DataFrame, path: str, kind: str) -> None:
@@ -157,10 +162,11 @@ def export(results: DataFrame, path: str, kind: str) -> None:
         results.write.mode("overwrite").option("header", True).format(kind).save(path)
 
 
-def read_memo(spark: SparkSession, path: str) -> DataFrame:
-    """The memo, empty if it does not exist yet."""
+def read_memo(spark: SparkSession, path: str, but: str = "") -> DataFrame:
+    """The memo, empty if it does not exist yet, without what run ``but`` wrote."""
     try:
-        return spark.read.schema(translation.MEMO_SCHEMA).parquet(path).drop("corrida")
+        memo = spark.read.schema(f"{translation.MEMO_SCHEMA}, corrida string").parquet(path)
+        return memo.filter(F.col("corrida") != but).drop("corrida")
     except AnalysisException as absent:
         if absent.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -14,7 +14,7 @@ from turnera.functions.tokens import bpe_counts, pretoken_counts
 from turnera.glossary import WORDS
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans import job
-from turnera.session import shared_folder, spread
+from turnera.session import shared_folder, ship_package, spread
 from turnera.sources import requests
 from turnera.sources.readers import consolidate
 
@@ -131,6 +131,7 @@ def pretoken_messages(spark, d):
 
 
 def bpe_token_counts(spark, d):
+    ship_package(spark)
     cleaned = quality.with_clean(doc(spark, d))
     return costing.count_variants(cleaned, bpe_counts(), ("original", "limpio")).select(
         *ID, "tokens_original", "tokens_limpio"

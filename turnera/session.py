@@ -1,5 +1,7 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,19 @@ def with_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "turnera"), "zip", root, "turnera")
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -145,9 +145,13 @@ def _chosen(words: tuple[str, ...], digest: str, start: int, digits: int = 8) ->
     return _pick(words, _share(digest, start, digits, len(words)))
 
 
-def generate_from(keys: DataFrame, key: str, seed: int = 42, first_day: str = "2025-01-01") -> DataFrame:
-    """One synthetic request per row of ``keys``, all columns strings."""
+def generate_from(
+    keys: DataFrame, key: str, seed: int = 42, first_day: str = "2025-01-01", row: str | None = None
+) -> DataFrame:
+    """One synthetic request per row of ``keys``, all columns strings; ``row`` keeps the key."""
+    kept = [F.col(key).alias(row)] if row else []
     digests = keys.select(
+        *kept,
         *(F.md5(F.concat_ws(":", F.lit(f"{seed}{part}"), F.col(key).cast("string"))).alias(part) for part in "abc")
     )
     filler = F.concat_ws(" ", *(_chosen(FILLER, "c", 1 + 4 * i, 4) for i in range(8)))
@@ -157,6 +161,7 @@ def generate_from(keys: DataFrame, key: str, seed: int = 42, first_day: str = "2
                  F.lit(" "), F.substring_index(filler, " ", -7), F.lit("."))
     )
     return digests.select(
+        *([row] if row else []),
         F.upper(F.substring("a", 1, 8)).alias("id_paciente"),
         F.concat_ws(" ", _chosen(FIRST_NAMES, "a", 9), _chosen(LAST_NAMES, "a", 17)).alias("paciente"),
         _chosen(CITIES, "a", 25).alias("ciudad"),

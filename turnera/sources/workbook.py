@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from turnera.fixed_values import MISSING_CELL_TEXTS
 from turnera.operators.columns import canonical_places
+from turnera.session import ship_package
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -33,6 +34,7 @@ SHEET_NAME = "Resultados"
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(WorkbookSource)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from turnera.operators import columns, costing, fields, quality, translation
 from turnera.plans.job import prepare, read_memo
 from turnera.plans.settings import RunOptions
+from turnera.session import ship_package
 
 KEYS_SCHEMA = "clave_sha string, lote bigint"
 
@@ -49,6 +50,7 @@ def read_stream(
 
 def start(requests: DataFrame, options: StreamOptions, on_metrics: Callable[[int, dict], None] | None = None) -> StreamingQuery:
     """Run a stream of requests until what is there now has been processed."""
+    ship_package(requests.sparkSession)
     cleaned = quality.with_usable(prepare(requests))
     watched = cleaned.observe(
         "volumen", F.count("*").alias("filas_leidas"), F.count_if(~F.col("util")).alias("filas_descartadas_vacio")
@@ -84,7 +86,8 @@ def process_batch(batch: DataFrame, number: int, options: StreamOptions) -> dict
     valid = valid.drop("clave_sha")
 
     if run.optimize_tokens:
-        memo = read_memo(spark, run.memo_path) if run.memo_path else None
+        # A second attempt must see the memo as the first one did.
+        memo = read_memo(spark, run.memo_path, but=f"lote_{number}") if run.memo_path else None
         texts = translation.distinct_texts(valid)
         translated = translation.translations(texts, run.engine, memo, partitions=run.translate_partitions)
         table = _written(translated, f"{home}/traducciones/lote={number}")
