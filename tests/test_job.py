@@ -9,6 +9,7 @@ from turnera.functions.tokens import bpe_counts, pretoken_counts
 from turnera.operators import columns, quality
 from turnera.plans import job, queries
 from turnera.plans.settings import RunOptions
+from turnera.session import shuffles_sized_for, spread
 from turnera.sources import readers, workbook
 from tests.conftest import SMALL
 
@@ -44,7 +45,7 @@ def test_without_translation(spark, table, tmp_path):
 def test_run_equals_the_lazy_plan(spark, tmp_path, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(job, "HOT_SHARE", 0)
-        monkeypatch.setattr(job, "max", lambda *_: 5, raising=False)
+        monkeypatch.setattr(job, "HOT_ROWS", 5)
     requests = queries.sol_with_names(spark, SMALL)
     run = job.run(spark, requests, RunOptions(str(tmp_path / "out"), str(tmp_path / "memo"), rejects=True))
     lazy = queries.results_contract(spark, SMALL)
@@ -60,6 +61,8 @@ def test_second_run_translates_nothing(spark, table, tmp_path):
     job.run(spark, table(FOUR), options)
     first = job.read_memo(spark, options.memo_path)
     assert first.count() == 2 and first.columns[0] == "cache_key"
+    job.compact_memo(spark, options.memo_path, str(tmp_path / "compact"))
+    assert sorted(job.read_memo(spark, str(tmp_path / "compact")).collect()) == sorted(first.collect())
     again = job.run(spark, table([*FOUR, ("P9", "Deseo postergar")]), options)
     assert job.read_memo(spark, options.memo_path).count() == 3
     assert again.results.count() == 3
@@ -92,3 +95,18 @@ def test_row_data_is_shuffled_once_before_translation(spark):
     plan = job.processed(queries.sol(spark, SMALL), pretoken_counts, queries.GLOSSARY)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(_k") == 1 and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_shuffles_grow_with_the_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    with shuffles_sized_for(spark.range(0, 1000, 1, 50)) as wanted:
+        assert wanted == 25 and spark.conf.get(key) == "25"
+    assert spark.conf.get(key, None) is None
+    with shuffles_sized_for(spark.range(0, 10, 1, 2)) as wanted:
+        assert wanted == 4
+
+
+def test_spread_leaves_split_inputs_alone(spark):
+    assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 4
+    many = spark.range(0, 10, 1, 9)
+    assert spread(many, "id") is many

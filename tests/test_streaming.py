@@ -28,7 +28,10 @@ def options(tmp_path, **more):
 def process(spark, inbox, choice):
     counts = {}
     stream = incremental.read_stream(spark, str(inbox), SCHEMA, files_per_batch=1)
-    incremental.start(stream, choice, counts.__setitem__).awaitTermination()
+    query = incremental.start(stream, choice, counts.__setitem__)
+    query.awaitTermination()
+    observed = [p["observedMetrics"]["volumen"] for p in query.recentProgress if p["numInputRows"]]
+    assert [o["filas_leidas"] for o in observed] == [c["filas_leidas"] for c in counts.values()]
     return counts
 
 

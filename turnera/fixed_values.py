@@ -219,3 +219,14 @@ MISSING_CELL_TEXTS = frozenset(
         "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
     )
 )
+
+# --- generated requests ------------------------------------------------------
+
+CLINIC_SPECIALTIES = (
+    "Cardiología", "Dermatología", "Ginecología y Obstetricia", "Neurología", "Oftalmología",
+    "Ortopedia y Traumatología", "Pediatría", "Otorrinolaringología", "Gastroenterología",
+    "Urología", "Medicina General", "Endocrinología",
+)
+
+EMPTY_MESSAGE_PERCENT = 10
+FIRST_DAY_AHEAD, LAST_DAY_AHEAD = 2, 30

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from turnera import fixed_values as fixed
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans.settings import RunOptions
-from turnera.session import shared_folder, ship_package, spread
+from turnera.session import shared_folder, ship_package, shuffles_sized_for, spread
 
 # A text held by this share of the rows or more is joined by broadcast: at most 1 / share
-# texts qualify, and their bytes are checked too.
+# texts qualify, and their bytes are checked too.  No text below HOT_ROWS is worth it.
 HOT_SHARE = 1 / 200
+HOT_ROWS = 1_000
 HOT_BYTES = 64 * 1024 * 1024
 
 
@@ -73,12 +74,18 @@ def run(
 ) -> RunResult:
     """Process ``requests`` and write results, report tables and, on request, rejects."""
     ship_package(spark)
+    with shuffles_sized_for(requests):
+        return _run(spark, requests, options, on_metrics)
+
+
+def _run(spark: SparkSession, requests: DataFrame, options: RunOptions, on_metrics) -> RunResult:
     run_id = uuid.uuid4().hex[:12]
     stage = f"{shared_folder(spark)}/turnera/{run_id}"
     prepared = spread(prepare(requests), *quality.ROW_ORDER)
 
     # 1. Clean, drop duplicates, extract, count what needs no translation.
-    collapsed = fields.extract_fields(quality.collapse(prepared))
+    wanted = [c for c in prepared.columns if c in quality.ROW_ORDER or c in fixed.RESULT_COLUMNS]
+    collapsed = fields.extract_fields(quality.collapse(prepared.select(*wanted)))
     early = ("original",) if options.optimize_tokens else ("original", "limpio")
     valid = _written(costing.count_variants(collapsed, options.counter, early), f"{stage}/validas")
     stats = quality.require_rows(quality.collapsed_stats(valid).first().asDict())
@@ -124,7 +131,7 @@ def run(
 
 
 def _map_back(valid: DataFrame, table: DataFrame, rows: int) -> DataFrame:
-    hot_from = max(1_000, int(rows * HOT_SHARE))
+    hot_from = max(HOT_ROWS, int(rows * HOT_SHARE))
     size = F.sum(F.octet_length("texto_origen") + F.octet_length("texto_destino"))
     hot = table.filter(F.col("veces") >= hot_from).agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()
     if 0 < hot.bytes <= HOT_BYTES:
@@ -173,6 +180,11 @@ def read_memo(spark: SparkSession, path: str, but: str = "") -> DataFrame:
         return spark.createDataFrame([], translation.MEMO_SCHEMA)
 
 
+def compact_memo(spark: SparkSession, path: str, target: str) -> None:
+    """Write what is still worth keeping of a memo, one entry per text, to a new place."""
+    translation.fresh(read_memo(spark, path)).write.mode("overwrite").parquet(f"{target}/corrida=compacta")
+
+
 def latest_aggregates(spark: SparkSession, output_path: str) -> DataFrame:
     """The aggregates document of the last run, with the time it was written."""
     read = spark.read.json(f"{output_path}/agregados")

@@ -3,6 +3,8 @@
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,21 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     if frame.isStreaming or frame.rdd.getNumPartitions() >= cores:
         return frame
     return frame.repartition(cores, *keys)
+
+
+@contextmanager
+def shuffles_sized_for(frame: DataFrame) -> Iterator[int]:
+    """Let shuffles start with a partition for every two input splits, if that is more
+    than the session asks for; adaptive execution merges those that turn out small.
+
+    Adaptive execution never splits an evenly large partition, so the usual fixed number
+    would leave a very large input with partitions beyond any executor's memory.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = conf.get(key, None)
+    wanted = max(int(before or conf.get("spark.sql.shuffle.partitions")), frame.rdd.getNumPartitions() // 2)
+    conf.set(key, str(wanted))
+    try:
+        yield wanted
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)

@@ -34,39 +34,46 @@ def discover(spark: SparkSession, path: str, kind: str = "xlsx") -> list[str]:
 
 
 def read_requests(
-    spark: SparkSession, path: str, kind: str = "xlsx", order: str | None = None, same_header: bool = False
+    spark: SparkSession,
+    path: str,
+    kind: str = "xlsx",
+    order: str | None = None,
+    same_header: bool = False,
+    options: dict | None = None,
 ) -> DataFrame:
     """All requests at ``path``, every cell a string, with ``archivo_origen`` and ``fila``.
 
     Parquet files and workbooks number their rows; csv and json need ``order``, a column
     that does.  Names are settled per header before the union, so files that spell a
     column differently meet in one.  ``same_header`` reads a folder whose files all agree
-    as one scan, without looking at each of them first.
+    as one scan, without looking at each of them first.  ``options`` go to Spark's reader:
+    csv is read with quoted line breaks, which keeps a file in one task; where messages
+    have none, ``{"multiLine": False}`` lets large files be split.
     """
     files = discover(spark, path, kind)
     if kind == "xlsx":
         return read_workbooks(spark, files)
     if order is None and kind != "parquet":
         raise InputError(f"{kind} rows have no position: name a column that orders them")
-    groups = [files] if same_header else _by_header(spark, kind, files)
-    return consolidate(_with_provenance(_scan(spark, kind, group), order) for group in groups)
+    groups = [files] if same_header else _by_header(spark, kind, files, options)
+    return consolidate(_with_provenance(_scan(spark, kind, group, options), order) for group in groups)
 
 
-def _by_header(spark: SparkSession, kind: str, files: Sequence[str]) -> list[list[str]]:
+def _by_header(spark: SparkSession, kind: str, files: Sequence[str], options: dict | None) -> list[list[str]]:
     groups: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(8) as pool:
-        for file, header in zip(files, pool.map(lambda f: tuple(_scan(spark, kind, [f]).columns), files)):
+        for file, header in zip(files, pool.map(lambda f: tuple(_scan(spark, kind, [f], options).columns), files)):
             groups.setdefault(header, []).append(file)
     return list(groups.values())
 
 
-def _scan(spark: SparkSession, kind: str, files: Sequence[str]) -> DataFrame:
-    options = {
+def _scan(spark: SparkSession, kind: str, files: Sequence[str], options: dict | None) -> DataFrame:
+    usual = {
         "csv": {"header": True, "multiLine": True, "escape": '"'},
         "json": {"primitivesAsString": True},
         "parquet": {},
     }[kind]
-    return spark.read.options(**options).format(kind).load(list(files))
+    return spark.read.options(**(usual | (options or {}))).format(kind).load(list(files))
 
 
 def _with_provenance(frame: DataFrame, order: str | None) -> DataFrame:

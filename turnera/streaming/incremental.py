@@ -80,8 +80,7 @@ def process_batch(batch: DataFrame, number: int, options: StreamOptions) -> dict
         earlier = _earlier_keys(spark, f"{home}/claves", number)
         # Keys of this batch are the small side: they thin the history before it moves.
         seen = earlier.join(valid.select("clave_sha"), "clave_sha", "left_semi").distinct()
-        valid = valid.join(seen, "clave_sha", "left_anti")
-    valid = _written(valid, f"{home}/nuevas/lote={number}")
+        valid = _written(valid.join(seen, "clave_sha", "left_anti"), f"{home}/nuevas/lote={number}")
     valid.select("clave_sha").write.mode("overwrite").parquet(f"{home}/claves/lote={number}")
     valid = valid.drop("clave_sha")
 
