@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from turnera.functions.text import strip
 from turnera.operators import columns, costing, fields, quality, translation
 from turnera.plans.job import prepare, read_memo
 from turnera.plans.settings import RunOptions
-from turnera.session import ship_package
+from turnera.session import ship_package, spread
 
 KEYS_SCHEMA = "clave_sha string, lote bigint"
 
@@ -49,31 +50,35 @@ def read_stream(
 
 
 def start(requests: DataFrame, options: StreamOptions, on_metrics: Callable[[int, dict], None] | None = None) -> StreamingQuery:
-    """Run a stream of requests until what is there now has been processed."""
+    """Run a stream of requests until what is there now has been processed.
+
+    ``on_metrics`` gets the exact counts of a batch before its results are written; the
+    query's own progress shows ``volumen``, rows and blank messages, while it reads.
+    """
     ship_package(requests.sparkSession)
-    cleaned = quality.with_usable(prepare(requests))
-    watched = cleaned.observe(
-        "volumen", F.count("*").alias("filas_leidas"), F.count_if(~F.col("util")).alias("filas_descartadas_vacio")
-    )
+    frame = prepare(requests)
+    blank = F.count_if(strip(F.col("mensaje_texto")) == "").alias("mensajes_en_blanco")
+    watched = frame.observe("volumen", F.count("*").alias("filas_leidas"), blank)
 
     def process(batch: DataFrame, number: int) -> None:
-        counts = process_batch(batch, number, options)
-        if on_metrics:
-            on_metrics(number, counts)
+        process_batch(batch, number, options, on_metrics)
 
     writer = watched.writeStream.foreachBatch(process).option("checkpointLocation", options.checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
-def process_batch(batch: DataFrame, number: int, options: StreamOptions) -> dict:
-    """One micro-batch: duplicates, fields, translation, costs, results; returns its counts."""
+def process_batch(
+    batch: DataFrame, number: int, options: StreamOptions, on_metrics: Callable[[int, dict], None] | None = None
+) -> None:
+    """One micro-batch: duplicates, fields, translation, costs, results."""
     spark, run = batch.sparkSession, options.run
     home = f"{run.output_path}/lotes"
-    collapsed = fields.extract_fields(quality.collapse(batch))
+    collapsed = fields.extract_fields(quality.collapse(spread(batch, *quality.ROW_ORDER)))
     patient_and_text = F.to_json(F.struct(*quality.duplicate_key(collapsed)), {"ignoreNullFields": "false"})
     collapsed = collapsed.withColumn("clave_sha", F.sha2(patient_and_text, 256))
     accepted = _written(collapsed, f"{home}/validas/lote={number}")
-    counts = quality.collapsed_stats(accepted).first().asDict()
+    if on_metrics:
+        on_metrics(number, quality.collapsed_stats(accepted).first().asDict())
     valid = accepted.filter("util").drop("util", "copias")
 
     if options.across_batches:
@@ -99,7 +104,6 @@ def process_batch(batch: DataFrame, number: int, options: StreamOptions) -> dict
         counted = counted.withColumn("tokens_ingles", F.lit(None).cast("int"))
     results = columns.result_contract(costing.price_rows(counted, run.rate))
     results.write.mode("overwrite").parquet(f"{run.output_path}/resultados/lote={number}")
-    return counts
 
 
 def _written(frame: DataFrame, path: str) -> DataFrame:
