@@ -18,7 +18,7 @@ SPACE_CHARS = "".join(
 )
 
 _STARTS = "".join(sorted({phrase[0] for phrase in fixed.COURTESIES}))
-_COURTESY = rf"(?iu)(?=[{_STARTS}])(?<![{WORD}])(?:{'|'.join(fixed.COURTESIES)})(?![{WORD}])"
+_COURTESY = rf"(?iu)(?<![{WORD}])(?=[{_STARTS}])(?:{'|'.join(fixed.COURTESIES)})(?![{WORD}])"
 _CLOSING = rf"(?iu) (?:{'|'.join(fixed.CLOSINGS)})(?![{WORD}])"
 _NOISE = rf"[^{WORD} {re.escape(fixed.KEPT_MARKS)}]"
 
@@ -55,7 +55,7 @@ def matching_form(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """First sentence of a message, without courtesies, closing formulas and noise."""
-    sentence = F.trim(F.substring_index(squeeze(present(text)), ".", 1))
+    sentence = squeeze(F.substring_index(present(text), ".", 1))
     body = F.split(sentence, _CLOSING, 2)[0]
     plain = F.regexp_replace(F.regexp_replace(body, _COURTESY, ""), _NOISE, " ")
     return F.btrim(F.regexp_replace(plain, "  +", " "), F.lit(fixed.EDGE_MARKS))

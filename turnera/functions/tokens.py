@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnera.functions.text import SPACE, present
+from turnera.session import ship_package
 
 PRETOKEN = rf"\p{{L}}+|\p{{N}}{{1,3}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
@@ -61,7 +62,11 @@ def bpe_counts(rank_file: str | None = None, split: str | None = None) -> TokenC
             flat = pa.array(sizes, pa.int32()).take(texts.indices)
             yield pa.ListArray.from_arrays(_offsets(batch), flat)
 
-    return lambda *texts: counts(F.array(*map(present, texts)))
+    def counter(*texts: Column) -> Column:
+        ship_package(SparkSession.active())
+        return counts(F.array(*map(present, texts)))
+
+    return counter
 
 
 def _offsets(lists: pa.ListArray) -> pa.Array:
