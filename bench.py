@@ -7,8 +7,8 @@ complete runs of the batch job on generated requests, tables written and report
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from turnera.functions.tokens import bpe_counts  # noqa: E402
 from turnera.plans import job, queries  # noqa: E402
 from turnera.plans.settings import RunOptions  # noqa: E402
-from turnera.session import with_defaults  # noqa: E402
+from turnera.session import shared_folder, with_defaults  # noqa: E402
 from turnera.sources import requests  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -50,7 +50,7 @@ def run_query(spark: SparkSession, name: str) -> None:
 
 
 def run_job(spark: SparkSession, optimized: bool) -> None:
-    home = tempfile.mkdtemp(prefix="bench-")
+    home = f"{shared_folder(spark)}/bench/{uuid.uuid4().hex}"
     table = requests.generate_from(queries.orders(spark, SF_DIR), "o_orderkey", row="fila")
     placed = table.selectExpr("'generadas' AS archivo_origen", "*")
     options = RunOptions(f"{home}/out", f"{home}/memo", optimize_tokens=optimized, counter=bpe_counts())

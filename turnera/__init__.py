@@ -1,0 +1 @@
+"""Analytics of free-text appointment requests as Spark DataFrame operators."""

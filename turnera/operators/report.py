@@ -6,6 +6,7 @@ its shuffle as small as the number of different values.
 """
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,22 +158,22 @@ def aggregates_document(
     by_variant = projection(cell, messages_per_day, rate=rate).groupBy("variante").agg(period.alias("periodos"))
     periods = by_variant.agg(F.map_from_entries(F.collect_list(F.struct("variante", "periodos"))).alias("proyeccion"))
     parts = [
+        head,
         averages,
         _as_map(action_distribution(cell), "accion", "distribucion_acciones", most_values),
         _as_map(specialty_distribution(cell), "especialidad", "distribucion_especialidades", most_values),
         periods,
         stats.select(F.struct(*stats.columns).alias("preprocesamiento")),
     ]
-    document = head.withColumn("_", F.lit(0))
-    for part in parts:  # every part is one row
-        document = document.join(part.withColumn("_", F.lit(0)), "_")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)  # one row each
+    document = rows.agg(*(F.first(c, ignorenulls=True).alias(c) for part in parts for c in part.columns))
     meta = F.struct(
         F.lit(engine).alias("motor_traduccion"),
         F.lit(optimized).alias("optimizar_tokens"),
         F.lit(float(rate)).alias("tarifa_usd_por_millon"),
         F.lit(messages_per_day).alias("mensajes_por_dia_proyeccion"),
     )
-    return document.drop("_").withColumn("_meta", meta)
+    return document.withColumn("_meta", meta)
 
 
 def _as_map(table: DataFrame, key: str, name: str, most: int) -> DataFrame:

@@ -16,8 +16,6 @@ DEFAULTS = {
     # The JVM never compiles methods beyond 8000 bytes; the rule chains then run faster
     # as many small methods than inside one stage-wide method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Messages may be long: bound an Arrow batch by bytes as well as by rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 
