@@ -106,13 +106,13 @@ class Counts:
         self.whole = dict.fromkeys(proof.whole, 1)
         self.costs = dict(self.whole)
         self.split = regex.compile(SPLIT).findall
-        self.foreign = regex.compile(f"[{regex.escape(proof.foreign)}]").search if proof.foreign else lambda text: None
+        self.foreign = frozenset(proof.foreign)
         special = [t["content"] for t in json.loads(proof.library)["added_tokens"]]
         special.sort(key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))).split if special else lambda text: [text]
 
     def of(self, text: str) -> int:
-        if self.foreign(text):
+        if not (text.isascii() or self.foreign.isdisjoint(text)):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         parts = self.special(text)
         return len(parts) - 1 + sum(map(self.part, parts))
