@@ -32,6 +32,9 @@ from turnera.session import ship_package
 # White space of the split, and the split of byte-level vocabularies with it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+#: The letter by which a byte-level vocabulary writes a byte: itself if visible, else one from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 #: No letters, digits or spaces are assigned outside these ranges.
 ASSIGNED = (range(0xD800), range(0xE000, 0x33480), range(0xE0000, 0xE0200))
 #: Costs of distinct pre-tokens that a worker keeps beside the proved ones.
@@ -103,6 +106,7 @@ class Counts:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(proof.library)
+        self.merge = self.library.model.tokenize
         self.whole = dict.fromkeys(proof.whole, 1)
         self.costs = dict(self.whole)
         self.split = regex.compile(SPLIT).findall
@@ -124,8 +128,8 @@ class Counts:
             if len(costs) > len(self.whole) + KEPT:
                 costs = self.costs = dict(self.whole)
                 rest = [p for p in times if p not in costs]
-            merged = self.library.encode_batch_fast(rest, add_special_tokens=False)
-            costs.update(zip(rest, map(len, merged)))
+            merge, letters = self.merge, LETTERS
+            costs.update((p, len(merge(p.encode().decode("latin-1").translate(letters)))) for p in rest)
         return sum(n * costs[p] for p, n in times.items())
 
 
