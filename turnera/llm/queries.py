@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.llm import decontamination, sharding, simhash, token_counts, topk, url_filter
+from turnera.llm import decontamination, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
 from turnera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("piece_bpe_32k.model")
+    coded = sentencepiece_codec.with_text(sentencepiece_codec.with_ids(docs, model), model)
+    back = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), back.alias("round_trip"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.filter("id % 100 = 0"), vectors, k=10)
@@ -56,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_topk": op5_topk,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
