@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.llm import decontamination, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
+from turnera.llm import decontamination, quality, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
 from turnera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("id % 100 = 0"), vectors, k=10)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "source", "lang", *quality.OUTPUTS)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), size=3, differing=3)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_topk": op5_topk,
+    "op6_quality": op6_quality,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }

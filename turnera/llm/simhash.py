@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, require, stored, text_of
+from turnera.llm.common import require, stored, text_of
 from turnera.llm.components import components
 from turnera.session import ship_package
 
@@ -213,11 +213,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     require(docs, key, text)
     ship_package(docs.sparkSession)
     rows = stored(docs.select(F.col(f"`{key}`").alias("_key"), fingerprint(text_of(text), size).alias("fingerprint")), "fingerprints")
-    return with_components(rows, differing).select(F.col("_key").alias(key), hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+    return with_components(rows, differing).drop("root").select(F.col("_key").alias(key), hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def with_components(rows: DataFrame, differing: int = 3) -> DataFrame:
-    """Add ``component_id`` to stored rows (_key, fingerprint, ...)."""
+    """Add ``root``, the group's smallest fingerprint, and ``component_id`` to stored rows (_key, fingerprint, ...)."""
     joined = components(links(rows, differing))
     smallest = rows.groupBy("fingerprint").agg(F.min("_key").alias("least"))
     labelled = smallest.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
@@ -225,6 +225,35 @@ def with_components(rows: DataFrame, differing: int = 3) -> DataFrame:
     # A root may stand for very many fingerprints, and a fingerprint for very many rows.
     salt = F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS))
     every = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt")
-    named = labelled.withColumn("salt", salt).join(roots.select("*", every), ["root", "salt"]).select("fingerprint", "component_id")
+    named = labelled.withColumn("salt", salt).join(roots.select("*", every), ["root", "salt"]).select("fingerprint", "root", "component_id")
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
     return dealt.join(named.select("*", every), ["fingerprint", "salt"]).drop("salt")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, differing: int = 3) -> DataFrame:
+    """One row of each group, columns as they were: that with the smallest key, null keys last.
+
+    Of rows with that key the one with the smallest text digest stays, and of rows alike in
+    key and text any one.
+    """
+    require(docs, key, text)
+    ship_package(docs.sparkSession)
+    digest = F.xxhash64(text_of(text))
+    rows = stored(docs.select(F.col(f"`{key}`").alias("_key"), digest.alias("_digest"), fingerprint(text_of(text), size).alias("fingerprint")), "fingerprints")
+    grouped = with_components(rows, differing).groupBy("root", "_key", "_digest").agg(F.count("*").alias("copies"))
+    grouped = stored(grouped, "grouped")
+    first = F.min(F.struct(F.isnull("_key").alias("none"), "_key", "_digest")).alias("first")
+    # Groups of one row decide nothing; a group may hold most rows, so its winner is met by salt.
+    larger = grouped.groupBy("root").agg(first, F.count("*").alias("n")).filter("n > 1")
+    salted = larger.select("root", "first", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    members = grouped.withColumn("salt", F.pmod(F.xxhash64("_key", "_digest"), F.lit(SALTS))).join(salted, ["root", "salt"])
+    stays = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_digest") == F.col("first._digest"))
+    gone = stored(members.filter(~stays).select(F.col("_key").alias("_gone"), F.col("_digest").alias("_gone_digest")), "gone")
+    kept = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")
+    repeated = grouped.filter("copies > 1").select(F.col("_key").alias("_again"), F.col("_digest").alias("_again_digest"))
+    if repeated.isEmpty():
+        return kept
+    again = stored(repeated, "repeated")
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_again")) & (digest == F.col("_again_digest"))
+    several = kept.join(again, same, "left_semi").withColumn("_d", digest)
+    return kept.join(again, same, "left_anti").union(several.dropDuplicates([key, "_d"]).drop("_d"))
