@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.llm import decontamination, quality, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
+from turnera.llm import decontamination, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
 from turnera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "source", "lang", *quality.OUTPUTS)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), size=3, differing=3)
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
+    "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }
