@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.llm import decontamination, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
+from turnera.llm import decontamination, license_scan, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
 from turnera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "source", "lang", *quality.OUTPUTS)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.with_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    surest = F.sort_array(F.transform("notices", lambda n: F.struct(-n["probability"], n["family"].alias("family"))))[0]
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"]))), ",").alias("families"),
+        F.when(F.size("notices") > 0, surest["family"]).alias("license"),
+        F.array_max(F.transform("notices", lambda n: n["probability"])).alias("probability"),
+        F.array_max(F.transform("notices", lambda n: n["similarity"])).alias("similarity"),
+    )
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(table(spark, sf_dir, "documents"))
 
@@ -75,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
