@@ -158,7 +158,7 @@ def _varied(random, words: list[str], filler: list[str]) -> list[str]:
     if len(own) > 12 and random.random() < 0.4:
         start = int(random.integers(0, len(own) // 2))
         own = own[start : start + max(10, len(own) // 2)]
-    extra = [filler[i] for i in random.integers(0, len(filler), int(random.integers(0, 12)))] if filler and random.random() < 0.5 else []
+    extra = [filler[i] for i in random.integers(0, len(filler), int(random.integers(0, WINDOW)))] if filler and random.random() < 0.6 else []
     split = int(random.integers(0, len(extra) + 1))
     return extra[:split] + own + extra[split:]
 
