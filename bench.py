@@ -24,7 +24,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 HEADLINE = (
-    "clean_messages", "pretoken_counts", "bpe_token_counts", "clean_and_extract", "dedup_messages",
+    "clean_messages", "pretoken_counts", "clean_and_extract", "dedup_messages",
     "preprocess_stats", "rejected_messages", "distinct_texts", "memo_translations", "translate_glossary",
     "row_costs", "totals_and_savings", "cost_projection", "dist_especialidades", "results_contract",
     "generated_requests",
@@ -36,6 +36,7 @@ def session() -> SparkSession:
     for key, value in {
         "spark.sql.shuffle.partitions": CPUS,
         "spark.driver.memory": "16g",
+        "turnera.min_partitions": CPUS,  # the tables are single small files
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }.items():
@@ -53,7 +54,7 @@ def run_job(spark: SparkSession, optimized: bool) -> None:
     home = f"{shared_folder(spark)}/bench/{uuid.uuid4().hex}"
     table = requests.generate_from(queries.orders(spark, SF_DIR), "o_orderkey", row="fila")
     placed = table.selectExpr("'generadas' AS archivo_origen", "*")
-    options = RunOptions(f"{home}/out", f"{home}/memo", optimize_tokens=optimized, counter=bpe_counts())
+    options = RunOptions(f"{home}/out", f"{home}/memo", optimize_tokens=optimized, counter=bpe_counts(), min_partitions=int(CPUS))
     job.run(spark, placed, options)
 
 

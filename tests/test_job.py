@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from turnera import fixed_values as fixed
 from turnera.functions.tokens import bpe_counts, pretoken_counts
-from turnera.operators import columns, quality
+from turnera.operators import columns, quality, translation
 from turnera.plans import job, queries
 from turnera.plans.settings import RunOptions
-from turnera.session import shuffles_sized_for, spread
+from turnera.session import at_least, shared_folder, wanted_partitions
 from turnera.sources import readers, workbook
 from tests.conftest import SMALL
 
 FOUR = [
-    ("P1", "Quiero confirmar mi cita de cardiologia para el lunes."),
-    ("P2", "Necesito cancelar la cita, no asistire."),
+    ("P1", "Les confirmo la visita de cardiologia del lunes."),
+    ("P2", "Hay que anular la hora que tenia pedida."),
     ("P3", ""),
     ("P4", "hola"),
 ]
@@ -41,11 +41,9 @@ def test_without_translation(spark, table, tmp_path):
     assert latest.n_procesadas == 2 and latest.ultima_ejecucion is not None
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_run_equals_the_lazy_plan(spark, tmp_path, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(job, "HOT_SHARE", 0)
-        monkeypatch.setattr(job, "HOT_ROWS", 5)
+@pytest.mark.parametrize("pieces", [200, 5])
+def test_run_equals_the_lazy_plan(spark, tmp_path, monkeypatch, pieces):
+    monkeypatch.setattr(translation, "PIECES", pieces)
     requests = queries.sol_with_names(spark, SMALL)
     run = job.run(spark, requests, RunOptions(str(tmp_path / "out"), str(tmp_path / "memo"), rejects=True))
     lazy = queries.results_contract(spark, SMALL)
@@ -97,16 +95,47 @@ def test_row_data_is_shuffled_once_before_translation(spark):
     assert text.count("Exchange hashpartitioning(_k") == 1 and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_shuffles_grow_with_the_input(spark):
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    with shuffles_sized_for(spark.range(0, 1000, 1, 50)) as wanted:
-        assert wanted == 25 and spark.conf.get(key) == "25"
-    assert spark.conf.get(key, None) is None
-    with shuffles_sized_for(spark.range(0, 10, 1, 2)) as wanted:
-        assert wanted == 4
+def test_partitions_are_dealt_out_on_request_only(spark):
+    frame = spark.range(0, 10, 1, 1)
+    assert at_least(frame, None, "id") is frame
+    assert at_least(frame, 4, "id").rdd.getNumPartitions() == 4
 
 
-def test_spread_leaves_split_inputs_alone(spark):
-    assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 4
-    many = spark.range(0, 10, 1, 9)
-    assert spread(many, "id") is many
+def test_wanted_partitions_come_from_the_plan_alone(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    frame = spark.range(0, 1_000_000).withColumn("k", F.col("id") % 7).groupBy("k").count()
+    assert wanted_partitions(frame, 1 << 20) >= 1
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup()) == list(before)
+
+
+def test_computed_columns_of_the_input_are_ignored(spark, table, tmp_path):
+    plain = job.run(spark, table(FOUR), RunOptions(str(tmp_path / "a"), rejects=True))
+    stale = table(FOUR).withColumns({c: F.lit("STALE") for c in (*columns.COMPUTED, "_t", "_clave")})
+    again = job.run(spark, stale, RunOptions(str(tmp_path / "b"), rejects=True))
+    assert sorted(again.results.collect()) == sorted(plain.results.collect())
+    assert sorted(again.rejects.collect()) == sorted(plain.rejects.collect())
+
+
+def test_metrics_come_before_the_table_and_stages_go(spark, table, tmp_path):
+    out, seen = tmp_path / "out", []
+    run = job.run(spark, table(FOUR), RunOptions(str(out)), lambda document: seen.append((out / "resultados").exists()))
+    assert seen == [False] and run.results.count() == 2
+    assert not Path(shared_folder(spark).removeprefix("file:"), "turnera", run.run_id).exists()
+
+
+def test_rejects_are_complete_on_repeated_and_null_row_identity(spark, tmp_path):
+    schema = "archivo_origen string, fila bigint, paciente_id string, mensaje_texto string"
+    for rows in (
+        [("a", 1, "P1", "Deseo anular la hora"), ("a", 1, "P1", "deseo anular la HORA"), ("a", 1, "P2", ""), ("a", 1, "P3", "")],
+        [("a", None, "P1", "Deseo anular la hora"), ("a", None, "P1", "Deseo anular la hora"), (None, 2, "P2", "x"), (None, None, "P4", "Pido hora")],
+    ):
+        run = job.run(spark, spark.createDataFrame(rows, schema), RunOptions(str(tmp_path / str(rows[0][1])), rejects=True))
+        assert run.stats["filas_leidas"] == 4 == run.results.count() + run.rejects.count()
+        reasons = dict(run.rejects.groupBy("motivo_rechazo").count().collect())
+        assert reasons.get("duplicado", 0) == run.stats["duplicados_eliminados"] and reasons["vacio"] == run.stats["filas_descartadas_vacio"]
+
+
+def test_totals_read_no_rules(spark):
+    for query in (queries.totals_and_savings, queries.avg_tokens, queries.cost_projection, queries.variant_comparison):
+        plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert next(iter(fixed.SPECIALTY_RULES.values()))[0] not in plan and fixed.DATE_RULES[0] not in plan

@@ -44,7 +44,7 @@ def test_collapse_keeps_first_and_counts_copies(table):
 
 
 def test_rejects_are_everything_else(table):
-    rows = quality.rejected(job.prepare(table(ROWS))).collect()
+    rows = quality.rejected(quality.numbered(job.prepare(table(ROWS))).checkpoint()).collect()
     assert sorted((r.fila, r.motivo_rechazo) for r in rows) == [
         (1, "duplicado"), (3, "vacio"), (4, "vacio"), (6, "duplicado"), (7, "vacio"), (9, "vacio"),
     ]

@@ -64,9 +64,22 @@ def test_document(spark, results):
     document = report.aggregates_document(report.cells(results), stats, "glosario")
     assert document.count() == 1
     body = json.loads(document.select(F.to_json(F.struct("*")).alias("j")).first().j)
-    assert body["distribucion_acciones"] == {"(sin accion)": 1, "cancelar": 1, "confirmar": 1}
     assert body["proyeccion"]["original"]["diario"]["mensajes"] == 15_000
     assert body["preprocesamiento"]["filas_leidas"] == 9
     assert body["_meta"] == {"motor_traduccion": "glosario", "optimizar_tokens": True, "tarifa_usd_por_millon": 2.5, "mensajes_por_dia_proyeccion": 15000}
-    long = report.aggregates_document(report.cells(results), stats, most_values=2).first()
-    assert long.distribucion_acciones is None and report.action_distribution(report.cells(results)).count() == 3
+
+
+def test_rows_of_the_report_are_complete_at_any_cardinality(spark):
+    many = spark.range(12_000).select(F.lit("a").alias("accion"), F.concat(F.lit("e"), "id").alias("especialidad"), *(F.lit(1).alias(f"tokens_{v}") for v in ("original", "limpio", "ingles")))
+    stats = spark.createDataFrame([(9, 3, 3, 3)], "filas_leidas bigint, filas_descartadas_vacio bigint, duplicados_eliminados bigint, filas_validas bigint")
+    rows = report.aggregates_rows(report.cells(many), stats)
+    assert rows.filter("seccion = 'distribucion_especialidades'").count() == 12_000
+    assert {r.valor for r in rows.filter("seccion = 'distribucion_acciones'").collect()} == {12_000.0}
+    assert report.aggregates_document(report.cells(many), stats).first().n_procesadas == 12_000
+
+
+def test_sums_by_text_equal_sums_by_row(spark):
+    valid = spark.createDataFrame([("a", "x", "t1", 3), ("a", "x", "t1", 4), ("b", "", "t2", 5)], "accion string, especialidad string, mensaje_limpio string, tokens_original int")
+    table = spark.createDataFrame([("t1", 2, 1), ("t2", 7, None)], "texto_origen string, tokens_limpio int, tokens_ingles int")
+    by_row = valid.join(table.withColumnRenamed("texto_origen", "mensaje_limpio"), "mensaje_limpio")
+    assert sorted(report.cells_of_texts(valid, table).collect()) == sorted(report.cells(by_row).collect())

@@ -65,3 +65,14 @@ def test_a_repeated_batch_replaces_itself(spark, inbox, tmp_path):
         incremental.process_batch(columns.validated(batch), 0, choice)
     assert results(spark, tmp_path) == [("P1", "Quiero cancelar mi cita")]
     assert job.read_memo(spark, choice.run.memo_path).count() == 1
+
+
+def test_streams_with_one_output_keep_both(spark, inbox, tmp_path):
+    process(spark, inbox[0], options(tmp_path))
+    first = results(spark, tmp_path)
+    other = incremental.StreamOptions(RunOptions(str(tmp_path / "out"), str(tmp_path / "memo")), str(tmp_path / "control2"))
+    process(spark, inbox[0], other)
+    assert results(spark, tmp_path) == sorted(first * 2)
+    third = incremental.StreamOptions(RunOptions(str(tmp_path / "out"), str(tmp_path / "memo")), str(tmp_path / "control3"), across_batches=True)
+    process(spark, inbox[0], third)
+    assert results(spark, tmp_path) == sorted(first * 2)

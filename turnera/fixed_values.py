@@ -222,11 +222,5 @@ MISSING_CELL_TEXTS = frozenset(
 
 # --- generated requests ------------------------------------------------------
 
-CLINIC_SPECIALTIES = (
-    "Cardiología", "Dermatología", "Ginecología y Obstetricia", "Neurología", "Oftalmología",
-    "Ortopedia y Traumatología", "Pediatría", "Otorrinolaringología", "Gastroenterología",
-    "Urología", "Medicina General", "Endocrinología",
-)
-
 EMPTY_MESSAGE_PERCENT = 10
 FIRST_DAY_AHEAD, LAST_DAY_AHEAD = 2, 30

@@ -46,6 +46,18 @@ def validated(frame: DataFrame) -> DataFrame:
     return frame.transform(normalize_columns).transform(require_columns).transform(with_message)
 
 
+#: What the operators compute or use on the way; an input's own columns of these names are dropped.
+COMPUTED = (
+    "mensaje_limpio", "mensaje_ingles", *(f"{kind}_{v}" for kind in ("tokens", "costo_estimado") for v in fixed.VARIANTS),
+    "util", "copias", "clave", "clave_sha", "veces", "cache_key", "texto_origen", "texto_destino", "motor", "nuevo", "motivo_rechazo",
+)
+
+
+def without_computed(frame: DataFrame) -> DataFrame:
+    """An earlier run's results must not pass for this one's; names with a leading underscore are reserved."""
+    return frame.drop(*COMPUTED, *(c for c in frame.columns if c.startswith("_")))
+
+
 def result_contract(frame: DataFrame) -> DataFrame:
     """Exactly the result columns, in order; absent ones are null, others are dropped."""
     return frame.select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnera.functions import text
 
 ROW_ORDER = ("archivo_origen", "fila")
+ROW_NUMBER = "_numero"
 
 
 class NoUsableRowsError(ValueError):
@@ -26,7 +27,9 @@ def with_clean(frame: DataFrame) -> DataFrame:
 
 
 def with_usable(frame: DataFrame) -> DataFrame:
-    """Add ``mensaje_limpio`` and the flag ``util``."""
+    """Add ``mensaje_limpio`` and the flag ``util`` unless they are already there."""
+    if "util" in frame.columns:
+        return frame
     usable = text.is_usable(F.col("mensaje_texto"), text.present(F.col("mensaje_limpio")))
     return with_clean(frame).withColumn("util", usable)
 
@@ -82,14 +85,18 @@ def collapse(frame: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     bounds what a map task sends to one row per key.
     """
     flagged = with_usable(frame)
-    keys = [F.when(F.col("util"), k) for k in duplicate_key(flagged)]
-    names = [f"_k{i}" for i in range(len(keys))]
-    keyed = flagged.withColumns(dict(zip(names, keys)))
+    keyed = flagged.withColumn("_clave", F.when(F.col("util"), digest(flagged)))
     first = F.min_by(F.struct(*flagged.columns), F.struct(*order)).alias("fila_primera")
-    grouped = keyed.groupBy("util", *names).agg(first, F.count("*").alias("copias"))
+    grouped = keyed.groupBy("util", "_clave").agg(first, F.count("*").alias("copias"))
     return grouped.select("fila_primera.*", "copias")
 
 
+def digest(frame: DataFrame) -> Column:
+    """``duplicate_key`` in 64 characters, so that a group's key does not carry a third copy of the text."""
+    parts = (F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("")) for k in duplicate_key(frame))
+    return F.sha2(F.to_json(F.array(*parts)), 256)
+
+
 def stats(frame: DataFrame) -> DataFrame:
     """One row: rows read, discarded as empty, removed as duplicates, valid."""
     flagged = with_usable(frame)
@@ -120,16 +127,22 @@ def require_rows(counts: dict) -> dict:
     return counts
 
 
-def rejected(frame: DataFrame, valid: DataFrame | None = None, order: Sequence[str] = ROW_ORDER) -> DataFrame:
-    """Every input row that is not valid, with ``motivo_rechazo``.
+def numbered(frame: DataFrame) -> DataFrame:
+    """Flag each row and number it; to be written before use, as the numbers hold for that table."""
+    return with_usable(frame).withColumn(ROW_NUMBER, F.monotonically_increasing_id())
 
-    The join runs on the row identity, which no two rows share, so a message that
-    repeats endlessly is spread over all tasks.
+
+def rejected(rows: DataFrame, valid: DataFrame | None = None, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """Every row that is not valid, with ``motivo_rechazo``; ``rows`` is a stored ``numbered`` table.
+
+    The join runs on the row number, which no two rows share and none lacks, whatever the
+    input's own order columns hold; a message that repeats endlessly is spread over all tasks.
     """
-    flagged = with_usable(frame)
     if valid is None:
-        narrow = {*order, *(c for c in ("paciente_id",) if c in frame.columns)}
-        valid = valid_rows(flagged.select(*narrow, "mensaje_texto", "mensaje_limpio"), order)
-    losers = flagged.join(valid.select(*order), list(order), "left_anti")
+        patient = [c for c in ("paciente_id",) if c in rows.columns]
+        narrow = rows.select(*{*order, *patient, ROW_NUMBER}, "mensaje_texto", "mensaje_limpio", "util")
+        valid = valid_rows(narrow, [*order, ROW_NUMBER])
+    losers = rows.join(valid.select(ROW_NUMBER), ROW_NUMBER, "left_anti")
     reason = F.when(F.col("util"), "duplicado").otherwise("vacio")
-    return losers.select(*frame.columns, reason.alias("motivo_rechazo"))
+    kept = [c for c in rows.columns if c not in ("mensaje_limpio", "util", ROW_NUMBER)]
+    return losers.select(*kept, reason.alias("motivo_rechazo"))

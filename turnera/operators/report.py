@@ -17,11 +17,33 @@ from turnera.functions.money import cost, projected_cost, projected_tokens
 RATE = fixed.RATE_USD_PER_MILLION
 
 
+def _sums() -> list[Column]:
+    tokens = [F.coalesce(F.sum(f"tokens_{v}"), F.lit(0)).alias(f"tokens_{v}") for v in fixed.VARIANTS]
+    return [F.count("*").alias("n"), F.count("tokens_ingles").alias("n_ingles"), *tokens]
+
+
 def cells(results: DataFrame) -> DataFrame:
     """Counts and token sums per action and specialty."""
-    tokens = [F.coalesce(F.sum(f"tokens_{v}"), F.lit(0)).alias(f"tokens_{v}") for v in fixed.VARIANTS]
-    return results.groupBy("accion", "especialidad").agg(
-        F.count("*").alias("n"), F.count("tokens_ingles").alias("n_ingles"), *tokens
+    return results.groupBy("accion", "especialidad").agg(*_sums())
+
+
+def whole(results: DataFrame) -> DataFrame:
+    """The same sums over all rows, for reports without a distribution: no field has to be extracted."""
+    return results.agg(*_sums())
+
+
+def cells_of_texts(valid: DataFrame, translated: DataFrame) -> DataFrame:
+    """``cells`` before the rows meet their translation: rows are summed by text first.
+
+    ``valid`` counts the original's tokens, ``translated`` those of clean and English text.
+    """
+    by_text = valid.groupBy("accion", "especialidad", "mensaje_limpio").agg(F.count("*").alias("n"), F.sum("tokens_original").alias("tokens_original"))
+    tokens = translated.select(F.col("texto_origen").alias("mensaje_limpio"), "tokens_limpio", "tokens_ingles")
+    met = by_text.join(tokens, "mensaje_limpio", "left")
+    times = {v: F.coalesce(F.sum(F.col("n") * F.col(f"tokens_{v}")), F.lit(0)).alias(f"tokens_{v}") for v in ("limpio", "ingles")}
+    return met.groupBy("accion", "especialidad").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("tokens_ingles").isNotNull(), F.col("n"))), F.lit(0)).alias("n_ingles"),
+        F.sum("tokens_original").alias("tokens_original"), times["limpio"], times["ingles"],
     )
 
 
@@ -142,29 +164,21 @@ def aggregates_document(
     optimized: bool = True,
     messages_per_day: int = fixed.MESSAGES_PER_DAY,
     rate: Decimal = RATE,
-    most_values: int = 10_000,
 ) -> DataFrame:
-    """The whole report as one row of nested columns, ready for ``to_json``.
+    """The parts of the report that have a fixed size, as one row of nested columns.
 
-    A distribution with more than ``most_values`` values is null here; its long table
-    (``action_distribution``, ``specialty_distribution``) always holds all of it.
+    Distributions have as many values as the requests do; ``aggregates_rows`` holds them.
     """
     sums = totals_and_savings(cell, rate)
     names = [f"{kind}_{v}" for kind in ("tokens", "costo") for v in fixed.VARIANTS]
     savings = [f"{v}_{kind}" for v in ("limpio", "ingles") for kind in ("absoluto", "pct")]
     head = sums.select("n_procesadas", F.struct(*names).alias("totales"), F.struct(*savings).alias("ahorro"))
     averages = average_tokens(cell).select(F.struct(*fixed.VARIANTS).alias("promedio_tokens_por_mensaje"))
+    # Three variants of four periods.
     period = F.map_from_entries(F.collect_list(F.struct("periodo", F.struct("mensajes", "tokens", "costo"))))
     by_variant = projection(cell, messages_per_day, rate=rate).groupBy("variante").agg(period.alias("periodos"))
     periods = by_variant.agg(F.map_from_entries(F.collect_list(F.struct("variante", "periodos"))).alias("proyeccion"))
-    parts = [
-        head,
-        averages,
-        _as_map(action_distribution(cell), "accion", "distribucion_acciones", most_values),
-        _as_map(specialty_distribution(cell), "especialidad", "distribucion_especialidades", most_values),
-        periods,
-        stats.select(F.struct(*stats.columns).alias("preprocesamiento")),
-    ]
+    parts = [head, averages, periods, stats.select(F.struct(*stats.columns).alias("preprocesamiento"))]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)  # one row each
     document = rows.agg(*(F.first(c, ignorenulls=True).alias(c) for part in parts for c in part.columns))
     meta = F.struct(
@@ -176,8 +190,31 @@ def aggregates_document(
     return document.withColumn("_meta", meta)
 
 
-def _as_map(table: DataFrame, key: str, name: str, most: int) -> DataFrame:
-    """One row with the table as a map, or null if it has more than ``most`` rows."""
-    some = table.limit(most + 1)
-    entries = F.map_from_entries(F.collect_list(F.struct(key, "n")))
-    return some.agg(F.when(F.count("*") <= most, entries).alias(name))
+def aggregates_rows(
+    cell: DataFrame, stats: DataFrame, messages_per_day: int = fixed.MESSAGES_PER_DAY, rate: Decimal = RATE
+) -> DataFrame:
+    """The whole report as rows ``seccion``, ``clave``, ``valor``: complete for any number of values."""
+    sums = totals_and_savings(cell, rate)
+    named = {
+        "totales": {f"{kind}_{v}": f"{kind}_{v}" for kind in ("tokens", "costo") for v in fixed.VARIANTS},
+        "ahorro": {f"{v}_{kind}": f"{v}_{kind}" for v in ("limpio", "ingles") for kind in ("absoluto", "pct")},
+        "procesadas": {"n_procesadas": "n_procesadas"},
+    }
+    parts = [_long(sums, section, names) for section, names in named.items()]
+    parts.append(_long(average_tokens(cell), "promedio_tokens_por_mensaje", {v: v for v in fixed.VARIANTS}))
+    parts.append(_long(stats, "preprocesamiento", {c: c for c in stats.columns}))
+    for section, table, key in (
+        ("distribucion_acciones", action_distribution(cell), "accion"),
+        ("distribucion_especialidades", specialty_distribution(cell), "especialidad"),
+    ):
+        parts.append(table.select(F.lit(section).alias("seccion"), F.col(key).alias("clave"), F.col("n").cast("double").alias("valor")))
+    periods = projection(cell, messages_per_day, rate=rate)
+    figures = F.array(*(F.struct(F.lit(c).alias("que"), F.col(c).cast("double").alias("valor")) for c in ("mensajes", "tokens", "costo")))
+    inlined = periods.select("variante", "periodo", F.inline(figures))
+    parts.append(inlined.select(F.lit("proyeccion").alias("seccion"), F.concat_ws(".", "variante", "periodo", "que").alias("clave"), "valor"))
+    return reduce(DataFrame.union, parts)
+
+
+def _long(row: DataFrame, section: str, names: dict[str, str]) -> DataFrame:
+    pairs = F.array(*(F.struct(F.lit(key).alias("clave"), F.col(c).cast("double").alias("valor")) for key, c in names.items()))
+    return row.select(F.lit(section).alias("seccion"), F.inline(pairs))

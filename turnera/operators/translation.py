@@ -104,13 +104,18 @@ def lookup(texts: DataFrame, memo: DataFrame, now: datetime | None = None) -> Da
     The short key alone could collide, so the join takes the source text as well; both
     sides hold each text once.
     """
-    known = fresh(memo, now).select("cache_key", "texto_origen", "texto_destino", "motor")
+    known = fresh(_asked(memo, texts), now).select("cache_key", "texto_origen", "texto_destino", "motor")
     return texts.join(known, ["cache_key", "texto_origen"], "left")
 
 
+def _asked(memo: DataFrame, texts: DataFrame) -> DataFrame:
+    """The entries of these texts: a run's keys thin the memo before it is ordered, however long its history."""
+    return memo.join(texts.select("cache_key", "texto_origen"), ["cache_key", "texto_origen"], "left_semi")
+
+
 def misses(texts: DataFrame, memo: DataFrame, now: datetime | None = None) -> DataFrame:
     """Texts the memo does not know."""
-    known = fresh(memo, now).select("cache_key", "texto_origen")
+    known = fresh(_asked(memo, texts), now).select("cache_key", "texto_origen")
     return texts.join(known, ["cache_key", "texto_origen"], "left_anti")
 
 
@@ -154,28 +159,32 @@ def memo_entries(translated: DataFrame, ttl_days: int = fixed.MEMO_TTL_DAYS, now
     )
 
 
-def map_back(frame: DataFrame, translated: DataFrame) -> DataFrame:
-    """Give every row the translation of its text, or the text itself.
-
-    A plain left join: adaptive execution broadcasts a small right side and splits the
-    partition of a text that very many rows share.
-    """
-    right = translated.withColumnRenamed("texto_origen", "mensaje_limpio")
-    return _filled(frame.join(right, "mensaje_limpio", "left"))
+#: A text in more than 1 / PIECES of the rows is met in pieces; at most PIECES texts are.
+PIECES = 200
 
 
-def map_back_split(frame: DataFrame, translated: DataFrame, hot_from: int) -> DataFrame:
-    """``map_back`` with texts of ``hot_from`` rows or more joined by broadcast.
+def map_back(frame: DataFrame, translated: DataFrame) -> DataFrame:
+    """Give every row the translation of its text, or the text itself.
 
-    ``translated`` carries ``veces``, so there are at most rows / ``hot_from`` such texts;
-    no other text can fill a shuffle partition.
+    One join for every size.  Texts that hold more than 1 / PIECES of the rows (``veces``) are
+    listed by a 64-bit hash with the number of pieces they need; the list, at most PIECES
+    entries, is broadcast, their rows are dealt over the pieces and their translations
+    repeated in each.
     """
     right = translated.withColumnRenamed("texto_origen", "mensaje_limpio")
-    hot = F.broadcast(right.filter(F.col("veces") >= hot_from))
-    cold = right.filter(F.col("veces") < hot_from)
-    rest = frame.join(hot.select("mensaje_limpio"), "mensaje_limpio", "left_anti")
-    both = frame.join(hot, "mensaje_limpio").unionByName(rest.join(cold, "mensaje_limpio", "left"))
-    return _filled(both)
+    counts = translated.select(F.xxhash64("texto_origen").alias("_h"), "veces")
+    total = counts.agg(F.sum("veces")).scalar()
+    hot = counts.filter(F.col("veces") * PIECES > total).select("_h", F.ceil(F.col("veces") * PIECES / total).cast("int").alias("_n"))
+    hot = F.broadcast(hot.groupBy("_h").agg(F.max("_n").alias("_n")))
+    pieces = F.coalesce("_n", F.lit(1))
+
+    def hashed(side: DataFrame) -> DataFrame:
+        return side.withColumn("_h", F.xxhash64("mensaje_limpio")).join(hot, "_h", "left").drop("_h")
+
+    spread = hashed(frame).withColumn("_pieza", F.pmod(F.xxhash64(*frame.columns), pieces)).drop("_n")
+    repeated = hashed(right).withColumn("_pieza", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_pieza")).drop("_n")
+    repeated = repeated.withColumn("_pieza", F.col("_pieza").cast("bigint"))
+    return _filled(spread.join(repeated, ["mensaje_limpio", "_pieza"], "left").drop("_pieza"))
 
 
 def _filled(joined: DataFrame) -> DataFrame:

@@ -19,13 +19,7 @@ from pyspark.sql import functions as F
 from turnera import fixed_values as fixed
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans.settings import RunOptions
-from turnera.session import shared_folder, ship_package, shuffles_sized_for, spread
-
-# A text held by this share of the rows or more is joined by broadcast: at most 1 / share
-# texts qualify, and their bytes are checked too.  No text below HOT_ROWS is worth it.
-HOT_SHARE = 1 / 200
-HOT_ROWS = 1_000
-HOT_BYTES = 64 * 1024 * 1024
+from turnera.session import at_least, remove_folder, shared_folder, ship_package
 
 
 @dataclass(frozen=True)
@@ -40,8 +34,8 @@ class RunResult:
 
 
 def prepare(requests: DataFrame) -> DataFrame:
-    """Validated requests with their row order."""
-    frame = columns.validated(requests)
+    """Validated requests with their row order, without columns that a run computes."""
+    frame = columns.without_computed(columns.validated(requests))
     missing = [c for c in quality.ROW_ORDER if c not in frame.columns]
     if missing:
         raise columns.MissingColumnsError(f"requests need {missing} to tell which row comes first")
@@ -57,13 +51,15 @@ def processed(
 ) -> DataFrame:
     """The whole row pipeline as one lazy plan, without intermediate tables."""
     valid = quality.valid_rows(prepare(requests))
-    valid = fields.extract_fields(valid)
+    return costing.price_rows(counted(fields.extract_fields(valid), counter, engine, memo), rate)
+
+
+def counted(valid: DataFrame, counter, engine: translation.Engine | None, memo: DataFrame | None = None) -> DataFrame:
+    """Valid rows, translated if there is an engine, with the tokens of each variant."""
     if engine is None:
-        counted = costing.count_variants(translation.untranslated(valid).drop("tokens_ingles"), counter, ("original", "limpio"))
-        counted = counted.withColumn("tokens_ingles", F.lit(None).cast("int"))
-    else:
-        counted = costing.count_variants(translation.translate(valid, engine, memo), counter)
-    return costing.price_rows(counted, rate)
+        plain = costing.count_variants(translation.untranslated(valid).drop("tokens_ingles"), counter, ("original", "limpio"))
+        return plain.withColumn("tokens_ingles", F.lit(None).cast("int"))
+    return costing.count_variants(translation.translate(valid, engine, memo), counter)
 
 
 def run(
@@ -74,78 +70,80 @@ def run(
 ) -> RunResult:
     """Process ``requests`` and write results, report tables and, on request, rejects."""
     ship_package(spark)
-    with shuffles_sized_for(requests):
-        return _run(spark, requests, options, on_metrics)
-
-
-def _run(spark: SparkSession, requests: DataFrame, options: RunOptions, on_metrics) -> RunResult:
     run_id = uuid.uuid4().hex[:12]
     stage = f"{shared_folder(spark)}/turnera/{run_id}"
-    prepared = spread(prepare(requests), *quality.ROW_ORDER)
+    result = _run(spark, requests, options, on_metrics, run_id, stage)
+    if not options.keep_stages:
+        remove_folder(spark, stage)
+    return result
+
+
+def _run(spark: SparkSession, requests: DataFrame, options: RunOptions, on_metrics, run_id: str, stage: str) -> RunResult:
+    prepared = at_least(prepare(requests), options.min_partitions, *quality.ROW_ORDER)
+    order = list(quality.ROW_ORDER)
+    if options.rejects:  # rejects name the rows that did not win, so rows get a number first
+        prepared = _written(quality.numbered(prepared), f"{stage}/entrada")
+        order.append(quality.ROW_NUMBER)
 
     # 1. Clean, drop duplicates, extract, count what needs no translation.
-    wanted = [c for c in prepared.columns if c in quality.ROW_ORDER or c in fixed.RESULT_COLUMNS]
-    collapsed = fields.extract_fields(quality.collapse(prepared.select(*wanted)))
+    computed = ("mensaje_limpio", "util") if options.rejects else ()
+    wanted = [c for c in prepared.columns if c in order or c in fixed.RESULT_COLUMNS or c in computed]
+    collapsed = fields.extract_fields(quality.collapse(prepared.select(*wanted), order))
     early = ("original",) if options.optimize_tokens else ("original", "limpio")
     valid = _written(costing.count_variants(collapsed, options.counter, early), f"{stage}/validas")
     stats = quality.require_rows(quality.collapsed_stats(valid).first().asDict())
-    valid = valid.filter("util").drop("util", "copias")
+    winners = valid = valid.filter("util").drop("util", "copias")
 
     # 2. Translate distinct texts; their tokens are counted here, once per text.
     engine_name = "none"
     if options.optimize_tokens:
         engine_name = options.engine.name
         texts = translation.distinct_texts(valid)
-        memo = read_memo(spark, options.memo_path) if options.memo_path else None
+        memo = None
+        if options.memo_path:
+            memo, texts = read_memo(spark, options.memo_path), _written(texts, f"{stage}/textos")
         translated = translation.translations(texts, options.engine, memo, partitions=options.translate_partitions)
         named = translated.withColumns({"mensaje_limpio": F.col("texto_origen"), "mensaje_ingles": F.col("texto_destino")})
-        counted = costing.count_variants(named, options.counter, ("limpio", "ingles"))
-        table = _written(counted.drop("mensaje_limpio", "mensaje_ingles"), f"{stage}/traducciones")
+        tokens = costing.count_variants(named, options.counter, ("limpio", "ingles"))
+        table = _written(tokens.drop("mensaje_limpio", "mensaje_ingles"), f"{stage}/traducciones")
         if options.memo_path:
             entries = translation.memo_entries(table, options.memo_ttl_days)
             entries.write.mode("overwrite").parquet(f"{options.memo_path}/corrida={run_id}")
-        valid = _map_back(valid, table, stats["filas_validas"])
+        cell = report.cells_of_texts(valid, table)
+        valid = translation.map_back(valid, table)
     else:
         valid = translation.untranslated(valid)
+        cell = report.cells(valid)
 
-    # 3. Results, then everything the report says out of one small table.
-    results = columns.result_contract(costing.price_rows(valid, options.rate))
-    results = _written(results, f"{options.output_path}/resultados")
-    cell = _written(report.cells(results), f"{stage}/celdas")
+    # 3. Everything the report says out of one small table, then the results.
+    cell = _written(cell, f"{options.output_path}/celdas")
     counts = spark.createDataFrame([stats])
     document = report.aggregates_document(
         cell, counts, engine_name, options.optimize_tokens, options.messages_per_day, options.rate
     )
-    _write_report(cell, document, options)
     if on_metrics:
         on_metrics(document.first().asDict(recursive=True))
+    results = columns.result_contract(costing.price_rows(valid, options.rate))
+    results = _written(results, f"{options.output_path}/resultados")
+    _write_report(cell, counts, document, options)
 
     # 4. Optional outputs.
     rejects = None
     if options.rejects:
-        winners = spark.read.parquet(f"{stage}/validas").filter("util")
         rejects = _written(quality.rejected(prepared, winners), f"{options.output_path}/rechazos")
     if options.export_format:
         export(results, f"{options.output_path}/{options.export_format}", options.export_format)
     return RunResult(run_id, stats, results, document, rejects)
 
 
-def _map_back(valid: DataFrame, table: DataFrame, rows: int) -> DataFrame:
-    hot_from = max(HOT_ROWS, int(rows * HOT_SHARE))
-    size = F.sum(F.octet_length("texto_origen") + F.octet_length("texto_destino"))
-    hot = table.filter(F.col("veces") >= hot_from).agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()
-    if 0 < hot.bytes <= HOT_BYTES:
-        return translation.map_back_split(valid, table, hot_from)
-    return translation.map_back(valid, table)
-
-
 def _written(frame: DataFrame, path: str) -> DataFrame:
     frame.write.mode("overwrite").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _write_report(cell: DataFrame, document: DataFrame, options: RunOptions) -> None:
+def _write_report(cell: DataFrame, counts: DataFrame, document: DataFrame, options: RunOptions) -> None:
     tables = {
+        "agregados_filas": report.aggregates_rows(cell, counts, options.messages_per_day, options.rate),
         "distribucion_acciones": report.action_distribution(cell),
         "distribucion_especialidades": report.specialty_distribution(cell),
         "proyeccion": report.projection(cell, options.messages_per_day, rate=options.rate),

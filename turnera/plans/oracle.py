@@ -5,13 +5,14 @@ micro-dollars, so neither shares a formula with the Spark side.
 """
 
 from turnera import fixed_values as fixed
-from turnera.functions.text import SPACE_CHARS
-from turnera.functions.tokens import PRETOKEN
 from turnera.glossary import WORDS
 from turnera.plans.queries import EARLIER_FILES
 from turnera.sources import requests as words
 
 OPEN, CLOSE = "\x01", "\x02"
+# Own statements of white space and of tokens, so that a wrong pattern of the engine shows.
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+PRETOKEN_SQL = r"\p{L}+|\p{N}{1,3}|[^\t-\r\x1c-\x20\x{85}\p{Z}\p{L}\p{N}]+"
 SPACES = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
@@ -126,7 +127,6 @@ plegada AS (SELECT *, {PLAIN} AS t FROM {source} WHERE {filtered}),
 campos AS (SELECT * EXCLUDE (t, especialidad, fecha_solicitada), {columns} FROM plegada)"""
 
 
-PRETOKEN_SQL = PRETOKEN.replace(r"\x85", r"\x{85}")
 GLOSSARY_SQL = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in WORDS.items()) + "}"
 
 
@@ -205,17 +205,42 @@ def _chosen(values, digest: str, start: int, digits: int = 8) -> str:
 def _generated() -> str:
     fill = [_chosen(words.FILLER, "c", 1 + 4 * i, 4) for i in range(8)]
     first = f"(upper(substr({fill[0]}, 1, 1)) || substr({fill[0]}, 2))"
-    digests = ", ".join(f"md5('42{p}:' || CAST(o_orderkey AS VARCHAR)) AS {p}" for p in "abc")
+    digests = ", ".join(f"md5('42{p}:' || CAST(o_orderkey AS VARCHAR)) AS {p}" for p in "abcd")
+    lists = (words.ACTIONS, words.SPECIALTIES, words.DATES, words.TIMES)
+    composed = " || ' ' || ".join(_chosen(values, "d", 1 + 8 * i) for i, values in enumerate(lists))
     return f"""
 SELECT upper(substr(a, 1, 8)) AS id_paciente,
        {_chosen(words.FIRST_NAMES, "a", 9)} || ' ' || {_chosen(words.LAST_NAMES, "a", 17)} AS paciente,
        {_chosen(words.CITIES, "a", 25)} AS ciudad,
-       {_chosen(words.CLINIC_SPECIALTIES, "b", 1)} AS especialidad_medica,
+       {_chosen(words.SPECIALTY_LABELS, "b", 1)} AS especialidad_medica,
        strftime(DATE '2025-01-01' + 2 + {_share("b", 9, 8, 29)}, '%Y-%m-%d') AS fecha_solicitada,
-       CASE WHEN {_share("b", 17, 8, 100)} < 10 THEN '' ELSE {_chosen(words.TEMPLATES, "b", 25)} || ' ' || {first} || ' ' || {" || ' ' || ".join(fill[1:])} || '.' END AS mensaje_texto
+       CASE WHEN {_share("b", 17, 8, 100)} < 10 THEN '' ELSE {composed} || ' ' || {first} || ' ' || {" || ' ' || ".join(fill[1:])} || '.' END AS mensaje_texto
 FROM (SELECT {digests} FROM orders)"""
 
 
+#: Entries whose key's first digit is even are still alive in the second run.
+_EVEN = "substr(cache_key, 10, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')"
+_READ = """SELECT CAST(fila AS BIGINT) AS fila, paciente_id, coalesce(mensaje_texto, '') AS mensaje_texto,
+    nullif(fecha_solicitada, '') AS fecha_solicitada FROM sol"""
+
+
+def _document_rows(saved: dict[str, str], share: dict[str, str]) -> str:
+    def row(section: str, key: str, value: str, source: str) -> str:
+        return f"SELECT '{section}' AS seccion, '{key}' AS clave, CAST({value} AS DOUBLE) AS valor FROM {source}"
+
+    parts = [row("totales", f"tokens_{v}", f"tokens_{v}", "sumas") for v in fixed.VARIANTS]
+    parts += [row("totales", f"costo_{v}", _usd(f"tokens_{v}"), "sumas") for v in fixed.VARIANTS]
+    parts += [row("ahorro", f"{v}_absoluto", saved[v], "sumas") for v in saved] + [row("ahorro", f"{v}_pct", share[v], "sumas") for v in saved]
+    parts.append(row("procesadas", "n_procesadas", "n", "sumas"))
+    parts += [row("promedio_tokens_por_mensaje", v, f"CAST(tokens_{v} AS DOUBLE) / n", "sumas") for v in fixed.VARIANTS]
+    parts += [row("preprocesamiento", c, c, "contados") for c in ("filas_leidas", "filas_descartadas_vacio", "duplicados_eliminados", "filas_validas")]
+    for column, absent in (("accion", fixed.WITHOUT_ACTION), ("especialidad", fixed.WITHOUT_SPECIALTY)):
+        name = {"accion": "distribucion_acciones", "especialidad": "distribucion_especialidades"}[column]
+        parts.append(f"SELECT '{name}', coalesce({column}, '{absent}'), CAST(count(*) AS DOUBLE) FROM contada GROUP BY 2")
+    parts += [f"SELECT 'proyeccion', variante || '.' || periodo || '.{c}', CAST({c} AS DOUBLE) FROM proyectada" for c in ("mensajes", "tokens", "costo")]
+    return " UNION ALL ".join(parts)
+
+
 def catalogue() -> dict[str, str]:
     off = CONTRACT.format(english="''", tokens="CAST(NULL AS INTEGER)", cost="CAST(NULL AS DOUBLE)")
     on = CONTRACT.format(english="mensaje_ingles", tokens="tokens_ingles", cost=_usd("tokens_ingles"))
@@ -266,6 +291,18 @@ def catalogue() -> dict[str, str]:
             count(*) FILTER (NOT util) AS descartadas, count(*) FILTER (lugar > 1) AS duplicados FROM puesta""",
         "results_contract": f"WITH {PROCESSED} {on}",
         "results_not_optimized": f"WITH {PROCESSED} {off}",
+        "aggregates_document": f"""WITH {PROCESSED}, proyectada AS ({_projection('variantes')}),
+            contados AS (SELECT count(*) AS filas_leidas, count(*) FILTER (NOT util) AS filas_descartadas_vacio,
+                count(*) FILTER (lugar > 1) AS duplicados_eliminados, count(*) FILTER (lugar = 1) AS filas_validas FROM puesta)
+            {_document_rows(saved, share)}""",
+        "job_results": f"WITH {PROCESSED} {on}",
+        "job_results_not_optimized": f"WITH {PROCESSED} {off}",
+        "latest_aggregates": f"WITH {PROCESSED} SELECT n AS n_procesadas, tokens_original, tokens_limpio, tokens_ingles FROM sumas",
+        "read_parquet_folder": f"WITH {SOL} {_READ}",
+        "read_csv_folder": f"WITH {SOL} {_READ}",
+        "memo_second_run": f"WITH {TEXTS} SELECT cache_key, texto_origen, NOT (antes AND hash_par) AS nuevo FROM (SELECT *, {_EVEN} AS hash_par FROM textos)",
+        "batch_engine_translation": f"WITH {VALID} SELECT archivo_origen, fila, mensaje_limpio, upper(mensaje_limpio) AS mensaje_ingles FROM puesta WHERE lugar = 1",
+        "incremental_batches": f"WITH {PROCESSED} {on.replace('paciente,', 'CAST(NULL AS VARCHAR) AS paciente,', 1)}",
         "incremental_run": f"WITH {PROCESSED} {on.replace('paciente,', 'CAST(NULL AS VARCHAR) AS paciente,', 1)}",
         "generated_requests": _generated(),
     }

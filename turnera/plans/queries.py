@@ -5,6 +5,7 @@ documents read as messages.  ``turnera.plans.oracle`` states each query once mor
 """
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ from turnera.functions.tokens import bpe_counts, pretoken_counts
 from turnera.glossary import WORDS
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans import job
-from turnera.session import shared_folder, spread
+from turnera.plans.settings import RunOptions
+from turnera.session import asked_partitions, at_least, shared_folder, ship_package
 from turnera.sources import requests
-from turnera.sources.readers import consolidate
+from turnera.sources.readers import consolidate, read_requests
+from turnera.streaming import incremental
 
 ID = ["archivo_origen", "fila"]
 #: The files whose translations the memo already holds in the memo queries.
@@ -29,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return at_least(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), asked_partitions(spark), "o_orderkey")
 
 
 def sol(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def sol_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    documents = at_least(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), asked_partitions(spark), "doc_id")
     return documents.select(
         F.col("lang").alias("archivo_origen"), F.col("doc_id").alias("fila"),
         F.col("source").alias("paciente_id"), F.col("text").alias("mensaje_texto"),
@@ -61,6 +64,23 @@ def cells(spark: SparkSession, sf_dir: str, optimized: bool = True) -> DataFrame
     return report.cells(results(spark, sf_dir, optimized))
 
 
+def sums(spark: SparkSession, sf_dir: str, optimized: bool = True) -> DataFrame:
+    """Token sums of all rows; no action or specialty is read for them."""
+    frame = quality.valid_rows(job.prepare(sol(spark, sf_dir)))
+    engine = GLOSSARY if optimized else None
+    counted = job.counted(frame, pretoken_counts, engine)
+    return report.whole(counted)
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/turnera/{uuid4().hex}"
+
+
+def _stored(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 # --- one function per catalogue entry ------------------------------------------
 
 
@@ -92,7 +112,7 @@ def usable_messages(spark, d):
 
 def rejected_messages(spark, d):
     frame = job.prepare(sol(spark, d)).select(*ID, "paciente_id", "mensaje_texto")
-    return quality.rejected(frame)
+    return quality.rejected(_stored(quality.numbered(frame), f"{_home(spark)}/entrada"))
 
 
 def dedup_messages(spark, d):
@@ -179,19 +199,19 @@ def row_costs(spark, d):
 
 
 def totals_and_savings(spark, d):
-    return report.totals_and_savings(cells(spark, d))
+    return report.totals_and_savings(sums(spark, d))
 
 
 def avg_tokens(spark, d):
-    return report.average_tokens(cells(spark, d))
+    return report.average_tokens(sums(spark, d))
 
 
 def cost_projection(spark, d):
-    return report.projection(cells(spark, d))
+    return report.projection(sums(spark, d))
 
 
 def projection_not_optimized(spark, d):
-    return report.projection(cells(spark, d, optimized=False))
+    return report.projection(sums(spark, d, optimized=False))
 
 
 def dist_acciones(spark, d):
@@ -207,7 +227,7 @@ def top_especialidades(spark, d):
 
 
 def variant_comparison(spark, d):
-    return report.variant_comparison(cells(spark, d))
+    return report.variant_comparison(sums(spark, d))
 
 
 def kpi_row(spark, d):
@@ -225,26 +245,106 @@ def results_not_optimized(spark, d):
 
 
 def aggregates_document(spark, d):
-    """Every branch of the document reads the same small table, so it is cut off here."""
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    cell = cells(spark, d).checkpoint()
-    return report.aggregates_document(cell, preprocess_stats(spark, d), GLOSSARY.name)
+    """Every part of the report reads the same small table, so it is written first."""
+    home = _home(spark)
+    cell, counts = _stored(cells(spark, d), f"{home}/celdas"), _stored(preprocess_stats(spark, d), f"{home}/conteos")
+    return report.aggregates_rows(cell, counts)
 
 
-def incremental_run(spark, d):
-    """The orders file as a stream of requests, through the incremental job."""
-    from uuid import uuid4
+def _job(spark, d, home, **choices):
+    run_options = RunOptions(f"{home}/salida", f"{home}/memo", **choices)
+    return job.run(spark, sol_with_names(spark, d), run_options)
+
+
+def job_results(spark, d):
+    return _job(spark, d, _home(spark), rejects=True).results
+
+
+def job_results_not_optimized(spark, d):
+    return _job(spark, d, _home(spark), optimize_tokens=False).results
+
+
+def latest_aggregates(spark, d):
+    home = _home(spark)
+    _job(spark, d, home)
+    latest = job.latest_aggregates(spark, f"{home}/salida")
+    return latest.select("n_procesadas", *(F.col(f"totales.tokens_{v}").alias(f"tokens_{v}") for v in ("original", "limpio", "ingles")))
+
+
+def _folder_of_requests(spark, d, kind, **options):
+    """Requests written as several files with mixed headers, and where."""
+    home = _home(spark)
+    rows = sol(spark, d).select("archivo_origen", F.col("fila").cast("string").alias("orden"), "paciente_id", "mensaje_texto", "fecha_solicitada")
+    plain = rows.filter(~F.col("archivo_origen").isin(*EARLIER_FILES)).drop("archivo_origen")
+    other = rows.filter(F.col("archivo_origen").isin(*EARLIER_FILES)).drop("archivo_origen")
+    plain.repartition(2).write.options(**options).format(kind).save(f"{home}/entrada/uno")
+    other.withColumnsRenamed({"paciente_id": " ID_Paciente", "mensaje_texto": "Mensaje"}).repartition(2).write.options(**options).format(kind).save(f"{home}/entrada/dos")
+    return f"{home}/entrada"
+
+
+def _as_read(frame):
+    text = F.coalesce("mensaje_texto", F.lit(""))
+    return frame.select(F.col("orden").cast("bigint").alias("fila"), "paciente_id", text.alias("mensaje_texto"), F.nullif("fecha_solicitada", F.lit("")).alias("fecha_solicitada"))
 
-    from turnera.plans.settings import RunOptions
-    from turnera.streaming import incremental
 
-    home = f"{shared_folder(spark)}/turnera/{uuid4().hex}"
+def read_parquet_folder(spark, d):
+    return _as_read(read_requests(spark, _folder_of_requests(spark, d, "parquet"), "parquet"))
+
+
+def read_csv_folder(spark, d):
+    folder = _folder_of_requests(spark, d, "csv", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _as_read(read_requests(spark, folder, "csv", order="orden"))
+
+
+def memo_second_run(spark, d):
+    """What a second run translates anew after half of the first run's entries have expired."""
+    home = _home(spark)
+    entries = _memo(spark, d)
+    even = F.substring("cache_key", 10, 1).isin(*"02468ace")
+    past = F.current_timestamp() - F.expr("interval 1 day")
+    entries.withColumn("expires_at", F.when(even, F.col("expires_at")).otherwise(past)).write.parquet(f"{home}/memo/corrida=primera")
+    texts = _stored(translation.distinct_texts(valid(spark, d)), f"{home}/textos")
+    second = translation.translations(texts, GLOSSARY, job.read_memo(spark, f"{home}/memo"))
+    return second.select("cache_key", "texto_origen", "nuevo")
+
+
+def _upper(batches):
+    for texts in batches:
+        yield [t.upper() for t in texts]
+
+
+def batch_engine_translation(spark, d):
+    """An engine over batches of texts, chosen by preference; upper case stands for a translation."""
+    ship_package(spark)
+    engines = {"mayusculas": translation.Engine("mayusculas", batches=_upper), GLOSSARY.name: GLOSSARY}
+    engine = translation.choose_engine("auto", engines, ("ausente", "mayusculas"))
+    frame = valid(spark, d)
+    table = translation.translations(translation.distinct_texts(frame), engine)
+    return translation.map_back(frame, table).select(*ID, "mensaje_limpio", "mensaje_ingles")
+
+
+def incremental_run(spark, d):
+    """The orders file as a stream of requests, through the incremental job."""
+    home = _home(spark)
     orders = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parquet*")
     options = incremental.StreamOptions(RunOptions(f"{home}/salida", f"{home}/memo"), f"{home}/control")
     incremental.start(requests.solicitudes(orders), options).awaitTermination()
     return incremental.results(spark, f"{home}/salida")
 
 
+def incremental_batches(spark, d):
+    """The requests in four files, a batch each, in order; duplicates are dropped across batches."""
+    home = _home(spark)
+    schema = table(spark, d, "orders").select("o_orderkey", "o_custkey").schema
+    options = incremental.StreamOptions(RunOptions(f"{home}/salida", f"{home}/memo"), f"{home}/control", across_batches=True)
+    for file in range(4):
+        part = table(spark, d, "orders").select("o_orderkey", "o_custkey").filter(F.col("o_orderkey") % 4 == file)
+        part.coalesce(1).write.parquet(f"{home}/entrada/{file}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{home}/entrada")
+        incremental.start(requests.solicitudes(stream), options).awaitTermination()
+    return incremental.results(spark, f"{home}/salida")
+
+
 def generated_requests(spark, d):
     return requests.generate_from(orders(spark, d), "o_orderkey")
 
@@ -286,6 +386,14 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "results_contract": results_contract,
     "results_not_optimized": results_not_optimized,
     "aggregates_document": aggregates_document,
+    "job_results": job_results,
+    "job_results_not_optimized": job_results_not_optimized,
+    "latest_aggregates": latest_aggregates,
+    "read_parquet_folder": read_parquet_folder,
+    "read_csv_folder": read_csv_folder,
+    "memo_second_run": memo_second_run,
+    "batch_engine_translation": batch_engine_translation,
     "incremental_run": incremental_run,
+    "incremental_batches": incremental_batches,
     "generated_requests": generated_requests,
 }

@@ -16,6 +16,8 @@ class RunOptions:
     ``output_path`` receives ``resultados`` and the report tables.  ``memo_path`` is the
     translation memo, None to run without one.  ``export_format`` writes the results a
     second time as xlsx, csv or json.  ``rejects`` also writes the rows left out.
+    ``min_partitions`` deals out an input of fewer splits than there are cores.
+    ``keep_stages`` leaves the intermediate tables in the shared folder.
     """
 
     output_path: str
@@ -29,3 +31,5 @@ class RunOptions:
     messages_per_day: int = fixed.MESSAGES_PER_DAY
     rejects: bool = False
     export_format: str | None = None
+    min_partitions: int | None = None
+    keep_stages: bool = False

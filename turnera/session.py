@@ -3,8 +3,6 @@
 import os
 import shutil
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,30 +47,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work where an input has fewer splits than there are cores.
+def at_least(frame: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """Deal an input out over ``partitions``, if a number is asked for; it moves whole rows.
 
-    Tables of any size have more splits than that and pass as they are.
+    Worth it only for an input of fewer splits than there are cores.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.isStreaming or frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores, *keys)
+    return frame.repartition(partitions, *keys) if partitions else frame
 
 
-@contextmanager
-def shuffles_sized_for(frame: DataFrame) -> Iterator[int]:
-    """Let shuffles start with a partition for every two input splits, if that is more
-    than the session asks for; adaptive execution merges those that turn out small.
+def asked_partitions(spark: SparkSession) -> int | None:
+    """The session's own ``turnera.min_partitions``, none by default."""
+    asked = spark.conf.get("turnera.min_partitions", None)
+    return int(asked) if asked else None
 
-    Adaptive execution never splits an evenly large partition, so the usual fixed number
-    would leave a very large input with partitions beyond any executor's memory.
-    """
-    conf, key = frame.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    before = conf.get(key, None)
-    wanted = max(int(before or conf.get("spark.sql.shuffle.partitions")), frame.rdd.getNumPartitions() // 2)
-    conf.set(key, str(wanted))
-    try:
-        yield wanted
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+
+def wanted_partitions(frame: DataFrame, bytes_each: int = 256 << 20) -> int:
+    """A number of shuffle partitions for a frame, from plan statistics alone (no job runs)."""
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, -(-size // bytes_each))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

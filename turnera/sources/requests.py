@@ -9,7 +9,7 @@ nothing but its key and the seed, so any partitioning gives the same table.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.fixed_values import CLINIC_SPECIALTIES, EMPTY_MESSAGE_PERCENT, FIRST_DAY_AHEAD, LAST_DAY_AHEAD
+from turnera.fixed_values import EMPTY_MESSAGE_PERCENT, FIRST_DAY_AHEAD, LAST_DAY_AHEAD, SPECIALTY_RULES
 from turnera.functions.text import sql_text
 
 # --- words of the derived view: one phrase per rule, in rule order ------------
@@ -111,17 +111,7 @@ def solicitudes(orders: DataFrame, customers: DataFrame | None = None) -> DataFr
 
 # --- generator ----------------------------------------------------------------
 
-TEMPLATES = (
-    "Quisiera reprogramar mi control con el cardiólogo para la próxima semana, en el horario de la mañana.",
-    "Por un viaje de trabajo pido modificar la fecha de la consulta que tengo asignada.",
-    "Debo cancelar la cita de este mes y consultar si hay cupo en el turno de la tarde.",
-    "Agradezco su ayuda para reagendar la revisión de rutina el próximo mes.",
-    "Tengo que cambiar el horario de mi turno, ojalá a primeras horas del día.",
-    "Favor confirmar si se puede postergar mi atención hasta el viernes por la mañana.",
-    "Me es imposible acudir en la fecha prevista. Ruego postergarla para la siguiente semana.",
-    "Consulto si es posible adelantar mi turno porque los dolores van en aumento.",
-)
-
+SPECIALTY_LABELS = tuple(SPECIALTY_RULES)
 FIRST_NAMES = ("Ana", "Luis", "Marta", "Jorge", "Elena", "Pablo", "Rosa", "Diego", "Carmen", "Iván", "Lucía", "Tomás")
 LAST_NAMES = ("García", "López", "Núñez", "Pérez", "Romero", "Sanz", "Vega", "Molina", "Ortiz", "Ríos", "Cano", "Gil")
 CITIES = ("Madrid", "Sevilla", "Bilbao", "Málaga", "Murcia", "León", "Cádiz", "Toledo", "Burgos", "Vigo")
@@ -141,25 +131,31 @@ def _chosen(words: tuple[str, ...], digest: str, start: int, digits: int = 8) ->
 def generate_from(
     keys: DataFrame, key: str, seed: int = 42, first_day: str = "2025-01-01", row: str | None = None
 ) -> DataFrame:
-    """One synthetic request per row of ``keys``, all columns strings; ``row`` keeps the key."""
+    """One synthetic request per row of ``keys``, all columns strings; ``row`` keeps the key.
+
+    A message is an action, a specialty, a date and a time of the view's lists, and a line of
+    filler words.
+    """
     kept = [F.col(key).alias(row)] if row else []
     digests = keys.select(
         *kept,
-        *(F.md5(F.concat_ws(":", F.lit(f"{seed}{part}"), F.col(key).cast("string"))).alias(part) for part in "abc")
+        *(F.md5(F.concat_ws(":", F.lit(f"{seed}{part}"), F.col(key).cast("string"))).alias(part) for part in "abcd")
     )
     filler = F.concat_ws(" ", *(_chosen(FILLER, "c", 1 + 4 * i, 4) for i in range(8)))
     ahead = f"{FIRST_DAY_AHEAD} + {_share('b', 9, 8, LAST_DAY_AHEAD - FIRST_DAY_AHEAD + 1)}"
     day = F.expr(f"date_add(date'{first_day}', cast({ahead} as int))")
     message = F.when(F.expr(_share("b", 17, 8, 100)) < EMPTY_MESSAGE_PERCENT, "").otherwise(
-        F.concat(_chosen(TEMPLATES, "b", 25), F.lit(" "), F.initcap(F.substring_index(filler, " ", 1)),
-                 F.lit(" "), F.substring_index(filler, " ", -7), F.lit("."))
+        F.concat_ws(
+            " ", *(_chosen(words, "d", 1 + 8 * i) for i, words in enumerate((ACTIONS, SPECIALTIES, DATES, TIMES))),
+            F.concat(F.initcap(F.substring_index(filler, " ", 1)), F.lit(" "), F.substring_index(filler, " ", -7), F.lit(".")),
+        )
     )
     return digests.select(
         *([row] if row else []),
         F.upper(F.substring("a", 1, 8)).alias("id_paciente"),
         F.concat_ws(" ", _chosen(FIRST_NAMES, "a", 9), _chosen(LAST_NAMES, "a", 17)).alias("paciente"),
         _chosen(CITIES, "a", 25).alias("ciudad"),
-        _chosen(CLINIC_SPECIALTIES, "b", 1).alias("especialidad_medica"),
+        _chosen(SPECIALTY_LABELS, "b", 1).alias("especialidad_medica"),
         F.date_format(day, "yyyy-MM-dd").alias("fecha_solicitada"),
         message.alias("mensaje_texto"),
     )

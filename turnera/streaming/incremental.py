@@ -1,7 +1,9 @@
 """New request files go through the same operators as they arrive.
 
-Every micro-batch writes under its own number, replacing what an earlier attempt at the
-same batch wrote, so a restart neither loses nor repeats rows.
+Every micro-batch writes under its stream's identity and its own number, replacing what an
+earlier attempt at the same batch wrote, so a restart neither loses nor repeats rows, and
+streams that share an output never touch each other's.  The identity is the one that Spark
+keeps in the checkpoint: it survives restarts and is new with a new checkpoint.
 """
 
 from collections.abc import Callable
@@ -17,9 +19,9 @@ from turnera.functions.text import strip
 from turnera.operators import columns, costing, fields, quality, translation
 from turnera.plans.job import prepare, read_memo
 from turnera.plans.settings import RunOptions
-from turnera.session import ship_package, spread
+from turnera.session import at_least, remove_folder, ship_package
 
-KEYS_SCHEMA = "clave_sha string, lote bigint"
+KEYS_SCHEMA = "clave_sha string, flujo string, lote bigint"
 
 
 @dataclass(frozen=True)
@@ -61,49 +63,64 @@ def start(requests: DataFrame, options: StreamOptions, on_metrics: Callable[[int
     watched = frame.observe("volumen", F.count("*").alias("filas_leidas"), blank)
 
     def process(batch: DataFrame, number: int) -> None:
-        process_batch(batch, number, options, on_metrics)
+        process_batch(batch, number, options, on_metrics, stream_id(batch.sparkSession, options.checkpoint))
 
     writer = watched.writeStream.foreachBatch(process).option("checkpointLocation", options.checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity that Spark wrote into the checkpoint when the stream first started."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def process_batch(
-    batch: DataFrame, number: int, options: StreamOptions, on_metrics: Callable[[int, dict], None] | None = None
+    batch: DataFrame,
+    number: int,
+    options: StreamOptions,
+    on_metrics: Callable[[int, dict], None] | None = None,
+    stream: str = "manual",
 ) -> None:
     """One micro-batch: duplicates, fields, translation, costs, results."""
     spark, run = batch.sparkSession, options.run
     home = f"{run.output_path}/lotes"
-    collapsed = fields.extract_fields(quality.collapse(spread(batch, *quality.ROW_ORDER)))
-    patient_and_text = F.to_json(F.struct(*quality.duplicate_key(collapsed)), {"ignoreNullFields": "false"})
-    collapsed = collapsed.withColumn("clave_sha", F.sha2(patient_and_text, 256))
-    accepted = _written(collapsed, f"{home}/validas/lote={number}")
+    place = f"flujo={stream}/lote={number}"
+    dealt = at_least(batch, run.min_partitions, *quality.ROW_ORDER)
+    collapsed = fields.extract_fields(quality.collapse(dealt))
+    early = ("original",) if run.optimize_tokens else ("original", "limpio")
+    collapsed = costing.count_variants(collapsed.withColumn("clave_sha", quality.digest(collapsed)), run.counter, early)
+    accepted = _written(collapsed, f"{home}/validas/{place}")
     if on_metrics:
         on_metrics(number, quality.collapsed_stats(accepted).first().asDict())
     valid = accepted.filter("util").drop("util", "copias")
 
     if options.across_batches:
-        earlier = _earlier_keys(spark, f"{home}/claves", number)
+        earlier = _earlier_keys(spark, f"{home}/claves", stream, number)
         # Keys of this batch are the small side: they thin the history before it moves.
         seen = earlier.join(valid.select("clave_sha"), "clave_sha", "left_semi").distinct()
-        valid = _written(valid.join(seen, "clave_sha", "left_anti"), f"{home}/nuevas/lote={number}")
-    valid.select("clave_sha").write.mode("overwrite").parquet(f"{home}/claves/lote={number}")
+        valid = _written(valid.join(seen, "clave_sha", "left_anti"), f"{home}/nuevas/{place}")
+    valid.select("clave_sha").write.mode("overwrite").parquet(f"{home}/claves/{place}")
     valid = valid.drop("clave_sha")
 
     if run.optimize_tokens:
         # A second attempt must see the memo as the first one did.
-        memo = read_memo(spark, run.memo_path, but=f"lote_{number}") if run.memo_path else None
-        texts = translation.distinct_texts(valid)
+        entry = f"{stream}_{number}"
+        memo = read_memo(spark, run.memo_path, but=entry) if run.memo_path else None
+        texts = _written(translation.distinct_texts(valid), f"{home}/textos/{place}")
         translated = translation.translations(texts, run.engine, memo, partitions=run.translate_partitions)
-        table = _written(translated, f"{home}/traducciones/lote={number}")
+        named = translated.withColumns({"mensaje_limpio": F.col("texto_origen"), "mensaje_ingles": F.col("texto_destino")})
+        counted = costing.count_variants(named, run.counter, ("limpio", "ingles")).drop("mensaje_limpio", "mensaje_ingles")
+        table = _written(counted, f"{home}/traducciones/{place}")
         if run.memo_path:
             entries = translation.memo_entries(table, run.memo_ttl_days)
-            entries.write.mode("overwrite").parquet(f"{run.memo_path}/corrida=lote_{number}")
-        counted = costing.count_variants(translation.map_back(valid, table), run.counter)
+            entries.write.mode("overwrite").parquet(f"{run.memo_path}/corrida={entry}")
+        valid = translation.map_back(valid, table)
     else:
-        counted = costing.count_variants(valid.withColumn("mensaje_ingles", F.lit("")), run.counter, ("original", "limpio"))
-        counted = counted.withColumn("tokens_ingles", F.lit(None).cast("int"))
-    results = columns.result_contract(costing.price_rows(counted, run.rate))
-    results.write.mode("overwrite").parquet(f"{run.output_path}/resultados/lote={number}")
+        valid = translation.untranslated(valid)
+    results = columns.result_contract(costing.price_rows(valid, run.rate))
+    results.write.mode("overwrite").parquet(f"{run.output_path}/resultados/{place}")
+    for passed in ("validas", "nuevas", "textos", "traducciones"):
+        remove_folder(spark, f"{home}/{passed}/{place}")
 
 
 def _written(frame: DataFrame, path: str) -> DataFrame:
@@ -111,16 +128,17 @@ def _written(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _earlier_keys(spark: SparkSession, path: str, number: int) -> DataFrame:
+def _earlier_keys(spark: SparkSession, path: str, stream: str, number: int) -> DataFrame:
+    """Accepted keys of all streams into this output, but for this batch and later ones of its own stream."""
     try:
         keys = spark.read.schema(KEYS_SCHEMA).parquet(path)
     except AnalysisException as absent:
         if absent.getCondition() != "PATH_NOT_FOUND":
             raise
         keys = spark.createDataFrame([], KEYS_SCHEMA)
-    return keys.filter(F.col("lote") < number).select("clave_sha")
+    return keys.filter((F.col("flujo") != stream) | (F.col("lote") < number)).select("clave_sha")
 
 
 def results(spark: SparkSession, output_path: str) -> DataFrame:
     """All results accepted so far."""
-    return spark.read.parquet(f"{output_path}/resultados").drop("lote")
+    return spark.read.parquet(f"{output_path}/resultados").drop("flujo", "lote")
