@@ -5,7 +5,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.session import shared_folder
+from turnera.session import shared_folder, ship_package
+
+
+#: Rows in a batch that goes to Python, unless the session sets a number of its own: whole
+#: texts are large, and a batch is held several times over.
+BATCH_ROWS = 1000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Let workers import this package, and bound the batches that they are sent."""
+    ship_package(spark)
+    if spark.conf.get(_ROWS_KEY) == "10000":  # Spark's default
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
 
 
 def require(frame: DataFrame, *names: str) -> None:

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, require, stored, text_of, without
-from turnera.session import ship_package
+from turnera.llm.common import adding, ready, require, stored, text_of, without
 
 #: UTF-8 bytes of benchmark text in one block, on average.
 BLOCK_BYTES = 4 << 20
@@ -119,7 +118,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str =
     require(docs, text)
     require(benchmark, item, item_text)
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     none = F.lit(None)
     frame = adding(docs, {"_found": F.struct(none.cast("bigint").alias("n_words"), none.cast("array<bigint>").alias("spans"), none.cast("array<string>").alias("items"))})
     blocks = _blocks(benchmark, item, item_text)

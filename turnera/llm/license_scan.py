@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, require, text_of
-from turnera.session import ship_package
+from turnera.llm.common import adding, ready, require, text_of
 
 # Wording of public licence notices, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -290,7 +289,7 @@ def sampled_paragraphs(docs: DataFrame, key: str, text: str, sample: int = SAMPL
 def with_notices(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Add ``n_paragraphs`` and ``notices`` (paragraph, family, probability, similarity) to every row."""
     require(docs, key, text)
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(sampled_paragraphs(docs, key, text, sample)))
 
     @F.arrow_udf(NOTICES)

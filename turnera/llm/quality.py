@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, require, stored, text_of, without
-from turnera.session import ship_package
+from turnera.llm.common import adding, ready, require, stored, text_of, without
 
 #: Labelled documents on which the classifier is fitted, at most.
 SAMPLE = 8192
@@ -172,7 +171,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     require(docs, key, text, host, path)
     require(labels, key, label)
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     known = labelled(labels, key, label)
     total = known.agg(F.count("*").alias("n"), F.sum("_good").alias("good")).first()
     rate = ((total["good"] or 0.0) + 1) / (total["n"] + 2)

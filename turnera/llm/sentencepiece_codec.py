@@ -33,15 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, require, text_of
-from turnera.session import ship_package
+from turnera.llm.common import adding, ready, require, text_of
 
 MARK = "▁"
 #: Piece and model kinds of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words that a worker keeps, and words in one batch.
-KEPT, BATCH = 500_000, 4096
+KEPT, BATCH = 300_000, 4096
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -235,7 +234,7 @@ def _read(spark, model: str):
     with open(model, "rb") as file:
         data = file.read()
     parse(data)
-    ship_package(spark)
+    ready(spark)
     return spark.sparkContext.broadcast(data)  # the model file, a few megabytes whatever the texts
 
 

@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import require, stored, text_of
+from turnera.llm.common import ready, require, stored, text_of
 from turnera.llm.components import components
-from turnera.session import ship_package
 
 BITS = 64
 #: Fixed value: the seed of the shingle hash.
@@ -211,7 +210,7 @@ def links(fingerprints: DataFrame, differing: int = 3, blocks: int = 6) -> DataF
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, differing: int = 3) -> DataFrame:
     """Every row's ``key``, ``fingerprint`` (hexadecimal) and ``component_id``, the group's smallest key."""
     require(docs, key, text)
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = stored(docs.select(F.col(f"`{key}`").alias("_key"), fingerprint(text_of(text), size).alias("fingerprint")), "fingerprints")
     return with_components(rows, differing).drop("root").select(F.col("_key").alias(key), hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
@@ -237,7 +236,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     key and text any one.
     """
     require(docs, key, text)
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     digest = F.xxhash64(text_of(text))
     rows = stored(docs.select(F.col(f"`{key}`").alias("_key"), digest.alias("_digest"), fingerprint(text_of(text), size).alias("fingerprint")), "fingerprints")
     grouped = with_components(rows, differing).groupBy("root", "_key", "_digest").agg(F.count("*").alias("copies"))

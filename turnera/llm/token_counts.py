@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, require, text_of
-from turnera.session import ship_package
+from turnera.llm.common import adding, ready, require, text_of
 
 # White space of the split, and the split of byte-level vocabularies with it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -150,7 +149,7 @@ def with_token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limi
     """
     require(docs, text)
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     proof = prove(vocabulary)
     shared, key = spark.sparkContext.broadcast(proof), hashlib.sha256(proof.library.encode()).hexdigest()
 

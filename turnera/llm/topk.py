@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnera.llm.common import checkpointed, require
-from turnera.session import ship_package
+from turnera.llm.common import checkpointed, ready, require
 
 SCALE = 1024
 #: Candidates in a piece of a bucket and queries in a block, on average.
@@ -161,7 +160,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     Both inputs come from ``whole_vectors``.  A query is a distinct pair of id and vector.
     """
     spark = vectors.sparkSession
-    ship_package(spark)
+    ready(spark)
     vectors = checkpointed(vectors)
     queries = queries.withColumn("query_hash", F.xxhash64("v")).dropDuplicates(["id", "query_hash", "v"])
 
