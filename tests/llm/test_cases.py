@@ -83,7 +83,7 @@ def unigram_model():
     return model.SerializeToString()
 
 
-def test_sentencepiece(spark, docs, empty, tmp_path):
+def test_sentencepiece(spark, docs, empty, monkeypatch):
     import sentencepiece
 
     path = queries._vocabulary("piece_bpe_32k.model")
@@ -91,6 +91,9 @@ def test_sentencepiece(spark, docs, empty, tmp_path):
     coded = sentencepiece_codec.with_text(sentencepiece_codec.with_ids(docs, path), path).collect()
     assert [r.decoded for r in coded] == [t or "" for _, t, _, _ in ROWS]
     assert sentencepiece_codec.with_ids(empty, path).count() == 0
+    odd = spark.createDataFrame([([415, None, -4, 99_999, 1, 415],), (None,), ([],)], "ids array<int>")
+    assert [r.decoded for r in sentencepiece_codec.with_text(odd, path).collect()] == ["The The", "", ""]
+    monkeypatch.setattr(sentencepiece_codec, "KEPT", 40)
     random = np.random.default_rng(4)
     with open(path, "rb") as file:
         models = [file.read(), unigram_model()]

@@ -25,6 +25,7 @@ import codecs
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,8 +40,8 @@ MARK = "▁"
 #: Piece and model kinds of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct words that a worker keeps, and words in one batch.
-KEPT, BATCH = 300_000, 4096
+#: Distinct words in each of the two generations that a worker keeps, and words in one batch.
+KEPT, BATCH = 200_000, 4096
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -157,6 +158,7 @@ class Codec:
         self.threads = threads
         self.differing = 0
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.written = [self._written(p) for p in self.model.pieces]
 
     def _written(self, piece: Piece) -> bytes:
@@ -179,10 +181,11 @@ class Codec:
             words = [w[1:] if w[0] == MARK and self.model.dummy_prefix else MARK + w for w in _WORDS.findall(self.normalised(text))]
         fresh = set(words).difference(self.kept)
         if fresh:
-            if len(self.kept) + len(fresh) > KEPT:
-                self.kept = {}
+            if len(self.kept) + len(fresh) > KEPT:  # words still in use come back from the generation before
+                self.kept, self.before = {}, self.kept
                 fresh = set(words)
-            self._learn(list(fresh))
+            self.kept.update((w, self.before[w]) for w in fresh if w in self.before)
+            self._learn(list(fresh.difference(self.kept)))
         return b"".join(map(self.kept.__getitem__, words))
 
     def _learn(self, keys: list[str]) -> None:
@@ -197,7 +200,7 @@ class Codec:
                 for i, key in enumerate(part):
                     if (key or not front) and (own := self.reference.encode(key if front else words[i])) != ids[i]:
                         ids[i], self.differing = own, self.differing + 1
-            self.kept.update((key, np.array(i, np.int32).tobytes()) for key, i in zip(part, ids))
+            self.kept.update((key, array("i", i).tobytes()) for key, i in zip(part, ids))
 
     def _agrees(self, words: list[str], ids: list[list[int]]) -> bool:
         """Whether the sentencepiece library gives these ids for the words in one line."""
@@ -205,9 +208,8 @@ class Codec:
             return False
         return self.reference.encode(" ".join(words)) == [i for own in ids for i in own]
 
-    def decode(self, ids: list[int | None]) -> str:
-        known = range(len(self.written))
-        ids = [i for i in ids if i in known]
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids that the vocabulary has."""
         text = b"".join(map(self.written.__getitem__, ids)).decode(errors="each-byte")
         marked = ids and self.model.pieces[ids[0]].text[:1] == MARK
         return text[1:] if self.model.dummy_prefix and marked else text
@@ -254,6 +256,17 @@ def with_ids(docs: DataFrame, model: str, text: str = "text", threads: int = 2,
     return adding(docs, {column: encoded(text_of(text))})
 
 
+def _known(lists: pa.ListArray, size: int) -> Iterator[list[int]]:
+    """Each row's ids without nulls and those beyond the vocabulary; a null row has none."""
+    values = lists.values.fill_null(-1).to_numpy()
+    offsets = lists.offsets.to_numpy()
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    foreign = bool(len(values)) and bool(values.min() < 0 or values.max() >= size)
+    for row, (start, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        own = values[start:stop] if valid[row] else values[:0]
+        yield (own[(own >= 0) & (own < size)] if foreign else own).tolist()
+
+
 def with_text(rows: DataFrame, model: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """Add the text that an array of ids stands for; a null array decodes to the empty text."""
     require(rows, ids)
@@ -263,7 +276,7 @@ def with_text(rows: DataFrame, model: str, ids: str = "ids", column: str = "deco
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared.value, 1)
         for batch in batches:
-            yield pa.array((codec.decode(v.as_py() or []) for v in batch), pa.string(), size=len(batch))
+            yield pa.array((codec.decode(own) for own in _known(batch, len(codec.written))), pa.string(), size=len(batch))
 
     return adding(rows, {column: decoded(F.col(f"`{ids}`").cast("array<int>"))})
 
