@@ -142,3 +142,14 @@ def test_derived_view_reaches_every_case(spark):
         *(F.count_if(c) for c in (F.col("mensaje_texto").isNull(), F.col("mensaje_texto") == "", F.col("mensaje_texto") == "ok", F.col("mensaje_texto") == "hola, gracias!!")),
     ).first()
     assert tuple(counts) == (75, 75, 36, 33)
+
+
+def test_same_header_is_verified(spark, tmp_path):
+    for number, name in enumerate(("mensaje", "Mensaje_Texto")):
+        frame = spark.createDataFrame([("1", "P1", "hola")], f"n string, id_paciente string, {name} string").coalesce(1)
+        frame.write.mode("append").option("header", True).csv(str(tmp_path / "csv"))
+        frame.write.mode("append").parquet(str(tmp_path / "parquet"))
+    for kind in ("csv", "parquet"):
+        with pytest.raises(readers.InputError, match="same_header"):
+            readers.read_requests(spark, str(tmp_path / kind), kind, order="n", same_header=True)
+        assert readers.read_requests(spark, str(tmp_path / kind), kind, order="n").filter("mensaje_texto = 'hola'").count() == 2

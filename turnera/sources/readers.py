@@ -22,7 +22,7 @@ def discover(spark: SparkSession, path: str, kind: str = "xlsx") -> list[str]:
     """The files of one kind at ``path``: the file itself, or all below the folder, sorted."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     try:
-        found = [r.path for r in listing.load(path).select("path").toLocalIterator()]
+        found = [r.path for r in listing.load(path).select("path").collect()]  # one name a file
     except AnalysisException as missing:
         raise InputError(f"input path does not exist: {path}") from missing
     files = sorted(f for f in found if f.lower().endswith(f".{kind}"))
@@ -46,7 +46,7 @@ def read_requests(
     Parquet files and workbooks number their rows; csv and json need ``order``, a column
     that does.  Names are settled per header before the union, so files that spell a
     column differently meet in one.  ``same_header`` reads a folder whose files all agree
-    as one scan, without looking at each of them first.  ``options`` go to Spark's reader:
+    as one scan; that they do is verified in one distributed job.  ``options`` go to Spark's reader:
     csv is read with quoted line breaks, which keeps a file in one task; where messages
     have none, ``{"multiLine": False}`` lets large files be split.
     """
@@ -55,11 +55,37 @@ def read_requests(
         return read_workbooks(spark, files)
     if order is None and kind != "parquet":
         raise InputError(f"{kind} rows have no position: name a column that orders them")
-    groups = [files] if same_header else _by_header(spark, kind, files, options)
+    groups = [_alike(spark, kind, files)] if same_header else _by_header(spark, kind, files, options)
     return consolidate(_with_provenance(_scan(spark, kind, group, options), order) for group in groups)
 
 
+def _first_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """Files by their first line, in one distributed job over each file's first block."""
+    begin = F.col("_metadata.file_block_start") == 0
+    lines = spark.read.text(list(files)).filter(begin).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    groups: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "at").alias("line")).orderBy("file").collect():
+        groups.setdefault(row.line, []).append(row.file)
+    return groups
+
+
+def _alike(spark: SparkSession, kind: str, files: list[str]) -> list[str]:
+    """The files, once it is verified that their headers do not differ (json has none)."""
+    if kind == "csv" and len(_first_lines(spark, files)) > 1:
+        raise InputError("same_header: the first lines of the files differ")
+    if kind == "parquet":
+        try:
+            every = spark.read.option("mergeSchema", True).parquet(*files).columns  # Spark reads the footers in tasks
+        except Exception as differing:
+            raise InputError("same_header: the files' columns differ in type") from differing
+        if every != spark.read.parquet(files[0]).columns:
+            raise InputError("same_header: the files' columns differ")
+    return files
+
+
 def _by_header(spark: SparkSession, kind: str, files: Sequence[str], options: dict | None) -> list[list[str]]:
+    if kind == "csv":
+        return list(_first_lines(spark, files).values())
     groups: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(8) as pool:
         for file, header in zip(files, pool.map(lambda f: tuple(_scan(spark, kind, [f], options).columns), files)):

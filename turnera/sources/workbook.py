@@ -102,6 +102,8 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path and the path within it."""
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
+    for scheme in ("s3a:", "s3n:"):  # Hadoop's names for one store
+        path = "s3:" + path.removeprefix(scheme) if path.startswith(scheme) else path
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), posixpath.abspath(path))
 
 
