@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.session import shared_folder, ship_package
+from turnera.session import remove_folder, shared_folder, ship_package
 
 
 #: Rows in a batch that goes to Python, unless the session sets a number of its own: whole
@@ -57,10 +57,19 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/turnera-llm/{spark.sparkContext.applicationId}"
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Delete this application's stored tables, once no result that rests on them is needed."""
+    remove_folder(spark, _tables(spark))
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Write a table that later steps share into the shared folder and read it back."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/turnera-llm/{uuid.uuid4().hex}/{label}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}/{label}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -93,6 +93,55 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
+def _url_filter_sql() -> str:
+    """The filter in SQL, its rounds written out one behind another."""
+    lower = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+    rest = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END".format
+    host = f"translate(regexp_extract({{}}, '^([^/?#]*)', 1), {lower})".format
+    rules = ", ".join(f"('{t}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}', '{v}')" for t, v in RULES)
+    href = url_filter.HREF.replace("'", "''")
+    follow, rounds = url_filter.FOLLOW, []
+    for k in range(1, url_filter.ROUNDS + 1):
+        rounds.append(f"""r{k} AS MATERIALIZED (
+            SELECT kind, host, sum(rank) AS rank FROM (
+                SELECT a.kind, a.dst AS host, r.rank * {follow} / d.degree AS rank
+                FROM arcs a JOIN degrees d USING (kind, src) JOIN r{k - 1} r ON r.kind = a.kind AND r.host = a.src
+                UNION ALL SELECT kind, host, rank * (1 - {follow}) FROM r0
+            ) GROUP BY kind, host)""")
+    return f"""
+        WITH rules(rule, rule_host, rule_path, says) AS (VALUES {rules}),
+        split AS (SELECT row_number() OVER () AS r, page_id, html, {rest("coalesce(url, '')")} AS rest FROM pages),
+        page AS (SELECT r, page_id, html, {host('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+        fitted AS (
+            SELECT r, arg_max(rule, (len(rule), rule)) AS rule, arg_max(says, (len(rule), rule)) AS says
+            FROM page JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r
+        ),
+        targets AS (SELECT host AS src, regexp_replace(unnest(regexp_extract_all(html, '{href}', 1)), '(?i)^https?:', '') AS t FROM page),
+        absolute AS (SELECT DISTINCT src, {host(rest("('x:' || t)"))} AS dst FROM targets),
+        hosts AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM (SELECT host FROM page UNION ALL SELECT dst FROM absolute) WHERE host <> ''),
+        up AS (
+            SELECT DISTINCT array_to_string(labels[i:], '.') AS src, array_to_string(labels[i + 1 :], '.') AS dst
+            FROM (SELECT labels, unnest(range(1, len(labels) - 1)) AS i FROM hosts WHERE len(labels) > 2)
+        ),
+        links AS (
+            SELECT DISTINCT src, dst FROM (SELECT src, dst FROM absolute UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up)
+            WHERE src <> dst AND src <> '' AND dst <> ''
+        ),
+        arcs AS MATERIALIZED (SELECT 'trust' AS kind, src, dst FROM links UNION ALL SELECT 'distrust', dst, src FROM links),
+        degrees AS (SELECT kind, src, count(*) AS degree FROM arcs GROUP BY kind, src),
+        seeds AS (SELECT CASE says WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS weight FROM page JOIN fitted USING (r) GROUP BY 1, 2),
+        r0 AS MATERIALIZED (SELECT kind, host, weight::DOUBLE / sum(weight) OVER (PARTITION BY kind) AS rank FROM seeds),
+        {", ".join(rounds)},
+        evidence AS (
+            SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust
+            FROM r{url_filter.ROUNDS} GROUP BY host
+        )
+        SELECT page_id, page.host, path, rule,
+               coalesce(says, CASE WHEN round(distrust, {url_filter.DECIMALS}) > round(trust, {url_filter.DECIMALS}) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM page LEFT JOIN fitted USING (r) LEFT JOIN evidence ON page.host = evidence.host
+    """
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -131,4 +180,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op10_url_filter": _url_filter_sql(),
 }
