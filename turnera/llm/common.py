@@ -57,21 +57,24 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def _tables(spark: SparkSession) -> str:
+def tables_of(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/turnera-llm/{spark.sparkContext.applicationId}"
 
 
 def forget_stored(spark: SparkSession) -> None:
     """Delete this application's stored tables, once no result that rests on them is needed."""
-    remove_folder(spark, _tables(spark))
+    remove_folder(spark, tables_of(spark))
 
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Write a table that later steps share into the shared folder and read it back."""
     spark = frame.sparkSession
-    path = f"{_tables(spark)}/{uuid.uuid4().hex}/{label}"
+    return stored_at(frame, f"{tables_of(spark)}/{uuid.uuid4().hex}/{label}")
+
+
+def stored_at(frame: DataFrame, path: str) -> DataFrame:
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ repeated items are one.  An empty benchmark finds nothing.
 """
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 from typing import NamedTuple
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, ready, require, stored, text_of, without
+from turnera.llm.common import adding, ready, require, stored_at, tables_of, text_of, without
+from turnera.session import remove_folder
 
 #: UTF-8 bytes of benchmark text in one block, on average.
 BLOCK_BYTES = 4 << 20
@@ -121,10 +123,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str =
     ready(spark)
     none = F.lit(None)
     frame = adding(docs, {"_found": F.struct(none.cast("bigint").alias("n_words"), none.cast("array<bigint>").alias("spans"), none.cast("array<string>").alias("items"))})
-    blocks = _blocks(benchmark, item, item_text)
+    blocks, folder = _blocks(benchmark, item, item_text), f"{tables_of(spark)}/{uuid.uuid4().hex}"
     for number, block in enumerate(blocks):
-        if number:
-            frame = stored(frame, f"block-{number}")
+        if number:  # one table at a time: rows with what the blocks so far have found
+            frame = stored_at(frame, f"{folder}/{number}")
+            if number > 1:
+                remove_folder(spark, f"{folder}/{number - 1}")
         # At most one block: BLOCK_BYTES of text on average.
         windows = build([(r["item"], r["text"]) for r in block.collect()], size)
         frame = adding(frame, {"_found": _scanner(spark.sparkContext.broadcast(windows))(text_of(text), "_found.spans", "_found.items")})

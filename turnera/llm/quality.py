@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, ready, require, stored, text_of, without
+from turnera.llm.common import ready, require, stored, text_of, without
 
 #: Labelled documents on which the classifier is fitted, at most.
 SAMPLE = 8192

@@ -21,7 +21,7 @@ output are replaced.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import adding, checkpointed, require, without
+from turnera.llm.common import adding, checkpointed, require
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
