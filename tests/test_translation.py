@@ -97,9 +97,17 @@ def test_hot_texts_give_the_same_rows(spark):
         F.when(F.col("id") % 3 == 0, "muy frecuente").otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("mensaje_limpio"),
     )
     table = tr.translations(tr.distinct_texts(rows), UPPER)
-    split = tr.map_back_split(rows, table, hot_from=100)
-    assert english(split) == english(tr.map_back(rows, table)) and split.count() == 3000
-    assert split.columns == tr.map_back(rows, table).columns
+    mapped = tr.map_back(rows, table)
+    plain = rows.join(table.withColumnRenamed("texto_origen", "mensaje_limpio"), "mensaje_limpio", "left")
+    expected = {r.fila: r.texto_destino for r in plain.collect()}
+    assert english(mapped) == expected and mapped.count() == 3000
+    assert set(mapped.columns) == {"fila", "mensaje_limpio", "mensaje_ingles"}
+
+
+def test_a_hot_text_is_met_in_pieces(spark):
+    rows = spark.range(2000).select(F.col("id").alias("fila"), F.lit("muy frecuente").alias("mensaje_limpio"))
+    plan = tr.map_back(rows, tr.translations(tr.distinct_texts(rows), UPPER))
+    assert "_pieza" in plan._jdf.queryExecution().optimizedPlan().toString() and english(plan) == {i: "MUY FRECUENTE" for i in range(2000)}
 
 
 def test_glossary(spark):
