@@ -248,7 +248,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     members = grouped.withColumn("salt", F.pmod(F.xxhash64("_key", "_digest"), F.lit(SALTS))).join(salted, ["root", "salt"])
     stays = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_digest") == F.col("first._digest"))
     gone = stored(members.filter(~stays).select(F.col("_key").alias("_gone"), F.col("_digest").alias("_gone_digest")), "gone")
-    kept = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")
+    # Hashed by shuffle at every size: a row's text moves once, unsorted, and meets the few ids of its partition.
+    kept = docs.join(gone.hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")
     repeated = grouped.filter("copies > 1").select(F.col("_key").alias("_again"), F.col("_digest").alias("_again_digest"))
     if repeated.isEmpty():
         return kept
