@@ -80,8 +80,9 @@ def average_tokens(cell: DataFrame) -> DataFrame:
     return totals(cell).select(*(_average(F.col(f"tokens_{v}")).alias(v) for v in fixed.VARIANTS))
 
 
-def _average(tokens: Column) -> Column:
-    return F.when(F.col("n") == 0, 0.0).otherwise(tokens.cast("double") / F.col("n").cast("double"))
+def _average(tokens: Column, n: Column | None = None) -> Column:
+    n = F.col("n") if n is None else n
+    return F.when(n == 0, 0.0).otherwise(tokens.cast("double") / n.cast("double"))
 
 
 def _variant_rows(cell: DataFrame) -> DataFrame:
@@ -195,14 +196,13 @@ def aggregates_rows(
 ) -> DataFrame:
     """The whole report as rows ``seccion``, ``clave``, ``valor``: complete for any number of values."""
     sums = totals_and_savings(cell, rate)
-    named = {
-        "totales": {f"{kind}_{v}": f"{kind}_{v}" for kind in ("tokens", "costo") for v in fixed.VARIANTS},
-        "ahorro": {f"{v}_{kind}": f"{v}_{kind}" for v in ("limpio", "ingles") for kind in ("absoluto", "pct")},
-        "procesadas": {"n_procesadas": "n_procesadas"},
-    }
-    parts = [_long(sums, section, names) for section, names in named.items()]
-    parts.append(_long(average_tokens(cell), "promedio_tokens_por_mensaje", {v: v for v in fixed.VARIANTS}))
-    parts.append(_long(stats, "preprocesamiento", {c: c for c in stats.columns}))
+    for v in fixed.VARIANTS:
+        sums = sums.withColumn(f"promedio_{v}", _average(F.col(f"tokens_{v}"), F.col("n_procesadas")))
+    named = [("totales", c, c) for c in (f"{kind}_{v}" for kind in ("tokens", "costo") for v in fixed.VARIANTS)]
+    named += [("ahorro", c, c) for c in (f"{v}_{kind}" for v in ("limpio", "ingles") for kind in ("absoluto", "pct"))]
+    named += [("procesadas", "n_procesadas", "n_procesadas")]
+    named += [("promedio_tokens_por_mensaje", v, f"promedio_{v}") for v in fixed.VARIANTS]
+    parts = [_long(sums, named), _long(stats, [("preprocesamiento", c, c) for c in stats.columns])]
     for section, table, key in (
         ("distribucion_acciones", action_distribution(cell), "accion"),
         ("distribucion_especialidades", specialty_distribution(cell), "especialidad"),
@@ -215,6 +215,7 @@ def aggregates_rows(
     return reduce(DataFrame.union, parts)
 
 
-def _long(row: DataFrame, section: str, names: dict[str, str]) -> DataFrame:
-    pairs = F.array(*(F.struct(F.lit(key).alias("clave"), F.col(c).cast("double").alias("valor")) for key, c in names.items()))
-    return row.select(F.lit(section).alias("seccion"), F.inline(pairs))
+def _long(row: DataFrame, named: list[tuple[str, str, str]]) -> DataFrame:
+    """Columns of one row as (section, key, column) say."""
+    cells = (F.struct(F.lit(s).alias("seccion"), F.lit(k).alias("clave"), F.col(c).cast("double").alias("valor")) for s, k, c in named)
+    return row.select(F.inline(F.array(*cells)))
