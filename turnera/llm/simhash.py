@@ -217,7 +217,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
 def with_components(rows: DataFrame, differing: int = 3) -> DataFrame:
     """Add ``root``, the group's smallest fingerprint, and ``component_id`` to stored rows (_key, fingerprint, ...)."""
-    joined = components(links(rows, differing))
+    return with_roots(rows, components(links(rows, differing)))
+
+
+def with_roots(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """As ``with_components``, from components (node, root) of the fingerprints."""
     smallest = rows.groupBy("fingerprint").agg(F.min("_key").alias("least"))
     labelled = smallest.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
     roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -239,7 +243,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     ready(docs.sparkSession)
     digest = F.xxhash64(text_of(text))
     rows = stored(docs.select(F.col(f"`{key}`").alias("_key"), digest.alias("_digest"), fingerprint(text_of(text), size).alias("fingerprint")), "fingerprints")
-    grouped = with_components(rows, differing).groupBy("root", "_key", "_digest").agg(F.count("*").alias("copies"))
+    return first_rows(docs, with_components(rows, differing), key, text)
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each root among ``rooted`` (_key, _digest, root)."""
+    digest = F.xxhash64(text_of(text))
+    grouped = rooted.groupBy("root", "_key", "_digest").agg(F.count("*").alias("copies"))
     grouped = stored(grouped, "grouped")
     first = F.min(F.struct(F.isnull("_key").alias("none"), "_key", "_digest")).alias("first")
     # Groups of one row decide nothing; a group may hold most rows, so its winner is met by salt.
