@@ -283,3 +283,19 @@ def test_ranks_equal_a_plain_power_iteration(spark):
         spark.createDataFrame([("trust", *x) for x in links], "kind string, src string, dst string"),
     ).collect()
     assert {r.host: pytest.approx(r["rank"]) for r in found} == {h: r for h, r in ranks.items() if r}
+
+
+def test_distrust_reaches_far_hosts_and_faint_ones(spark):
+    rules = [("bad.org/", "block")]
+    chain = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">' if i < 19 else '<a href="http://bad.org/">') for i in range(20)]
+    # One seed page links come from among a million, spread over 60 hosts and again over 60.
+    hub = [(100, "http://bad.org/", None)] + [(200 + i, f"http://mid{i}.net/", '<a href="http://bad.org/">') for i in range(60)]
+    hub += [(300 + i, f"http://far{i}.net/", "".join(f'<a href="http://mid{j}.net/">' for j in range(60))) for i in range(60)]
+    pages = spark.createDataFrame(chain + hub, "page_id long, url string, html string")
+    many = spark.range(1_000_000).select((F.col("id") + 1000).alias("page_id"), F.lit("http://x.bad.org/").alias("url"), F.lit(None).cast("string").alias("html"))
+    found = {r.page_id: r.verdict for r in url_filter.judged(pages.union(many), rules).filter("page_id < 1000").collect()}
+    assert set(found.values()) == {"block"} and len(found) == 141
+    links = spark.createDataFrame([("distrust", "s", f"m{i}") for i in range(500)] + [("distrust", f"m{i}", "end") for i in range(500)], "kind string, src string, dst string")
+    seeds = spark.createDataFrame([("distrust", "s", 1.0), ("distrust", "t", 1e15)], "kind string, host string, weight double")
+    ranks = {r.host: r["rank"] for r in url_filter.spread(seeds, links, rounds=None).collect()}
+    assert ranks["end"] == pytest.approx(0.15 * 0.85**2 * 1e-15) and ranks["m7"] == pytest.approx(0.15 * 0.85 * 1e-15 / 500)

@@ -77,7 +77,8 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+    # The statement in SQL sets the rounds.
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES, rounds=url_filter.ROUNDS).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Query] = {

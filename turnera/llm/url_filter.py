@@ -3,7 +3,7 @@
 Rules (host and path prefix) decide first, the longest that fits.  Pages that no rule fits
 are judged by their host: personalised PageRank starts from the hosts of allowed pages and
 follows links; distrust starts from the hosts of blocked pages and follows links backwards,
-to those that link to them.  A host with more distrust than trust is blocked.
+to those that link to them, until ranks settle.  A host with more distrust than trust is blocked.
 
 Links between hosts are the absolute ``href`` targets of a page, and those between a host
 and its parent domains down to two labels, in both directions, since a site and its
@@ -26,9 +26,15 @@ from turnera.llm.common import adding, checkpointed, require
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 #: Share of rank that follows links; the rest returns to the seeds.
-FOLLOW, ROUNDS = 0.85, 8
-#: Decimals to which trust and distrust are compared, so that the order of sums is immaterial.
-DECIMALS = 12
+FOLLOW = 0.85
+#: Fixed values of op10's statement in SQL: its rounds, and decimals that it compares.
+ROUNDS, DECIMALS = 8, 12
+#: Ranks have settled when a round changes none by more than this share of it; what later rounds
+#: would add is then below FOLLOW / (1 - FOLLOW) of that.  Distrust is more than trust when it is
+#: more by a share beyond that rest, so that neither it nor the order of sums decides.
+SETTLED, EQUAL = 1e-4, 1e-3
+#: Rounds between two checkpoints.
+TOGETHER = 4
 SALTS = 8
 
 
@@ -78,38 +84,51 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return absolute.union(up).union(up.select("dst", "src")).filter("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: int = ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: int | None = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """Personalised PageRank (kind, host, rank) over links (kind, src, dst) from seeds (kind, host, weight).
 
-    Weights of a kind are brought to a sum of one.
+    Weights of a kind are brought to a sum of one.  Without a number of ``rounds`` it goes on until a round
+    changes no host's rank by more than the share ``settled`` of it, so that every host that links reach has
+    one, however far it is and however small.
     """
     totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("rank"))  # a row a kind
     start = checkpointed(start)
-    degrees = links.groupBy("kind", "src").agg(F.count("*").alias("degree"))
+    degrees = checkpointed(links.groupBy("kind", "src").agg(F.count("*").alias("degree")))
     every = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt")
     arcs = checkpointed(links.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS))))
-    ranks, back = start, start.withColumn("rank", F.col("rank") * (1 - follow))
-    for _ in range(rounds):
+    none = F.lit(0.0).alias("before")
+    back = start.select("kind", "host", (F.col("rank") * (1 - follow)).alias("rank"), none)
+    ranks, number = start.withColumn("before", F.lit(0.0)), 0
+    while number != rounds:
+        number += 1
         sent = ranks.join(degrees, (ranks["host"] == degrees["src"]) & (ranks["kind"] == degrees["kind"])).select(
             ranks["kind"], "src", (F.col("rank") * follow / F.col("degree")).alias("share"), every
         )
-        heard = arcs.join(sent, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), F.col("share").alias("rank"))
-        ranks = checkpointed(heard.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-    return ranks
+        heard = arcs.join(sent, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), F.col("share").alias("rank"), none)
+        earlier = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
+        ranks = heard.union(back).union(earlier).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+        if number % TOGETHER == 0 or number == rounds:
+            ranks = checkpointed(ranks)
+            if rounds is None and ranks.filter(F.abs(F.col("rank") - F.col("before")) > settled * F.col("rank")).isEmpty():
+                break
+    return ranks.select("kind", "host", "rank")
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
-    """Add ``host``, ``path``, ``rule`` and a ``verdict`` that is never null to every page."""
+def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", key: str = "page_id", rounds: int | None = None) -> DataFrame:
+    """Add ``host``, ``path``, ``rule`` and a ``verdict`` that is never null to every page.
+
+    Ranks are spread until they settle, unless a number of ``rounds`` is given.
+    """
     require(pages, url, html, key)
     named = parsed(pages.select(F.col(f"`{url}`").alias("_url")), rules, "_url").filter("verdict IS NOT NULL")
     seeds = named.groupBy(F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
     links = checkpointed(host_links(pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))))
     both = links.select(F.lit("trust").alias("kind"), "src", "dst").union(links.select(F.lit("distrust"), "dst", "src"))
-    evidence = spread(seeds, both).groupBy("host").agg(
+    evidence = spread(seeds, both, rounds=rounds).groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"),
     )
-    worse = F.round(F.coalesce("distrust", F.lit(0.0)), DECIMALS) > F.round(F.coalesce("trust", F.lit(0.0)), DECIMALS)
+    worse = F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * (1 + EQUAL)
     blocked = evidence.filter(worse).select("host", F.explode(F.expr(f"sequence(0L, {SALTS * 2 - 1}L)")).alias("_salt"), F.lit(True).alias("_blocked"))
     dealt = parsed(pages, rules, url).withColumn("_salt", F.pmod(F.xxhash64(F.col(f"`{key}`"), "path"), F.lit(SALTS * 2)))
     held = dealt.join(blocked, ["host", "_salt"], "left")
