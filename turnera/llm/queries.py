@@ -1,12 +1,13 @@
 """One query for each operator, over its whole table, and its statement in SQL where there is one."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.llm import decontamination, license_scan, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_counts, topk, url_filter
-from turnera.llm.common import table
+from turnera.llm import decontamination, license_scan, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_counts, token_files, topk, url_filter
+from turnera.llm.common import table, tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), RULES, rounds=url_filter.ROUNDS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a data set into this application's folder of stored tables and reads it back."""
+    path = f"{tables_of(spark)}/{uuid.uuid4().hex}/token-files"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write(token_files.encoded(docs, _vocabulary("word_bpe_49k.json"), end=2), path)
+    return token_files.read_digests(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -92,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
+    "op12_token_files": op12_token_files,
 }
 
 def _url_filter_sql() -> str:
