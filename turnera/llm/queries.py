@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.llm import decontamination, license_scan, lm_scoring, quality, sentencepiece_codec, sharding, simhash, token_counts, token_files, topk, url_filter
+from turnera.llm import decontamination, license_scan, lm_scoring, phrases, quality, sentencepiece_codec, sharding, simhash, token_counts, token_files, topk, url_filter
 from turnera.llm.common import table, tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), RULES, rounds=url_filter.ROUNDS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, within=80, best=2000)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes a data set into this application's folder of stored tables and reads it back."""
     path = f"{tables_of(spark)}/{uuid.uuid4().hex}/token-files"
@@ -101,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
+    "op11_phrases": op11_phrases,
     "op12_token_files": op12_token_files,
 }
 
@@ -192,4 +197,34 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
     "op10_url_filter": _url_filter_sql(),
+    "op11_phrases": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_ASCII_LOWER}, '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents
+        ), worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+        placed AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
+        phrases AS MATERIALIZED (
+            SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM placed GROUP BY ALL
+        ),
+        totals AS (SELECT lang, sum(f) AS n FROM phrases WHERE k = 1 GROUP BY lang),
+        candidates AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1 AND f >= 30),
+        cuts AS (SELECT *, unnest(range(1, k)) AS j FROM candidates),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r, 2000000 * c.a // (x.f + y.f) AS score
+            FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[: c.j], ' ')
+            JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1 :], ' ')
+        ),
+        weakest AS (SELECT lang, phrase, any_value(a) AS a, arg_min(struct_pack(l := l, r := r, score := score), (score, j)) AS cut FROM scored GROUP BY lang, phrase),
+        inner_sizes AS (SELECT lang, a AS f, w, k, unnest(range(2, k)) AS s FROM candidates WHERE k > 2),
+        longer AS (
+            SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(f) AS f
+            FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM inner_sizes) GROUP BY ALL
+        ),
+        ranked AS (
+            SELECT lang, weakest.phrase, a, cut.l AS l, cut.r AS r, cut.score AS score,
+                   row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, encode(weakest.phrase)) AS rank
+            FROM weakest LEFT JOIN longer USING (lang, phrase) WHERE longer.f IS NULL OR 100 * longer.f < 80 * a
+        )
+        SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
