@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnera.llm import decontamination, license_scan, lm_scoring, phrases, quality, sentencepiece_codec, sharding, simhash, token_counts, token_files, topk, url_filter
+from turnera.llm import decontamination, license_scan, lm_scoring, phrases, quality, sentencepiece_codec, sharding, simhash, source_audit, token_counts, token_files, topk, url_filter
 from turnera.llm.common import table, tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(table(spark, sf_dir, "documents"), least=10, best=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
     "op11_phrases": op11_phrases,
     "op12_token_files": op12_token_files,
+    "op13_source_audit": op13_source_audit,
 }
 
 def _url_filter_sql() -> str:
@@ -227,4 +232,42 @@ ORACLES: dict[str, str] = {
         SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
         FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
     """,
+    "op13_source_audit": rf"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), found AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+        counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM found GROUP BY ALL),
+        terms AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 10),
+        wholes AS (SELECT lang, count(*)::HUGEINT AS kept, sum(n) AS whole FROM terms GROUP BY lang),
+        kept AS MATERIALIZED (SELECT lang, source, term, c.n::HUGEINT AS n FROM counts c JOIN terms USING (lang, term)),
+        totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM kept GROUP BY ALL),
+        groups AS MATERIALIZED (
+            SELECT lang, source, coalesce(total, 0) AS total, coalesce(wholes.kept, 0) AS kept
+            FROM (SELECT DISTINCT lang, source FROM doc) LEFT JOIN totals USING (lang, source) LEFT JOIN wholes USING (lang)
+        ),
+        shares AS MATERIALIZED (
+            SELECT g.lang, g.source, t.term, coalesce(k.n, 0) AS n, 1 + 1000000000 * (coalesce(k.n, 0) + 2) // (total + 2 * kept) AS p
+            FROM groups g JOIN terms t USING (lang) LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = t.term
+        ),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ),
+        whole AS (SELECT lang, term, 1 + 1000000000 * (n + 2) // (whole + 2 * kept) AS q FROM terms JOIN wholes USING (lang)),
+        apart AS (
+            SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+            FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM apart)
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
 }
