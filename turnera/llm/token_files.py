@@ -43,11 +43,11 @@ from turnera.llm import bytescan
 from turnera.llm.common import ready, require, stored, text_of
 
 #: Ids of a block, and of a file on average; smaller data sets have a file for each task.
-BLOCK_IDS, FILE_IDS, TASK_IDS = 1 << 18, 1 << 25, 1 << 20
-#: Blocks of a file at most.
-FILE_BLOCKS = 1 << 8
+BLOCK_IDS, FILE_IDS, TASK_IDS = 1 << 18, 1 << 23, 1 << 20
+#: Blocks of a file at most; Spark's reader holds a file whole.
+FILE_BLOCKS = 1 << 6
 #: Units that a worker keeps with their ids.
-KEPT = 600_000
+KEPT = 400_000
 HEADER = struct.Struct("<4sHIIQIIQI")
 MAGIC, VERSION, END_OF_BLOCK = b"TIDS", 1, "/TIDS\n"
 #: Lengths of the four ranks that a control byte describes.
