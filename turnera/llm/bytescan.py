@@ -40,6 +40,19 @@ def portions(texts: pa.Array, size: int = PORTION) -> Iterator[pa.Array]:
         start = stop
 
 
+def collected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def begins(solid: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where a run of ``solid`` bytes begins; no run goes on into the next text."""
     found = solid.copy()

@@ -36,8 +36,8 @@ from turnera.llm.common import ready, require, stored, text_of
 
 #: Phrases in a container before it bursts, and phrases and distinct words that a task holds.
 BURST, ENTRIES, WORDS = 1 << 12, 1 << 20, 1 << 19
-#: Rows of a batch that leaves a task.
-TOLD = 1 << 15
+#: Rows of a batch that leaves a task, and bytes of text that are read together.
+TOLD, TOGETHER = 1 << 15, 16 << 20
 #: Bits of a word id within a packed number; three ids fit.
 ID_BITS = 21
 #: Bits for each phrase of a bit table, and bits of a table at most (64 MB).
@@ -46,6 +46,8 @@ BITS_EACH, MOST_BITS = 16, 1 << 29
 PIECES = 200
 WORD, GAP, BREAK = 0, 1, 2
 CLASSES = bytescan.table_of({0x20: GAP, 0x09: GAP} | {b: BREAK for b in (*b".,;:!?", *range(0x0A, 0x0E))})
+#: A language's phrases are ranked in as many tiers first, so that its last task ranks TIERS times ``best`` at most.
+TIERS = 32
 #: Scores are millionths of twice the share of a phrase in its parts.
 SCALE = 2_000_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -272,7 +274,7 @@ class Counter:
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    for batch in batches:
+    for batch in bytescan.collected(batches, TOGETHER):
         languages = batch["lang"].dictionary_encode()
         codes = languages.indices.to_numpy()
         for code, language in enumerate(languages.dictionary.to_pylist()):
@@ -400,6 +402,8 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, within: int
     most = inner.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     kept = scored.join(most, ["lang", "phrase"], "left").filter(F.coalesce(_exact(F.col("longer")) * 100 < _exact(F.col("cut.a")) * within, F.lit(True)))
 
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("cut.a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    order = [F.desc("cut.score"), F.desc("cut.a"), "phrase"]
+    tier = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(TIERS))).orderBy(*order)
+    first = kept.withColumn("rank", F.row_number().over(tier)).filter(F.col("rank") <= best)  # what one tier of a language keeps
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", *(F.col(f"cut.{c}").alias(c) for c in "alr"), "n", "cut.score")

@@ -96,21 +96,8 @@ def runs_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return terms.cast(pa.string()), n, np.add.reduceat(fresh.astype(np.int64), edges)
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined until enough text is there to be sorted together."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= SORTED:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if size:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _collected(batches):
+    for batch in bytescan.collected(batches, SORTED):
         pairs = pa.StructArray.from_arrays([batch["lang"], batch["source"]], ["lang", "source"])
         names: dict[tuple[str, str], int] = {}
         codes = np.fromiter((names.setdefault((p["lang"], p["source"]), len(names)) for p in pairs.to_pylist()), np.int64, len(pairs))
