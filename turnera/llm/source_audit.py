@@ -32,7 +32,7 @@ from turnera.llm.common import ready, require, stored, text_of
 #: Bytes of text whose pointers are sorted together.
 SORTED = 16 << 20
 #: Cells of a matrix of sources by terms, and pairs that one task sums.
-CELLS, PAIRS = 1 << 21, 1 << 20
+CELLS, PAIRS = 1 << 18, 1 << 20
 #: Shares are in billionths; each count is raised by this much.
 WHOLE, RAISED = 1_000_000_000, 2
 LETTERS = bytescan.table_of(dict.fromkeys((*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)), 1))
