@@ -10,7 +10,7 @@ from turnera.operators import columns, quality, translation
 from turnera.plans import job, queries
 from turnera.plans.settings import RunOptions
 from turnera.session import at_least, shared_folder, wanted_partitions
-from turnera.sources import readers, workbook
+from turnera.sources import memo, readers, workbook
 from tests.conftest import SMALL
 
 FOUR = [
@@ -35,7 +35,7 @@ def test_without_translation(spark, table, tmp_path):
     assert set(document["proyeccion"]) == {"original", "limpio"} and document["proyeccion"]["original"]["anual"]["costo"] > 0
     assert document["totales"]["tokens_original"] == sum(r.tokens_original for r in rows)
     assert sorted((r.fila, r.motivo_rechazo) for r in run.rejects.collect()) == [(2, "vacio"), (3, "vacio")]
-    written = json.loads(next(Path(out, "agregados").glob("part-*.json")).read_text())
+    written = json.loads(next(Path(run.path, "agregados").glob("part-*.json")).read_text())
     assert written["n_procesadas"] == 2 and written["ahorro"]["ingles_pct"] is None
     latest = job.latest_aggregates(spark, out).first()
     assert latest.n_procesadas == 2 and latest.ultima_ejecucion is not None
@@ -57,15 +57,42 @@ def test_run_equals_the_lazy_plan(spark, tmp_path, monkeypatch, pieces):
 def test_second_run_translates_nothing(spark, table, tmp_path):
     options = RunOptions(str(tmp_path / "out"), str(tmp_path / "memo"))
     job.run(spark, table(FOUR), options)
-    first = job.read_memo(spark, options.memo_path)
+    first = memo.read(spark, options.memo_path)
     assert first.count() == 2 and first.columns[0] == "cache_key"
-    job.compact_memo(spark, options.memo_path, str(tmp_path / "compact"))
-    assert sorted(job.read_memo(spark, str(tmp_path / "compact")).collect()) == sorted(first.collect())
     again = job.run(spark, table([*FOUR, ("P9", "Deseo postergar")]), options)
-    assert job.read_memo(spark, options.memo_path).count() == 3
+    assert memo.read(spark, options.memo_path).count() == 3
     assert again.results.count() == 3
 
 
+def test_a_killed_run_leaves_the_former_results(spark, table, tmp_path):
+    options = RunOptions(str(tmp_path / "out"), str(tmp_path / "memo"))
+    with pytest.raises(job.NoResultsError):
+        job.latest_results(spark, options.output_path)
+    first = job.run(spark, table(FOUR), options)
+
+    def broken(batches):
+        yield next(batches)
+        raise OSError("out of memory")
+
+    late = RunOptions(options.output_path, counter=translation_breaks)
+    for attempt in (RunOptions(options.output_path, engine=translation.Engine("rota", batches=broken)), late):
+        with pytest.raises(Exception, match="out of memory|counted"):
+            job.run(spark, table([("P7", "Pido hora para el lunes")]), attempt)
+        assert sorted(job.latest_results(spark, options.output_path).collect()) == sorted(first.results.collect())
+        assert job.latest_aggregates(spark, options.output_path).first().n_procesadas == 2
+    second = job.run(spark, table(FOUR[:1]), options)
+    assert job.latest_run(spark, options.output_path) == second.path and job.latest_results(spark, options.output_path).count() == 1
+    job.remove_former_runs(spark, options.output_path)
+    assert [p.name for p in Path(options.output_path, "corridas").iterdir()] == [second.run_id]
+    observed = job.run_metrics(spark, options.output_path).first()
+    assert (observed.corrida, observed.filas_leidas, observed.filas_escritas) == (second.run_id, 1, 1)
+    assert observed.tokens_original == second.results.agg({"tokens_original": "sum"}).first()[0]
+
+
+def translation_breaks(column):
+    raise ValueError("not to be counted")
+
+
 def test_nothing_to_do(spark, table, tmp_path):
     options = RunOptions(str(tmp_path / "out"))
     with pytest.raises(quality.NoUsableRowsError, match="no rows"):
@@ -84,7 +111,7 @@ def test_workbook_in_workbook_out(spark, table, tmp_path):
     given.coalesce(1).write.format("workbook").mode("append").save(str(tmp_path / "in"))
     requests = readers.read_requests(spark, str(tmp_path / "in"))
     run = job.run(spark, requests, RunOptions(str(tmp_path / "out"), export_format="xlsx"))
-    exported = readers.read_requests(spark, str(tmp_path / "out/xlsx"))
+    exported = readers.read_requests(spark, f"{run.path}/xlsx")
     assert exported.columns[2:] == list(fixed.RESULT_COLUMNS)
     assert sorted(r.mensaje_limpio for r in exported.collect()) == sorted(r.mensaje_limpio for r in run.results.collect())
 
@@ -118,7 +145,7 @@ def test_computed_columns_of_the_input_are_ignored(spark, table, tmp_path):
 
 def test_metrics_come_before_the_table_and_stages_go(spark, table, tmp_path):
     out, seen = tmp_path / "out", []
-    run = job.run(spark, table(FOUR), RunOptions(str(out)), lambda document: seen.append((out / "resultados").exists()))
+    run = job.run(spark, table(FOUR), RunOptions(str(out)), lambda document: seen.append(bool(list(out.glob("corridas/*/resultados")))))
     assert seen == [False] and run.results.count() == 2
     assert not Path(shared_folder(spark).removeprefix("file:"), "turnera", run.run_id).exists()
 

@@ -44,7 +44,7 @@ def test_collapse_keeps_first_and_counts_copies(table):
 
 
 def test_rejects_are_everything_else(table):
-    rows = quality.rejected(quality.numbered(job.prepare(table(ROWS))).checkpoint()).collect()
+    rows = quality.rejected(job.prepare(table(ROWS))).collect()
     assert sorted((r.fila, r.motivo_rechazo) for r in rows) == [
         (1, "duplicado"), (3, "vacio"), (4, "vacio"), (6, "duplicado"), (7, "vacio"), (9, "vacio"),
     ]
@@ -75,3 +75,15 @@ def test_empty_guards():
         quality.require_rows({"filas_leidas": 0, "filas_validas": 0})
     with pytest.raises(quality.NoUsableRowsError, match="discarded"):
         quality.require_rows({"filas_leidas": 3, "filas_validas": 0})
+
+
+def test_rejects_of_a_hot_key_need_no_join(spark):
+    """Every row is told once, whichever task holds the first of its key."""
+    rows = [("a", (i * 37) % 400, "P1", "Deseo anular la hora") for i in range(400)] + [("b", i, f"P{i}", "ok" if i % 2 else f"Pido hora {i}") for i in range(40)]
+    frame = job.prepare(spark.createDataFrame(rows, "archivo_origen string, fila long, paciente_id string, mensaje_texto string").repartition(7))
+    told = quality.labelled(frame)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    got = {(r.archivo_origen, r.fila): r.motivo_rechazo for r in told.collect()}
+    assert len(got) == 440 and got.pop(("a", 0)) is None
+    assert all((r == "duplicado") if k[0] == "a" else (r == ("vacio" if k[1] % 2 else None)) for k, r in got.items())

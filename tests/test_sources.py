@@ -153,3 +153,31 @@ def test_same_header_is_verified(spark, tmp_path):
         with pytest.raises(readers.InputError, match="same_header"):
             readers.read_requests(spark, str(tmp_path / kind), kind, order="n", same_header=True)
         assert readers.read_requests(spark, str(tmp_path / kind), kind, order="n").filter("mensaje_texto = 'hola'").count() == 2
+
+
+def test_headers_are_found_in_tasks(spark, tmp_path, monkeypatch):
+    """Parquet files that differ in a name or a type, json files that differ in their keys: no file is opened by the driver."""
+    from pyspark.sql import functions as F
+
+    frames = [("a", "paciente_id string, mensaje string"), ("b", "ID_PACIENTE string, Mensaje string"), ("c", "paciente_id int, mensaje string")]
+    for kind in ("parquet", "json"):
+        for i, (name, schema) in enumerate(frames):
+            frame = spark.createDataFrame([(i, f"texto {name}")], "n int, m string").select(F.col("n").cast("int" if "int" in schema else "string"), "m")
+            frame = frame.toDF(*(c.split()[0] for c in schema.split(", ")))
+            (frame.withColumn("orden", F.lit(1)) if kind == "json" else frame).coalesce(1).write.format(kind).save(str(tmp_path / kind / name))
+    listed = readers.discover(spark, str(tmp_path / "parquet"), "parquet")
+    assert len(readers._by_header(spark, "parquet", listed, None)) == 3
+    scans = []
+    scan = readers._scan
+    monkeypatch.setattr(readers, "_scan", lambda *a: scans.append(a[2]) or scan(*a))
+    got = readers.read_requests(spark, str(tmp_path / "parquet"), "parquet")
+    assert sorted((r.paciente_id, r.mensaje_texto) for r in got.collect()) == [("0", "texto a"), ("1", "texto b"), ("2", "texto c")] and len(scans) == 3
+    scans.clear()
+    got = readers.read_requests(spark, str(tmp_path / "json"), "json", order="orden")
+    assert sorted((r.paciente_id, r.mensaje_texto) for r in got.collect()) == [("0", "texto a"), ("1", "texto b"), ("2", "texto c")] and len(scans) == 2
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    (whole / "x.json").write_text('[{"orden": 1,\n "paciente_id": "P", "mensaje": "m"}]')
+    (whole / "y.json").write_text('[{"orden": 1,\n "id_paciente": "Q", "mensaje": "m"}]')
+    got = readers.read_requests(spark, str(whole), "json", order="orden", options={"multiLine": True})
+    assert sorted(r.paciente_id for r in got.collect()) == ["P", "Q"]

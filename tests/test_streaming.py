@@ -1,9 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from turnera.operators import columns
-from turnera.plans import job
 from turnera.plans.settings import RunOptions
+from turnera.sources import memo
 from turnera.streaming import incremental
 
 SCHEMA = "id_paciente string, mensaje string"
@@ -64,7 +66,7 @@ def test_a_repeated_batch_replaces_itself(spark, inbox, tmp_path):
     for _ in range(2):
         incremental.process_batch(columns.validated(batch), 0, choice)
     assert results(spark, tmp_path) == [("P1", "Quiero cancelar mi cita")]
-    assert job.read_memo(spark, choice.run.memo_path).count() == 1
+    assert memo.read(spark, choice.run.memo_path).count() == 1
 
 
 def test_streams_with_one_output_keep_both(spark, inbox, tmp_path):
@@ -76,3 +78,34 @@ def test_streams_with_one_output_keep_both(spark, inbox, tmp_path):
     third = incremental.StreamOptions(RunOptions(str(tmp_path / "out"), str(tmp_path / "memo")), str(tmp_path / "control3"), across_batches=True)
     process(spark, inbox[0], third)
     assert results(spark, tmp_path) == sorted(first * 2)
+
+
+def test_keys_are_forgotten_after_their_time(spark, inbox, tmp_path):
+    choice = options(tmp_path, across_batches=True, remember_days=1 / 86_400)  # a second
+    process(spark, inbox[0], choice)
+    time.sleep(2)
+    inbox[1]("03", [("P3", "CONFIRMO la visita")])
+    process(spark, inbox[0], choice)
+    assert [p for p, _ in results(spark, tmp_path)].count("P3") == 2
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "false"
+
+
+def test_files_of_any_header_are_landed_once(spark, tmp_path):
+    for name, rows, schema in (
+        ("1", [("P1", "Quiero cancelar mi cita")], " ID_Paciente string, Mensaje string"),
+        ("2", [("Confirmo la visita", "P2", 5)], "mensaje_texto string, paciente_id string, extra int"),
+        ("3", [(7, "Pido hora")], "paciente_id int, mensaje string"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    where = str(tmp_path / "in"), str(tmp_path / "landed"), str(tmp_path / "control-in")
+    incremental.land(spark, *where, files_per_batch=2).awaitTermination()
+    first = spark.read.parquet(where[1])
+    assert sorted((r.paciente_id, r.mensaje_texto) for r in first.collect()) == [("7", "Pido hora"), ("P1", "Quiero cancelar mi cita"), ("P2", "Confirmo la visita")]
+    # The last batch again, as after a failure between its rows and its commit.
+    for commit in (tmp_path / "control-in" / "commits").glob("*1*"):
+        commit.unlink()
+    spark.createDataFrame([("P9", "Deseo anular")], "id_paciente string, mensaje string").coalesce(1).write.parquet(str(tmp_path / "in" / "4"))
+    incremental.land(spark, *where, files_per_batch=2).awaitTermination()
+    assert spark.read.parquet(where[1]).count() == 4
+    incremental.start(incremental.read_landed(spark, where[1]), options(tmp_path, across_batches=True)).awaitTermination()
+    assert len(results(spark, tmp_path)) == 4

@@ -121,3 +121,36 @@ def test_choice():
     assert tr.choose_engine("local", {"remoto": REVERSE}) is REVERSE
     with pytest.raises(ValueError):
         tr.choose_engine("auto", {})
+
+
+def test_budgeted_batches_keep_their_order():
+    seen = []
+
+    def engine(batches):
+        for texts in batches:
+            seen.append(texts)
+            yield [t.upper() for t in texts]
+
+    lists = [["a b c d e f", "a", "b c", "", "x y z"], [], ["long " * 50, "q"], []]
+    got = list(tr.budgeted(engine, budget=12)(iter(lists)))
+    assert got == [[t.upper() for t in texts] for texts in lists]
+    for texts in seen:
+        assert len(texts) == 1 or len(texts) * max(len(t.split()) + 1 for t in texts) <= 12
+    assert len(seen) < 7
+
+
+def test_engines_are_probed_where_they_run(spark):
+    def broken():
+        return False
+
+    engines = {"a": tr.Engine("a", available=broken), "b": tr.Engine("b", available=lambda: True), "c": tr.Engine("c")}
+    there = tr.probed(spark, engines, tasks=5)
+    assert list(there) == ["b", "c"] and tr.choose_engine("auto", there, ("a", "b")).name == "b"
+
+
+def test_hot_texts_are_met_in_pieces(spark):
+    rows = [(i, "hot") for i in range(300)] + [(1000 + i % 2, f"cold {i % 40}") for i in range(80)] + [(7, None)]
+    frame = spark.createDataFrame(rows, "fila long, mensaje_limpio string")
+    known = tr.distinct_texts(frame.na.drop()).withColumns({"texto_destino": F.upper("texto_origen"), "motor": F.lit("m"), "nuevo": F.lit(True)}).checkpoint()
+    got = tr.map_back(frame, known)
+    assert sorted((r.fila, r.mensaje_limpio or "", r.mensaje_ingles or "") for r in got.collect()) == sorted((f, t or "", (t or "").upper()) for f, t in rows)

@@ -206,6 +206,8 @@ O200K_SPLIT = "|".join(
 
 MEMO_KEY_PREFIX = "tr_es_en:"
 MEMO_KEY_HEX_DIGITS = 16
+#: Tokens of a batch for a translation engine.
+TOKENS_PER_BATCH = 1024
 MEMO_TTL_DAYS = 30
 
 RATE_USD_PER_MILLION = Decimal("2.50")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from turnera.functions import text
 
 ROW_ORDER = ("archivo_origen", "fila")
-ROW_NUMBER = "_numero"
+ROW_PRINT = "_huella"
 
 
 class NoUsableRowsError(ValueError):
@@ -127,22 +127,30 @@ def require_rows(counts: dict) -> dict:
     return counts
 
 
-def numbered(frame: DataFrame) -> DataFrame:
-    """Flag each row and number it; to be written before use, as the numbers hold for that table."""
-    return with_usable(frame).withColumn(ROW_NUMBER, F.monotonically_increasing_id())
+def with_print(frame: DataFrame) -> DataFrame:
+    """Add a hash of the whole row, which orders rows that share their place; rows alike in it are interchangeable."""
+    return frame.withColumn(ROW_PRINT, F.xxhash64(*frame.columns))
 
 
-def rejected(rows: DataFrame, valid: DataFrame | None = None, order: Sequence[str] = ROW_ORDER) -> DataFrame:
-    """Every row that is not valid, with ``motivo_rechazo``; ``rows`` is a stored ``numbered`` table.
+def labelled(frame: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """Every row with ``motivo_rechazo``: ``vacio``, ``duplicado``, or null for a valid one.
 
-    The join runs on the row number, which no two rows share and none lacks, whatever the
-    input's own order columns hold; a message that repeats endlessly is spread over all tasks.
+    Nothing is written or joined.  The first row of each key is found among the rows of one
+    input task, then among these firsts; all other rows are duplicates wherever the first is.  So
+    rows of a message that repeats endlessly stay dealt over as many groups as there are tasks.
     """
-    if valid is None:
-        patient = [c for c in ("paciente_id",) if c in rows.columns]
-        narrow = rows.select(*{*order, *patient, ROW_NUMBER}, "mensaje_texto", "mensaje_limpio", "util")
-        valid = valid_rows(narrow, [*order, ROW_NUMBER])
-    losers = rows.join(valid.select(ROW_NUMBER), ROW_NUMBER, "left_anti")
-    reason = F.when(F.col("util"), "duplicado").otherwise("vacio")
-    kept = [c for c in rows.columns if c not in ("mensaje_limpio", "util", ROW_NUMBER)]
-    return losers.select(*kept, reason.alias("motivo_rechazo"))
+    flagged = with_usable(frame)
+    keyed = flagged.withColumns({"_clave": F.when(F.col("util"), digest(flagged)), "_tarea": F.spark_partition_id()})
+    first = F.row_number().over(Window.partitionBy("_clave", "_tarea").orderBy(*order)) == 1
+    local = keyed.withColumn("_primera", first & F.col("util"))
+    group = F.when(F.col("_primera"), F.lit(-1)).otherwise(F.col("_tarea"))
+    place = F.row_number().over(Window.partitionBy("_clave", "_grupo").orderBy(*order))
+    ranked = local.withColumn("_grupo", group).withColumn("_lugar", place)
+    reason = F.when(~F.col("util"), "vacio").when(~F.col("_primera") | (F.col("_lugar") > 1), "duplicado")
+    return ranked.withColumn("motivo_rechazo", reason).drop("_clave", "_tarea", "_primera", "_grupo", "_lugar")
+
+
+def rejected(frame: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """Every row that is not valid, with ``motivo_rechazo``, in the frame's own columns."""
+    kept = [c for c in frame.columns if c not in ("mensaje_limpio", "util", ROW_PRINT)]
+    return labelled(frame, order).filter("motivo_rechazo IS NOT NULL").select(*kept, "motivo_rechazo")

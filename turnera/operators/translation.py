@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnera import fixed_values as fixed
@@ -27,11 +27,15 @@ Batches = Callable[[Iterator[list[str]]], Iterator[list[str]]]
 
 @dataclass(frozen=True)
 class Engine:
-    """How to translate: ``column`` or ``batches``, never both."""
+    """How to translate: ``column`` or ``batches``, never both.
+
+    ``available`` tells, where it is called, whether the engine's library and model are there.
+    """
 
     name: str
     column: Callable[[Column], Column] | None = None
     batches: Batches | None = None
+    available: Callable[[], bool] | None = None
 
     def apply(self, frame: DataFrame, source: Column, name: str) -> DataFrame:
         """Add the translation of ``source``, or the source where the engine returns nothing."""
@@ -57,6 +61,65 @@ def _in_batches(translate: Batches) -> Callable[[Column], Column]:
     return run
 
 
+def budgeted(translate: Batches, budget: int = fixed.TOKENS_PER_BATCH, cost: Callable[[str], int] = lambda text: len(text.split()) + 1) -> Batches:
+    """An engine that sees batches of like texts within a budget of tokens.
+
+    The texts of each list it is handed are ordered by length and packed so that a batch, every
+    text in it padded to its longest, stays within ``budget``; a text beyond it goes alone.
+    Answers come back in the order of the texts.
+    """
+
+    def packs(texts: list[str]) -> list[list[int]]:
+        costs = list(map(cost, texts))
+        found: list[list[int]] = []
+        for i in sorted(range(len(texts)), key=costs.__getitem__):
+            if not found or (len(found[-1]) + 1) * costs[i] > budget:
+                found.append([])
+            found[-1].append(i)
+        return found
+
+    def run(lists: Iterator[list[str]]) -> Iterator[list[str]]:
+        waiting: deque[tuple[list, deque[list[int]]]] = deque()
+
+        def wanted() -> Iterator[list[str]]:
+            for texts in lists:
+                own = packs(texts)
+                waiting.append(([None] * len(texts), deque(own)))
+                for pack in own:
+                    yield [texts[i] for i in pack]
+
+        def whole() -> Iterator[list[str]]:
+            while waiting and not waiting[0][1]:
+                yield waiting.popleft()[0]
+
+        for answers in translate(wanted()):
+            yield from whole()  # lists without texts
+            answered, left = waiting[0]
+            for i, answer in zip(left.popleft(), answers):
+                answered[i] = answer
+            yield from whole()
+        yield from whole()
+
+    return run
+
+
+def probed(spark: SparkSession, engines: dict[str, Engine], tasks: int | None = None) -> dict[str, Engine]:
+    """The engines whose probe succeeds wherever it is asked; one job asks for all, where engines would run."""
+    probes = {name: e.available for name, e in engines.items() if e.available}
+    if not probes:
+        return dict(engines)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_pydict({"engine": list(probes), "there": [bool(probe()) for probe in probes.values()]})
+
+    places = tasks or spark.sparkContext.defaultParallelism
+    told = spark.range(0, places, 1, places).mapInArrow(asked, "engine string, there boolean")
+    there = {r.engine: r.there for r in told.groupBy("engine").agg(F.bool_and("there").alias("there")).collect()}
+    return {name: e for name, e in engines.items() if there.get(name, True)}
+
+
 def glossary_engine(words: dict[str, str], name: str = "glosario") -> Engine:
     """Word-for-word translation by a small dictionary; unknown words stay."""
     entries = ", ".join(f"{sql_text(word)}, {sql_text(meaning)}" for word, meaning in words.items())
@@ -125,14 +188,20 @@ def translations(
     memo: DataFrame | None = None,
     now: datetime | None = None,
     partitions: int | None = None,
+    tokens_per_task: int | None = None,
 ) -> DataFrame:
     """Distinct texts with ``texto_destino``, ``motor`` and ``nuevo`` (not from the memo).
 
     Only unknown texts reach the engine.  ``partitions`` spreads a costly engine over
-    that many tasks, since the bytes of the texts say little about its work.
+    that many tasks, since the bytes of the texts say little about its work;
+    ``tokens_per_task`` derives their number from the words of the unknown texts, which it
+    counts in a job of its own.
     """
     none = F.lit(None).cast("string")
     looked = texts.withColumns({"texto_destino": none, "motor": none}) if memo is None else lookup(texts, memo, now)
+    if tokens_per_task:
+        words = F.sum(F.when(F.col("texto_destino").isNull(), F.size(F.split("texto_origen", " "))))
+        partitions = max(1, -(-(looked.agg(words).first()[0] or 0) // tokens_per_task))
     if partitions:
         looked = looked.repartition(partitions, "texto_origen")
     unknown = F.when(F.col("texto_destino").isNull(), F.col("texto_origen"))
@@ -166,24 +235,26 @@ PIECES = 200
 def map_back(frame: DataFrame, translated: DataFrame) -> DataFrame:
     """Give every row the translation of its text, or the text itself.
 
-    One join for every size.  Texts that hold more than 1 / PIECES of the rows (``veces``) are
-    listed by a 64-bit hash with the number of pieces they need; the list, at most PIECES
-    entries, is broadcast, their rows are dealt over the pieces and their translations
-    repeated in each.
+    ``translated`` is a stored table: it is read for the texts that hold more than 1 / PIECES
+    of the rows (``veces``), at most PIECES, and for the join.  Those texts are known to the plan by a
+    64-bit hash with the number of pieces they need; their rows are dealt over the pieces and
+    their translations repeated in each.  One join for every size.
     """
     right = translated.withColumnRenamed("texto_origen", "mensaje_limpio")
-    counts = translated.select(F.xxhash64("texto_origen").alias("_h"), "veces")
-    total = counts.agg(F.sum("veces")).scalar()
-    hot = counts.filter(F.col("veces") * PIECES > total).select("_h", F.ceil(F.col("veces") * PIECES / total).cast("int").alias("_n"))
-    hot = F.broadcast(hot.groupBy("_h").agg(F.max("_n").alias("_n")))
-    pieces = F.coalesce("_n", F.lit(1))
-
-    def hashed(side: DataFrame) -> DataFrame:
-        return side.withColumn("_h", F.xxhash64("mensaje_limpio")).join(hot, "_h", "left").drop("_h")
-
-    spread = hashed(frame).withColumn("_pieza", F.pmod(F.xxhash64(*frame.columns), pieces)).drop("_n")
-    repeated = hashed(right).withColumn("_pieza", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_pieza")).drop("_n")
-    repeated = repeated.withColumn("_pieza", F.col("_pieza").cast("bigint"))
+    total = translated.agg(F.sum("veces")).first()[0] or 0
+    often = translated.filter(F.col("veces") * PIECES > total).select(F.xxhash64("texto_origen").alias("h"), "veces").collect()  # PIECES at most
+    needed: dict[int, int] = {}
+    for r in often:
+        needed[r.h] = max(needed.get(r.h, 1), -(-r.veces * PIECES // total))
+    if not needed:
+        return _filled(frame.join(right, "mensaje_limpio", "left"))
+    table = F.expr(f"map({', '.join(f'{h}L, {n}' for h, n in needed.items())})")
+
+    def pieces(side: DataFrame) -> Column:
+        return F.coalesce(F.try_element_at(table, F.xxhash64(side["mensaje_limpio"])), F.lit(1))
+
+    spread = frame.withColumn("_pieza", F.pmod(F.xxhash64(*frame.columns, F.spark_partition_id()), pieces(frame).cast("bigint")))
+    repeated = right.withColumn("_pieza", F.explode(F.sequence(F.lit(0).cast("bigint"), (pieces(right) - 1).cast("bigint"))))
     return _filled(spread.join(repeated, ["mensaje_limpio", "_pieza"], "left").drop("_pieza"))
 
 

@@ -3,7 +3,8 @@
 Row data is shuffled once to drop duplicates and once to meet its translation; the
 distinct texts are shuffled once to be found and once to meet the memo.  Each stage that
 several later ones read is written to the shared folder, so nothing is computed twice
-and a lost executor costs only its own tasks.
+and a lost executor costs only its own tasks.  A run writes into a folder of its own and is
+published at its end; one that dies leaves the results of the former run in place.
 """
 
 import uuid
@@ -12,14 +13,21 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from turnera import fixed_values as fixed
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans.settings import RunOptions
 from turnera.session import at_least, remove_folder, shared_folder, ship_package
+from turnera.sources import memo as stored_memo
+from turnera.sources import published
+
+RUNS = "corridas"
+METRICS_SCHEMA = (
+    "corrida string, filas_leidas bigint, filas_descartadas_vacio bigint, duplicados_eliminados bigint, filas_validas bigint, "
+    "filas_escritas bigint, tokens_original bigint, tokens_limpio bigint, tokens_ingles bigint"
+)
 
 
 @dataclass(frozen=True)
@@ -31,6 +39,7 @@ class RunResult:
     results: DataFrame
     aggregates: DataFrame
     rejects: DataFrame | None = None
+    path: str = ""
 
 
 def prepare(requests: DataFrame) -> DataFrame:
@@ -80,19 +89,18 @@ def run(
 
 def _run(spark: SparkSession, requests: DataFrame, options: RunOptions, on_metrics, run_id: str, stage: str) -> RunResult:
     prepared = at_least(prepare(requests), options.min_partitions, *quality.ROW_ORDER)
-    order = list(quality.ROW_ORDER)
-    if options.rejects:  # rejects name the rows that did not win, so rows get a number first
-        prepared = _written(quality.numbered(prepared), f"{stage}/entrada")
-        order.append(quality.ROW_NUMBER)
+    order, home = list(quality.ROW_ORDER), f"{options.output_path}/{RUNS}/{run_id}"
+    if options.rejects:  # rows that share their place are told apart, so that results and rejects agree on the first
+        prepared = quality.with_print(prepared)
+        order.append(quality.ROW_PRINT)
 
     # 1. Clean, drop duplicates, extract, count what needs no translation.
-    computed = ("mensaje_limpio", "util") if options.rejects else ()
-    wanted = [c for c in prepared.columns if c in order or c in fixed.RESULT_COLUMNS or c in computed]
+    wanted = [c for c in prepared.columns if c in order or c in fixed.RESULT_COLUMNS]
     collapsed = fields.extract_fields(quality.collapse(prepared.select(*wanted), order))
     early = ("original",) if options.optimize_tokens else ("original", "limpio")
     valid = _written(costing.count_variants(collapsed, options.counter, early), f"{stage}/validas")
     stats = quality.require_rows(quality.collapsed_stats(valid).first().asDict())
-    winners = valid = valid.filter("util").drop("util", "copias")
+    valid = valid.filter("util").drop("util", "copias")
 
     # 2. Translate distinct texts; their tokens are counted here, once per text.
     engine_name = "none"
@@ -101,14 +109,14 @@ def _run(spark: SparkSession, requests: DataFrame, options: RunOptions, on_metri
         texts = translation.distinct_texts(valid)
         memo = None
         if options.memo_path:
-            memo, texts = read_memo(spark, options.memo_path), _written(texts, f"{stage}/textos")
-        translated = translation.translations(texts, options.engine, memo, partitions=options.translate_partitions)
+            texts = _written(texts, f"{stage}/textos")
+            memo = stored_memo.read(spark, options.memo_path, texts)
+        translated = translation.translations(texts, options.engine, memo, None, options.translate_partitions, options.tokens_per_task)
         named = translated.withColumns({"mensaje_limpio": F.col("texto_origen"), "mensaje_ingles": F.col("texto_destino")})
         tokens = costing.count_variants(named, options.counter, ("limpio", "ingles"))
         table = _written(tokens.drop("mensaje_limpio", "mensaje_ingles"), f"{stage}/traducciones")
         if options.memo_path:
-            entries = translation.memo_entries(table, options.memo_ttl_days)
-            entries.write.mode("overwrite").parquet(f"{options.memo_path}/corrida={run_id}")
+            stored_memo.write(translation.memo_entries(table, options.memo_ttl_days), options.memo_path, run_id)
         cell = report.cells_of_texts(valid, table)
         valid = translation.map_back(valid, table)
     else:
@@ -116,7 +124,7 @@ def _run(spark: SparkSession, requests: DataFrame, options: RunOptions, on_metri
         cell = report.cells(valid)
 
     # 3. Everything the report says out of one small table, then the results.
-    cell = _written(cell, f"{options.output_path}/celdas")
+    cell = _written(cell, f"{home}/celdas")
     counts = spark.createDataFrame([stats])
     document = report.aggregates_document(
         cell, counts, engine_name, options.optimize_tokens, options.messages_per_day, options.rate
@@ -124,16 +132,23 @@ def _run(spark: SparkSession, requests: DataFrame, options: RunOptions, on_metri
     if on_metrics:
         on_metrics(document.first().asDict(recursive=True))
     results = columns.result_contract(costing.price_rows(valid, options.rate))
-    results = _written(results, f"{options.output_path}/resultados")
-    _write_report(cell, counts, document, options)
+    written = Observation(f"resultados-{run_id}")
+    sums = (F.sum(f"tokens_{v}").alias(f"tokens_{v}") for v in fixed.VARIANTS)
+    results = _written(results.observe(written, F.count("*").alias("filas_escritas"), *sums), f"{home}/resultados")
+    metrics = {"corrida": run_id, **stats, **{k: v or 0 for k, v in written.get.items()}}
+    _written(spark.createDataFrame([metrics], METRICS_SCHEMA), f"{home}/metricas")
+    _write_report(cell, counts, document, options, home)
 
     # 4. Optional outputs.
     rejects = None
     if options.rejects:
-        rejects = _written(quality.rejected(prepared, winners), f"{options.output_path}/rechazos")
+        rejects = _written(quality.rejected(prepared, order), f"{home}/rechazos")
     if options.export_format:
-        export(results, f"{options.output_path}/{options.export_format}", options.export_format)
-    return RunResult(run_id, stats, results, document, rejects)
+        export(results, f"{home}/{options.export_format}", options.export_format)
+
+    # 5. All of it counts from here on, or none.
+    published.publish(spark, options.output_path, lambda before: [run_id])
+    return RunResult(run_id, stats, results, document, rejects, home)
 
 
 def _written(frame: DataFrame, path: str) -> DataFrame:
@@ -141,7 +156,7 @@ def _written(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _write_report(cell: DataFrame, counts: DataFrame, document: DataFrame, options: RunOptions) -> None:
+def _write_report(cell: DataFrame, counts: DataFrame, document: DataFrame, options: RunOptions, home: str) -> None:
     tables = {
         "agregados_filas": report.aggregates_rows(cell, counts, options.messages_per_day, options.rate),
         "distribucion_acciones": report.action_distribution(cell),
@@ -149,9 +164,9 @@ def _write_report(cell: DataFrame, counts: DataFrame, document: DataFrame, optio
         "proyeccion": report.projection(cell, options.messages_per_day, rate=options.rate),
         "comparacion": report.variant_comparison(cell, options.rate),
     }
-    writes = [partial(t.write.mode("overwrite").parquet, f"{options.output_path}/{name}") for name, t in tables.items()]
+    writes = [partial(t.write.mode("overwrite").parquet, f"{home}/{name}") for name, t in tables.items()]
     body = document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False)
-    writes.append(partial(body.json, f"{options.output_path}/agregados"))
+    writes.append(partial(body.json, f"{home}/agregados"))
     with ThreadPoolExecutor(len(writes)) as pool:  # small, independent jobs
         list(pool.map(lambda write: write(), writes))
 
@@ -167,23 +182,36 @@ def export(results: DataFrame, path: str, kind: str) -> None:
         results.write.mode("overwrite").option("header", True).format(kind).save(path)
 
 
-def read_memo(spark: SparkSession, path: str, but: str = "") -> DataFrame:
-    """The memo, empty if it does not exist yet, without what run ``but`` wrote."""
-    try:
-        memo = spark.read.schema(f"{translation.MEMO_SCHEMA}, corrida string").parquet(path)
-        return memo.filter(F.col("corrida") != but).drop("corrida")
-    except AnalysisException as absent:
-        if absent.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], translation.MEMO_SCHEMA)
+class NoResultsError(ValueError):
+    """No run has been published yet."""
+
+
+def latest_run(spark: SparkSession, output_path: str) -> str:
+    """The folder of the last run that was published."""
+    runs = published.current(spark, output_path)
+    if not runs:
+        raise NoResultsError(f"no published run in {output_path}")
+    return f"{output_path}/{RUNS}/{runs[-1]}"
 
 
-def compact_memo(spark: SparkSession, path: str, target: str) -> None:
-    """Write what is still worth keeping of a memo, one entry per text, to a new place."""
-    translation.fresh(read_memo(spark, path)).write.mode("overwrite").parquet(f"{target}/corrida=compacta")
+def latest_results(spark: SparkSession, output_path: str) -> DataFrame:
+    return spark.read.parquet(f"{latest_run(spark, output_path)}/resultados")
+
+
+def run_metrics(spark: SparkSession, output_path: str) -> DataFrame:
+    """What the last run observed: rows read and left out, and rows and tokens as they were written."""
+    return spark.read.schema(METRICS_SCHEMA).parquet(f"{latest_run(spark, output_path)}/metricas")
 
 
 def latest_aggregates(spark: SparkSession, output_path: str) -> DataFrame:
     """The aggregates document of the last run, with the time it was written."""
-    read = spark.read.json(f"{output_path}/agregados")
+    read = spark.read.json(f"{latest_run(spark, output_path)}/agregados")
     return read.select("*", F.col("_metadata.file_modification_time").alias("ultima_ejecucion"))
+
+
+def remove_former_runs(spark: SparkSession, output_path: str) -> None:
+    """Delete the folders of all runs but the published one, also of those still going on."""
+    kept = latest_run(spark, output_path)
+    for name in published.folders(spark, f"{output_path}/{RUNS}"):
+        if not kept.endswith(f"/{name}"):
+            remove_folder(spark, f"{output_path}/{RUNS}/{name}")

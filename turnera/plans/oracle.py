@@ -300,7 +300,19 @@ def catalogue() -> dict[str, str]:
         "latest_aggregates": f"WITH {PROCESSED} SELECT n AS n_procesadas, tokens_original, tokens_limpio, tokens_ingles FROM sumas",
         "read_parquet_folder": f"WITH {SOL} {_READ}",
         "read_csv_folder": f"WITH {SOL} {_READ}",
+        "read_json_folder": f"WITH {SOL} {_READ}",
         "memo_second_run": f"WITH {TEXTS} SELECT cache_key, texto_origen, NOT (antes AND hash_par) AS nuevo FROM (SELECT *, {_EVEN} AS hash_par FROM textos)",
+        "memo_compaction": f"""WITH {TEXTS} SELECT cache_key, texto_origen, {_english('texto_origen')} AS texto_destino, 'otra' AS motor
+            FROM (SELECT *, {_EVEN} AS hash_par FROM textos) WHERE antes AND hash_par""",
+        "latest_results": f"WITH {PROCESSED} {on}",
+        "run_metrics": f"""WITH {PROCESSED}, contados AS (SELECT count(*) AS filas_leidas, count(*) FILTER (NOT util) AS filas_descartadas_vacio,
+                count(*) FILTER (lugar > 1) AS duplicados_eliminados, count(*) FILTER (lugar = 1) AS filas_validas FROM puesta)
+            SELECT contados.*, n AS filas_escritas, tokens_original, tokens_limpio, tokens_ingles FROM contados, sumas""",
+        "empty_guards": f"""WITH {VALID} SELECT 'todas' AS entrada, count(*) AS filas_leidas, count(*) FILTER (lugar = 1) AS filas_validas, NULL AS guarda FROM puesta
+            UNION ALL SELECT 'rechazadas', count(*), 0, 'every row was discarded in preprocessing' FROM puesta WHERE fila % 20 = 0
+            UNION ALL SELECT 'ninguna', 0, 0, 'the input has no rows'""",
+        "budgeted_translation": f"WITH {TEXTS} SELECT cache_key, texto_origen, upper(texto_origen) AS texto_destino, veces FROM textos",
+        "incremental_mixed_headers": f"WITH {PROCESSED} {on.replace('paciente,', 'CAST(NULL AS VARCHAR) AS paciente,', 1)}",
         "batch_engine_translation": f"WITH {VALID} SELECT archivo_origen, fila, mensaje_limpio, upper(mensaje_limpio) AS mensaje_ingles FROM puesta WHERE lugar = 1",
         "incremental_batches": f"WITH {PROCESSED} {on.replace('paciente,', 'CAST(NULL AS VARCHAR) AS paciente,', 1)}",
         "incremental_run": f"WITH {PROCESSED} {on.replace('paciente,', 'CAST(NULL AS VARCHAR) AS paciente,', 1)}",

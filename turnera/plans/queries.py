@@ -17,7 +17,7 @@ from turnera.operators import columns, costing, fields, quality, report, transla
 from turnera.plans import job
 from turnera.plans.settings import RunOptions
 from turnera.session import asked_partitions, at_least, shared_folder, ship_package
-from turnera.sources import requests
+from turnera.sources import memo, requests
 from turnera.sources.readers import consolidate, read_requests
 from turnera.streaming import incremental
 
@@ -112,7 +112,7 @@ def usable_messages(spark, d):
 
 def rejected_messages(spark, d):
     frame = job.prepare(sol(spark, d)).select(*ID, "paciente_id", "mensaje_texto")
-    return quality.rejected(_stored(quality.numbered(frame), f"{_home(spark)}/entrada"))
+    return quality.rejected(frame)
 
 
 def dedup_messages(spark, d):
@@ -171,25 +171,39 @@ def _memo(spark, d) -> DataFrame:
     return translation.memo_entries(translation.translations(translation.distinct_texts(earlier), GLOSSARY))
 
 
+def _stored_memo(spark, d):
+    """Texts, and the memo's entries of the prefixes that they have."""
+    home = _home(spark)
+    memo.write(_memo(spark, d), f"{home}/memo", "primera")
+    texts = _texts(spark, d, home)
+    return texts, memo.read(spark, f"{home}/memo", texts)
+
+
 def memo_lookup(spark, d):
-    looked = translation.lookup(translation.distinct_texts(valid(spark, d)), _memo(spark, d))
+    looked = translation.lookup(*_stored_memo(spark, d))
     return looked.select("cache_key", "texto_origen", "texto_destino", "motor")
 
 
 def memo_misses(spark, d):
-    return translation.misses(translation.distinct_texts(valid(spark, d)), _memo(spark, d)).select(
+    return translation.misses(*_stored_memo(spark, d)).select(
         "cache_key", "texto_origen"
     )
 
 
 def memo_translations(spark, d):
-    texts = translation.distinct_texts(valid(spark, d))
-    return translation.translations(texts, GLOSSARY, _memo(spark, d))
+    texts, known = _stored_memo(spark, d)
+    return translation.translations(texts, GLOSSARY, known)
 
 
 def translate_glossary(spark, d):
-    frame = valid(spark, d)
-    table = translation.translations(translation.distinct_texts(frame), GLOSSARY)
+    return _translated(spark, valid(spark, d), GLOSSARY)
+
+
+def _translated(spark, frame, engine):
+    """Valid rows and their translations, each computed once."""
+    home = _home(spark)
+    frame = _stored(frame.select(*ID, "mensaje_limpio"), f"{home}/validas")
+    table = _stored(translation.translations(translation.distinct_texts(frame), engine), f"{home}/traducciones")
     return translation.map_back(frame, table).select(*ID, "mensaje_limpio", "mensaje_ingles")
 
 
@@ -274,7 +288,7 @@ def latest_aggregates(spark, d):
 def _folder_of_requests(spark, d, kind, **options):
     """Requests written as several files with mixed headers, and where."""
     home = _home(spark)
-    rows = sol(spark, d).select("archivo_origen", F.col("fila").cast("string").alias("orden"), "paciente_id", "mensaje_texto", "fecha_solicitada")
+    rows = sol(spark, d).select("archivo_origen", F.col("fila").cast("string").alias("orden"), "paciente_id", "mensaje_texto", "fecha_solicitada", "especialidad")
     plain = rows.filter(~F.col("archivo_origen").isin(*EARLIER_FILES)).drop("archivo_origen")
     other = rows.filter(F.col("archivo_origen").isin(*EARLIER_FILES)).drop("archivo_origen")
     plain.repartition(2).write.options(**options).format(kind).save(f"{home}/entrada/uno")
@@ -296,31 +310,115 @@ def read_csv_folder(spark, d):
     return _as_read(read_requests(spark, folder, "csv", order="orden"))
 
 
+def read_json_folder(spark, d):
+    folder = _folder_of_requests(spark, d, "json", ignoreNullFields=False)
+    return _as_read(read_requests(spark, folder, "json", order="orden"))
+
+
+def _texts(spark, d, home):
+    return _stored(translation.distinct_texts(valid(spark, d)), f"{home}/textos")
+
+
+def _half_expired(spark, d):
+    """The memo's entries, half of them expired yesterday."""
+    even = F.substring("cache_key", 10, 1).isin(*"02468ace")
+    past = F.current_timestamp() - F.expr("interval 1 day")
+    return _memo(spark, d).withColumn("expires_at", F.when(even, F.col("expires_at")).otherwise(past))
+
+
 def memo_second_run(spark, d):
     """What a second run translates anew after half of the first run's entries have expired."""
     home = _home(spark)
-    entries = _memo(spark, d)
-    even = F.substring("cache_key", 10, 1).isin(*"02468ace")
-    past = F.current_timestamp() - F.expr("interval 1 day")
-    entries.withColumn("expires_at", F.when(even, F.col("expires_at")).otherwise(past)).write.parquet(f"{home}/memo/corrida=primera")
-    texts = _stored(translation.distinct_texts(valid(spark, d)), f"{home}/textos")
-    second = translation.translations(texts, GLOSSARY, job.read_memo(spark, f"{home}/memo"))
+    memo.write(_half_expired(spark, d), f"{home}/memo", "primera")
+    texts = _texts(spark, d, home)
+    second = translation.translations(texts, GLOSSARY, memo.read(spark, f"{home}/memo", texts))
     return second.select("cache_key", "texto_origen", "nuevo")
 
 
+def memo_compaction(spark, d):
+    """A memo of two runs, the same texts in both and half of them expired, compacted prefix by prefix; a later run adds nothing."""
+    path = f"{_home(spark)}/memo"
+    memo.write(_half_expired(spark, d), path, "primera")
+    memo.write(_half_expired(spark, d).withColumn("motor", F.lit("otra")), path, "segunda")
+    memo.compact(spark, path)
+    memo.write(_half_expired(spark, d).limit(0), path, "vacia")
+    return memo.read(spark, path).select("cache_key", "texto_origen", "texto_destino", "motor")
+
+
+def latest_results(spark, d):
+    """Two runs into one output; the second dies after its metrics, so that the first one's results stay the latest."""
+    home = _home(spark)
+    _job(spark, d, home)
+
+    def die(document):
+        raise RuntimeError("killed")
+
+    try:
+        job.run(spark, sol_with_names(spark, d).filter("fila % 2 = 0"), RunOptions(f"{home}/salida", f"{home}/memo"), die)
+    except RuntimeError as killed:
+        if str(killed) != "killed":
+            raise
+    return job.latest_results(spark, f"{home}/salida")
+
+
+def run_metrics(spark, d):
+    home = _home(spark)
+    _job(spark, d, home)
+    return job.run_metrics(spark, f"{home}/salida").drop("corrida")
+
+
+def empty_guards(spark, d):
+    """Which guard stops a run of no rows, of rejected rows only, and of all rows."""
+    frame = sol(spark, d)
+    inputs = {"ninguna": frame.filter("fila < 0"), "rechazadas": frame.filter("fila % 20 = 0"), "todas": frame}
+    told = []
+    for name, rows in inputs.items():
+        counts = quality.stats(job.prepare(rows)).first().asDict()
+        try:
+            quality.require_rows(counts)
+            guard = None
+        except quality.NoUsableRowsError as stopped:
+            guard = str(stopped)
+        told.append((name, counts["filas_leidas"], counts["filas_validas"], guard))
+    return spark.createDataFrame(told, "entrada string, filas_leidas bigint, filas_validas bigint, guarda string")
+
+
 def _upper(batches):
     for texts in batches:
         yield [t.upper() for t in texts]
 
 
 def batch_engine_translation(spark, d):
-    """An engine over batches of texts, chosen by preference; upper case stands for a translation."""
+    """Of three engines the first whose model is there, as tasks find; upper case stands for a translation."""
     ship_package(spark)
-    engines = {"mayusculas": translation.Engine("mayusculas", batches=_upper), GLOSSARY.name: GLOSSARY}
-    engine = translation.choose_engine("auto", engines, ("ausente", "mayusculas"))
-    frame = valid(spark, d)
-    table = translation.translations(translation.distinct_texts(frame), engine)
-    return translation.map_back(frame, table).select(*ID, "mensaje_limpio", "mensaje_ingles")
+    there, absent = (lambda: True), (lambda: False)
+    engines = {
+        "local": translation.Engine("local", batches=_upper, available=absent),
+        "mayusculas": translation.Engine("mayusculas", batches=_upper, available=there), GLOSSARY.name: GLOSSARY,
+    }
+    engine = translation.choose_engine("auto", translation.probed(spark, engines), ("local", "mayusculas"))
+    return _translated(spark, valid(spark, d), engine)
+
+
+#: Tokens of a batch in ``budgeted_translation``.
+BUDGET = 64
+
+
+def _strict_upper(batches):
+    for texts in batches:
+        padded = len(texts) * max(len(t.split()) + 1 for t in texts)
+        if padded > BUDGET and len(texts) > 1:
+            raise ValueError(f"{padded} tokens in a batch")
+        yield [t.upper() for t in texts]
+
+
+def budgeted_translation(spark, d):
+    """An engine that refuses batches beyond its budget gets none; tasks are dealt by tokens."""
+    ship_package(spark)
+    home = _home(spark)
+    engine = translation.Engine("mayusculas", batches=translation.budgeted(_strict_upper, BUDGET))
+    found = translation.translations(_texts(spark, d, home), engine, tokens_per_task=4096)
+    return found.select("cache_key", "texto_origen", "texto_destino", "veces")
 
 
 def incremental_run(spark, d):
@@ -345,6 +443,18 @@ def incremental_batches(spark, d):
     return incremental.results(spark, f"{home}/salida")
 
 
+def incremental_mixed_headers(spark, d):
+    """Files that spell their columns differently, three to a batch, are landed, then run as a stream."""
+    home = _home(spark)
+    folder = _folder_of_requests(spark, d, "json", ignoreNullFields=False)
+    incremental.land(spark, folder, f"{home}/llegadas", f"{home}/control-llegadas", "json", order="orden", files_per_batch=3).awaitTermination()
+    lot = F.concat(F.lit("lote_"), (F.col("fila") % 4).cast("string"))  # the file that the request came from at first
+    landed = incremental.read_landed(spark, f"{home}/llegadas").withColumn("archivo_origen", lot)
+    options = incremental.StreamOptions(RunOptions(f"{home}/salida", f"{home}/memo"), f"{home}/control")
+    incremental.start(landed, options).awaitTermination()
+    return incremental.results(spark, f"{home}/salida")
+
+
 def generated_requests(spark, d):
     return requests.generate_from(orders(spark, d), "o_orderkey")
 
@@ -391,9 +501,16 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_aggregates": latest_aggregates,
     "read_parquet_folder": read_parquet_folder,
     "read_csv_folder": read_csv_folder,
+    "read_json_folder": read_json_folder,
     "memo_second_run": memo_second_run,
+    "memo_compaction": memo_compaction,
+    "latest_results": latest_results,
+    "run_metrics": run_metrics,
+    "empty_guards": empty_guards,
+    "budgeted_translation": budgeted_translation,
     "batch_engine_translation": batch_engine_translation,
     "incremental_run": incremental_run,
     "incremental_batches": incremental_batches,
+    "incremental_mixed_headers": incremental_mixed_headers,
     "generated_requests": generated_requests,
 }

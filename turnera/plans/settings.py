@@ -13,7 +13,7 @@ from turnera.operators.translation import Engine, glossary_engine
 class RunOptions:
     """What a run computes and where it writes.
 
-    ``output_path`` receives ``resultados`` and the report tables.  ``memo_path`` is the
+    ``output_path`` receives a folder for each run with ``resultados``, ``metricas`` and the report tables.  ``memo_path`` is the
     translation memo, None to run without one.  ``export_format`` writes the results a
     second time as xlsx, csv or json.  ``rejects`` also writes the rows left out.
     ``min_partitions`` deals out an input of fewer splits than there are cores.
@@ -27,6 +27,7 @@ class RunOptions:
     counter: TokenCounter = pretoken_counts
     memo_ttl_days: int = fixed.MEMO_TTL_DAYS
     translate_partitions: int | None = None
+    tokens_per_task: int | None = None
     rate: Decimal = fixed.RATE_USD_PER_MILLION
     messages_per_day: int = fixed.MESSAGES_PER_DAY
     rejects: bool = False

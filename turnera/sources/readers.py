@@ -1,15 +1,18 @@
 """Request tables from files: discovery, reading as strings, union with provenance."""
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnera.operators.columns import normalize_columns
-from turnera.sources.workbook import read_workbooks
+from turnera.session import ship_package
+from turnera.sources.workbook import located, read_workbooks
 
 KINDS = ("xlsx", "parquet", "csv", "json")
 
@@ -50,7 +53,13 @@ def read_requests(
     csv is read with quoted line breaks, which keeps a file in one task; where messages
     have none, ``{"multiLine": False}`` lets large files be split.
     """
-    files = discover(spark, path, kind)
+    return read_files(spark, discover(spark, path, kind), kind, order, same_header, options)
+
+
+def read_files(
+    spark: SparkSession, files: list[str], kind: str, order: str | None = None, same_header: bool = False, options: dict | None = None
+) -> DataFrame:
+    """``read_requests`` of files that are already known."""
     if kind == "xlsx":
         return read_workbooks(spark, files)
     if order is None and kind != "parquet":
@@ -84,13 +93,49 @@ def _alike(spark: SparkSession, kind: str, files: list[str]) -> list[str]:
 
 
 def _by_header(spark: SparkSession, kind: str, files: Sequence[str], options: dict | None) -> list[list[str]]:
+    """Files that spell their columns alike, found in one distributed job; only names of files come to the driver."""
     if kind == "csv":
         return list(_first_lines(spark, files).values())
-    groups: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(8) as pool:
-        for file, header in zip(files, pool.map(lambda f: tuple(_scan(spark, kind, [f], options).columns), files)):
-            groups.setdefault(header, []).append(file)
-    return list(groups.values())
+    if kind == "json":
+        return _grouped(_json_keys(spark, files, options)) or [list(files)]
+    if any("://" in f and f.split("://")[0] not in FOOTERS for f in files):  # tasks can't open these without Spark
+        with ThreadPoolExecutor(8) as pool:
+            headers = list(pool.map(lambda f: tuple(_scan(spark, kind, [f], options).dtypes), files))
+        return [[f for f, h in zip(files, headers) if h == header] for header in dict.fromkeys(headers)]
+    ship_package(spark)
+    places = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(places)
+    return _grouped(listed.mapInArrow(_footers, "file string, header array<string>"))
+
+
+#: Schemes that tasks open themselves, for a file's last bytes alone.
+FOOTERS = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names and types of each parquet file, from its footer."""
+    for batch in batches:
+        for file in batch["file"].to_pylist():
+            system, path = located(file)
+            with system.open_input_file(path) as stream:
+                schema = pq.read_schema(stream)
+            yield pa.RecordBatch.from_pydict({"file": [file], "header": [[f"{field.name}\n{field.type}" for field in schema]]})
+
+
+def _json_keys(spark: SparkSession, files: Sequence[str], options: dict | None) -> DataFrame:
+    """The names that the objects of each json file have, in order of name."""
+    whole = str((options or {}).get("multiLine", False)).lower() == "true"
+    rows = spark.read.text(list(files), wholetext=whole).select(F.col("_metadata.file_path").alias("file"), "value")
+    if whole:
+        rows = rows.select("file", F.explode(F.from_json("value", "array<map<string,string>>")).alias("row")).select("file", F.map_keys("row").alias("names"))
+    else:
+        rows = rows.select("file", F.json_object_keys("value").alias("names"))
+    return rows.select("file", F.explode("names").alias("name")).groupBy("file").agg(F.array_sort(F.collect_set("name")).alias("header"))
+
+
+def _grouped(headers: DataFrame) -> list[list[str]]:
+    groups = headers.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return sorted(r.files for r in groups.select("files").collect())
 
 
 def _scan(spark: SparkSession, kind: str, files: Sequence[str], options: dict | None) -> DataFrame:

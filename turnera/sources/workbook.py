@@ -77,7 +77,7 @@ class WorkbookReader(DataSourceReader):
         return [Workbook(f) for f in self.files]
 
     def read(self, partition: Workbook):
-        system, path = _place(partition.path)
+        system, path = located(partition.path)
         with system.open_input_file(path) as stream, zipfile.ZipFile(stream) as book:
             rows = _sheet_rows(book)
             places = canonical_places(["" if c is None else c for c in next(rows, [])])
@@ -98,7 +98,7 @@ class WorkbookReader(DataSourceReader):
                 number += len(batch)
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
+def located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path and the path within it."""
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
@@ -229,7 +229,7 @@ class WorkbookWriter(DataSourceWriter):
         self.path, self.names, self.overwrite = path, schema.names, overwrite
 
     def write(self, rows) -> Written:
-        system, folder = _place(self.path)
+        system, folder = located(self.path)
         pending = posixpath.join(folder, "_temporary")
         system.create_dir(pending, recursive=True)
         rows, files = iter(rows), []
@@ -253,7 +253,7 @@ class WorkbookWriter(DataSourceWriter):
                 sheet.write(b"</sheetData></worksheet>")
 
     def commit(self, messages) -> None:
-        system, folder = _place(self.path)
+        system, folder = located(self.path)
         system.create_dir(folder, recursive=True)
         if self.overwrite:
             for old in system.get_file_info(fs.FileSelector(folder)):
@@ -263,7 +263,7 @@ class WorkbookWriter(DataSourceWriter):
             system.move(file, posixpath.join(folder, posixpath.basename(file)))
 
     def abort(self, messages) -> None:
-        system, _ = _place(self.path)
+        system, _ = located(self.path)
         for file in (f for m in messages if m for f in m.files):
             system.delete_file(file)
 

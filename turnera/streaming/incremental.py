@@ -4,33 +4,44 @@ Every micro-batch writes under its stream's identity and its own number, replaci
 earlier attempt at the same batch wrote, so a restart neither loses nor repeats rows, and
 streams that share an output never touch each other's.  The identity is the one that Spark
 keeps in the checkpoint: it survives restarts and is new with a new checkpoint.
+
+Duplicates across batches are told by keyed state in Spark's state store: a batch looks up its
+own keys and costs the same whatever came before.  Only a new stream reads the keys that the
+output already holds, once, as its initial state.
+
+Files whose headers differ are landed first (``land``): a stream of their names, each batch read
+header by header and written with the canonical columns, which ``read_landed`` streams on.
 """
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from turnera import fixed_values as fixed
 from turnera.functions.text import strip
 from turnera.operators import columns, costing, fields, quality, translation
-from turnera.plans.job import prepare, read_memo
+from turnera.plans.job import prepare
 from turnera.plans.settings import RunOptions
 from turnera.session import at_least, remove_folder, ship_package
+from turnera.sources import memo as stored_memo
+from turnera.sources.published import exists
+from turnera.sources.readers import read_files
 
 KEYS_SCHEMA = "clave_sha string, flujo string, lote bigint"
 
 
 @dataclass(frozen=True)
 class StreamOptions:
-    """``across_batches`` also drops what an earlier batch already accepted."""
+    """``across_batches`` also drops what an earlier batch already accepted, ``remember_days`` at most ago if given."""
 
     run: RunOptions
     checkpoint: str
     across_batches: bool = False
+    remember_days: float | None = None
     files_per_batch: int | None = None
 
 
@@ -51,19 +62,120 @@ def read_stream(
     )
 
 
+LANDED = {"archivo_origen": "string", "fila": "bigint"} | {c: "string" for c in fixed.RESULT_COLUMNS if c not in columns.COMPUTED}
+
+
+def land(
+    spark: SparkSession, path: str, landed: str, checkpoint: str, kind: str = "parquet", order: str | None = None,
+    files_per_batch: int | None = None, options: dict | None = None,
+) -> StreamingQuery:
+    """Bring what has arrived at ``path`` since the last time, with whatever headers, to ``landed`` with canonical columns.
+
+    The stream is one of file names; no file is opened for it.  A batch that is already there
+    whole is not written again, so that a restart after a failure lands every file once.
+    """
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
+    if files_per_batch:
+        names = names.option("maxFilesPerTrigger", files_per_batch)
+
+    def process(batch: DataFrame, number: int) -> None:
+        place = f"{landed}/lote={number}"
+        if exists(batch.sparkSession, f"{place}/_SUCCESS"):
+            return
+        files = sorted(r.path for r in batch.select("path").collect())  # one name a file
+        if files:
+            read = columns.validated(read_files(batch.sparkSession, files, kind, order, options=options))
+            kept = [(F.col(c) if c in read.columns else F.lit(None)).cast(t).alias(c) for c, t in LANDED.items()]
+            read.select(*kept).write.mode("overwrite").parquet(place)
+
+    writer = names.load(path).select("path").writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def read_landed(spark: SparkSession, landed: str, batches_per_batch: int | None = None) -> DataFrame:
+    """Landed requests as a stream, with the provenance they arrived with."""
+    reader = spark.readStream.schema(", ".join(f"{c} {t}" for c, t in LANDED.items())).option("recursiveFileLookup", True)
+    if batches_per_batch:
+        reader = reader.option("maxFilesPerTrigger", batches_per_batch)
+    return reader.parquet(landed)
+
+
+class FirstOfKey(StatefulProcessor):
+    """The first row of each key in a batch, how many rows it stands for, and whether the key is new to the stream."""
+
+    def __init__(self, names: list[str], remember_ms: int | None):
+        self.row, self.remember = Row(*names, "copias", "nuevo"), remember_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("visto", "visto boolean", self.remember)
+
+    def handleInputRows(self, key, rows, timers):
+        best, place, number = None, None, 0
+        for row in rows:
+            number += 1
+            own = tuple((row[c] is not None, row[c]) if row[c] is not None else (False, 0) for c in quality.ROW_ORDER)
+            if best is None or own < place:
+                best, place = row, own
+        if best is None:
+            return
+        new = not (best["util"] and self.seen.exists())
+        if best["util"] and new:
+            self.seen.update((True,))
+        yield self.row(*best, number, new)
+
+    def handleInitialState(self, key, row, timers) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+#: Groups that the unusable rows of a batch are dealt into; they have no key.
+UNUSABLE_GROUPS = 64
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_of_keys(requests: DataFrame, earlier: DataFrame, remember_days: float | None = None) -> DataFrame:
+    """A stream's rows, one for each key and batch, with ``clave_sha``, ``copias`` and ``nuevo``; ``earlier`` keys are known from the start.
+
+    Keys live in Spark's state store, with a time to live if ``remember_days`` is given; the session then runs no
+    batches without data, as every key yet to expire would call for one.
+    """
+    spark = requests.sparkSession
+    if spark.conf.get(_PROVIDER, _ROCKS) != _ROCKS or spark.conf.get(_PROVIDER, None) is None:
+        spark.conf.set(_PROVIDER, _ROCKS)
+    if remember_days is not None:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    flagged = quality.with_usable(requests)
+    spare = F.concat(F.lit("vacio:"), F.pmod(F.xxhash64(*quality.ROW_ORDER), F.lit(UNUSABLE_GROUPS)).cast("string"))
+    keyed = flagged.withColumn("clave_sha", F.when(F.col("util"), quality.digest(flagged)).otherwise(spare))
+    schema = StructType([*keyed.schema.fields, StructField("copias", LongType()), StructField("nuevo", BooleanType())])
+    lifetime = None if remember_days is None else int(remember_days * 86_400_000)
+    return keyed.groupBy("clave_sha").transformWithState(
+        FirstOfKey(keyed.columns, lifetime), schema, "Append", "None" if lifetime is None else "ProcessingTime", initialState=earlier.groupBy("clave_sha")
+    )
+
+
 def start(requests: DataFrame, options: StreamOptions, on_metrics: Callable[[int, dict], None] | None = None) -> StreamingQuery:
     """Run a stream of requests until what is there now has been processed.
 
     ``on_metrics`` gets the exact counts of a batch before its results are written; the
     query's own progress shows ``volumen``, rows and blank messages, while it reads.
     """
-    ship_package(requests.sparkSession)
+    spark = requests.sparkSession
+    ship_package(spark)
     frame = prepare(requests)
     blank = F.count_if(strip(F.col("mensaje_texto")) == "").alias("mensajes_en_blanco")
     watched = frame.observe("volumen", F.count("*").alias("filas_leidas"), blank)
+    if options.across_batches:
+        watched = first_of_keys(watched, _known_keys(spark, options), options.remember_days)
 
     def process(batch: DataFrame, number: int) -> None:
-        process_batch(batch, number, options, on_metrics, stream_id(batch.sparkSession, options.checkpoint))
+        stream = stream_id(batch.sparkSession, options.checkpoint)
+        if options.across_batches:
+            process_collapsed(batch, number, options, on_metrics, stream)
+        else:
+            process_batch(batch, number, options, on_metrics, stream)
 
     writer = watched.writeStream.foreachBatch(process).option("checkpointLocation", options.checkpoint)
     return writer.trigger(availableNow=True).start()
@@ -81,45 +193,48 @@ def process_batch(
     on_metrics: Callable[[int, dict], None] | None = None,
     stream: str = "manual",
 ) -> None:
-    """One micro-batch: duplicates, fields, translation, costs, results."""
-    spark, run = batch.sparkSession, options.run
+    """One micro-batch without keyed state: duplicates within it, then ``process_collapsed``."""
+    dealt = at_least(batch, options.run.min_partitions, *quality.ROW_ORDER)
+    collapsed = quality.collapse(dealt)
+    process_collapsed(collapsed.withColumns({"clave_sha": quality.digest(collapsed), "nuevo": F.lit(True)}), number, options, on_metrics, stream)
+
+
+def process_collapsed(
+    collapsed: DataFrame,
+    number: int,
+    options: StreamOptions,
+    on_metrics: Callable[[int, dict], None] | None = None,
+    stream: str = "manual",
+) -> None:
+    """Rows that stand for their key (``util``, ``copias``, ``clave_sha``, ``nuevo``): fields, translation, costs, results."""
+    spark, run = collapsed.sparkSession, options.run
     home = f"{run.output_path}/lotes"
     place = f"flujo={stream}/lote={number}"
-    dealt = at_least(batch, run.min_partitions, *quality.ROW_ORDER)
-    collapsed = fields.extract_fields(quality.collapse(dealt))
     early = ("original",) if run.optimize_tokens else ("original", "limpio")
-    collapsed = costing.count_variants(collapsed.withColumn("clave_sha", quality.digest(collapsed)), run.counter, early)
-    accepted = _written(collapsed, f"{home}/validas/{place}")
+    accepted = _written(costing.count_variants(fields.extract_fields(collapsed), run.counter, early), f"{home}/validas/{place}")
     if on_metrics:
-        on_metrics(number, quality.collapsed_stats(accepted).first().asDict())
-    valid = accepted.filter("util").drop("util", "copias")
-
-    if options.across_batches:
-        earlier = _earlier_keys(spark, f"{home}/claves", stream, number)
-        # Keys of this batch are the small side: they thin the history before it moves.
-        seen = earlier.join(valid.select("clave_sha"), "clave_sha", "left_semi").distinct()
-        valid = _written(valid.join(seen, "clave_sha", "left_anti"), f"{home}/nuevas/{place}")
+        on_metrics(number, quality.collapsed_stats(accepted.withColumn("util", F.when(F.col("nuevo") | ~F.col("util"), F.col("util")))).first().asDict())
+    valid = accepted.filter("util AND nuevo").drop("util", "copias", "nuevo")
     valid.select("clave_sha").write.mode("overwrite").parquet(f"{home}/claves/{place}")
     valid = valid.drop("clave_sha")
 
     if run.optimize_tokens:
         # A second attempt must see the memo as the first one did.
         entry = f"{stream}_{number}"
-        memo = read_memo(spark, run.memo_path, but=entry) if run.memo_path else None
         texts = _written(translation.distinct_texts(valid), f"{home}/textos/{place}")
-        translated = translation.translations(texts, run.engine, memo, partitions=run.translate_partitions)
+        memo = stored_memo.read(spark, run.memo_path, texts, but=entry) if run.memo_path else None
+        translated = translation.translations(texts, run.engine, memo, None, run.translate_partitions, run.tokens_per_task)
         named = translated.withColumns({"mensaje_limpio": F.col("texto_origen"), "mensaje_ingles": F.col("texto_destino")})
         counted = costing.count_variants(named, run.counter, ("limpio", "ingles")).drop("mensaje_limpio", "mensaje_ingles")
         table = _written(counted, f"{home}/traducciones/{place}")
         if run.memo_path:
-            entries = translation.memo_entries(table, run.memo_ttl_days)
-            entries.write.mode("overwrite").parquet(f"{run.memo_path}/corrida={entry}")
+            stored_memo.write(translation.memo_entries(table, run.memo_ttl_days), run.memo_path, entry)
         valid = translation.map_back(valid, table)
     else:
         valid = translation.untranslated(valid)
     results = columns.result_contract(costing.price_rows(valid, run.rate))
     results.write.mode("overwrite").parquet(f"{run.output_path}/resultados/{place}")
-    for passed in ("validas", "nuevas", "textos", "traducciones"):
+    for passed in ("validas", "textos", "traducciones"):
         remove_folder(spark, f"{home}/{passed}/{place}")
 
 
@@ -128,15 +243,11 @@ def _written(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _earlier_keys(spark: SparkSession, path: str, stream: str, number: int) -> DataFrame:
-    """Accepted keys of all streams into this output, but for this batch and later ones of its own stream."""
-    try:
-        keys = spark.read.schema(KEYS_SCHEMA).parquet(path)
-    except AnalysisException as absent:
-        if absent.getCondition() != "PATH_NOT_FOUND":
-            raise
-        keys = spark.createDataFrame([], KEYS_SCHEMA)
-    return keys.filter((F.col("flujo") != stream) | (F.col("lote") < number)).select("clave_sha")
+def _known_keys(spark: SparkSession, options: StreamOptions) -> DataFrame:
+    """Keys that all streams into this output have accepted, read as the initial state of a new stream only."""
+    path = f"{options.run.output_path}/lotes/claves"
+    keys = spark.read.schema(KEYS_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], KEYS_SCHEMA)
+    return keys.select("clave_sha").distinct()
 
 
 def results(spark: SparkSession, output_path: str) -> DataFrame:
