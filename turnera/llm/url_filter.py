@@ -14,7 +14,7 @@ dealt into salted pieces, as a hub may hold most of them.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule, and
 is allowed, as is a host without evidence (no trust, no distrust).  Null html has no links.
-Repeated rows are judged and counted each.  Other columns pass through; those named like an
+A url or html of any length is read whole.  Repeated rows are judged and counted each.  Other columns pass through; those named like an
 output are replaced.
 """
 
@@ -27,8 +27,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 #: Share of rank that follows links; the rest returns to the seeds.
 FOLLOW = 0.85
-#: Fixed values of op10's statement in SQL: its rounds, and decimals that it compares.
-ROUNDS, DECIMALS = 8, 12
 #: Ranks have settled when a round changes none by more than this share of it; what later rounds
 #: would add is then below FOLLOW / (1 - FOLLOW) of that.  Distrust is more than trust when it is
 #: more by a share beyond that rest, so that neither it nor the order of sums decides.
@@ -84,7 +82,7 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return absolute.union(up).union(up.select("dst", "src")).filter("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: int | None = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: int | None = None, settled: float = SETTLED) -> DataFrame:
     """Personalised PageRank (kind, host, rank) over links (kind, src, dst) from seeds (kind, host, weight).
 
     Weights of a kind are brought to a sum of one.  Without a number of ``rounds`` it goes on until a round
