@@ -78,8 +78,7 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The statement in SQL sets the rounds.
-    return url_filter.judged(table(spark, sf_dir, "pages"), RULES, rounds=url_filter.ROUNDS).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,23 +113,20 @@ QUERIES: dict[str, Query] = {
     "op13_source_audit": op13_source_audit,
 }
 
+#: Rounds of the statement in SQL: what later ones could add to a rank is below 0.85 ** 200 of all.
+SQL_ROUNDS = 200
+
+
 def _url_filter_sql() -> str:
-    """The filter in SQL, its rounds written out one behind another."""
+    """The filter in SQL.  A source without a name, which no page has, holds rank 1 for ever and sends the seeds theirs."""
     lower = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
     rest = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END".format
     host = f"translate(regexp_extract({{}}, '^([^/?#]*)', 1), {lower})".format
     rules = ", ".join(f"('{t}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}', '{v}')" for t, v in RULES)
     href = url_filter.HREF.replace("'", "''")
-    follow, rounds = url_filter.FOLLOW, []
-    for k in range(1, url_filter.ROUNDS + 1):
-        rounds.append(f"""r{k} AS MATERIALIZED (
-            SELECT kind, host, sum(rank) AS rank FROM (
-                SELECT a.kind, a.dst AS host, r.rank * {follow} / d.degree AS rank
-                FROM arcs a JOIN degrees d USING (kind, src) JOIN r{k - 1} r ON r.kind = a.kind AND r.host = a.src
-                UNION ALL SELECT kind, host, rank * (1 - {follow}) FROM r0
-            ) GROUP BY kind, host)""")
+    follow = url_filter.FOLLOW
     return f"""
-        WITH rules(rule, rule_host, rule_path, says) AS (VALUES {rules}),
+        WITH RECURSIVE rules(rule, rule_host, rule_path, says) AS (VALUES {rules}),
         split AS (SELECT row_number() OVER () AS r, page_id, html, {rest("coalesce(url, '')")} AS rest FROM pages),
         page AS (SELECT r, page_id, html, {host('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
         fitted AS (
@@ -152,13 +148,21 @@ def _url_filter_sql() -> str:
         degrees AS (SELECT kind, src, count(*) AS degree FROM arcs GROUP BY kind, src),
         seeds AS (SELECT CASE says WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS weight FROM page JOIN fitted USING (r) GROUP BY 1, 2),
         r0 AS MATERIALIZED (SELECT kind, host, weight::DOUBLE / sum(weight) OVER (PARTITION BY kind) AS rank FROM seeds),
-        {", ".join(rounds)},
+        moves AS MATERIALIZED (
+            SELECT a.kind, a.src, a.dst, {follow} / d.degree AS share FROM arcs a JOIN degrees d USING (kind, src)
+            UNION ALL SELECT kind, NULL, host, rank * (1 - {follow}) FROM r0 UNION ALL SELECT DISTINCT kind, NULL, NULL, 1.0 FROM r0
+        ),
+        ranks AS (
+            SELECT 0 AS round, kind, host, rank FROM r0 UNION ALL SELECT DISTINCT 0, kind, NULL, 1.0::DOUBLE FROM r0
+            UNION ALL SELECT any_value(round) + 1, r.kind, m.dst, sum(r.rank * m.share)
+            FROM ranks r JOIN moves m ON r.kind = m.kind AND r.host IS NOT DISTINCT FROM m.src WHERE round < {SQL_ROUNDS} GROUP BY r.kind, m.dst
+        ),
         evidence AS (
             SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust
-            FROM r{url_filter.ROUNDS} GROUP BY host
+            FROM ranks WHERE round = {SQL_ROUNDS} AND host IS NOT NULL GROUP BY host
         )
         SELECT page_id, page.host, path, rule,
-               coalesce(says, CASE WHEN round(distrust, {url_filter.DECIMALS}) > round(trust, {url_filter.DECIMALS}) THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(says, CASE WHEN distrust > trust * (1 + {url_filter.EQUAL}) THEN 'block' ELSE 'allow' END) AS verdict
         FROM page LEFT JOIN fitted USING (r) LEFT JOIN evidence ON page.host = evidence.host
     """
 
