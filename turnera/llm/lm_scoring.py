@@ -6,12 +6,14 @@ to a rare class told by their ending, in which their share is (c + 1) / (n + v +
 the class's tokens and distinct words in training, so that an unseen word has its share too.
 The network then learns which classes and words follow, starting from the counts.
 
-Training is data-parallel: each partition of the training documents runs truncated
-backpropagation over windows of its own texts (a window for every ``EVERY`` tokens of every
-training document, at places drawn by a digest of the text, so that work follows the corpus),
-and the weights are averaged by words seen, up a tree of bounded groups, for each of
-``ROUNDS`` rounds.  Scoring lays documents in lanes and carries the state through all windows
-of a document, however long.
+Each text is then read once more, for the ids of its words, which are stored; training and
+scoring read ids.  Training is data-parallel and covers every training text whole: texts are dealt by a
+hash of their ids to ``ROUNDS`` rounds and, in each, to learners of about ``LEARNER_WORDS`` words.
+A learner lays its texts in lanes and runs truncated backpropagation through all of their words in
+consecutive windows, the state carried from window to window.  The learners' weights are averaged by
+words seen, up a tree of bounded groups, and start the next round.  As a learner's share does not depend on
+partitions or executors, neither do the weights.  Scoring lays documents in lanes and
+carries the state through all windows of a document, however long.
 
 Counts of the ``KNOWN`` most frequent words are broadcast (the bound of every broadcast
 here); the other words of each document meet their counts in a join.
@@ -39,10 +41,12 @@ from turnera.llm.recurrent import FREQUENT, RARE, Vocabulary
 
 #: Words whose counts every worker holds, and distinct words a counting task holds at once.
 KNOWN, HELD = 1 << 17, 1 << 19
-#: Training windows: their length, tokens for each, and rounds of averaging.
-WINDOW, EVERY, ROUNDS = 48, 768, 2
-#: Bytes of text that are scored in one set of lanes.
-TOGETHER = 8 << 20
+#: Words that a learner sees in a round, about, and rounds of averaging.
+LEARNER_WORDS, ROUNDS = 1 << 20, 4
+#: Bytes of ids that are scored in one set of lanes.
+TOGETHER = 3 << 20
+#: An id of the network in a stored table.
+IDS = np.dtype("<u2")
 #: Weights travel in pieces of this many numbers, and are added in groups of this many rows.
 PIECE, FAN = 8192, 64
 #: The end token; no word is empty.
@@ -134,57 +138,44 @@ def _numbers(words: list[bytes], held: Vocabulary) -> tuple[np.ndarray, np.ndarr
 # --- training ----------------------------------------------------------------------------
 
 
-def _windows(texts: Iterator[str], held: Vocabulary, round_number: int):
-    """(inputs, targets) of the windows drawn from each text."""
-    first = held.index[END]
-    for text in texts:
-        words = tokens_of(text)
-        digest, places = zlib.crc32(b" ".join(words), round_number), max(1, len(words) - WINDOW + 1)
-        for number in range(-(-len(words) // EVERY)):
-            start = zlib.crc32(number.to_bytes(8, "little"), digest) % places
-            _, ids = _numbers(words[max(0, start - 1) : start + WINDOW], held)
-            yield (ids[:-1], ids[1:]) if start else (np.r_[first, ids[:-1]], ids)
+def _learner(shared, first: int):
+    """One round of a learner: the weights it comes to, in pieces, times the words it saw."""
 
+    def learned(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("h", "ascending"), ("ids", "ascending")])
+        trainer = recurrent.Trainer(shared.value)
+        trainer.learn([np.frombuffer(d.as_buffer(), IDS) for d in rows["ids"]], first)
+        values, task = recurrent.flat(trainer.weights).astype(np.float64) * trainer.words, rows["learner"][0].as_py()
+        parts = [{"task": task, "piece": p, "words": float(trainer.words), "held": values[p * PIECE : (p + 1) * PIECE]} for p in range(-(-len(values) // PIECE))]
+        return pa.Table.from_pylist(parts, schema=_PIECES)
 
-def _batch(windows: list[tuple[np.ndarray, np.ndarray]]):
-    longest = max(len(t) for _, t in windows)
-    shape = (longest, len(windows))
-    inputs, targets, weight = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.zeros(shape)
-    for lane, (i, t) in enumerate(windows):
-        inputs[: len(i), lane], targets[: len(t), lane], weight[: len(t), lane] = i, t, 1
-    return inputs, targets, weight
+    return learned
 
 
-def train(texts: DataFrame, held: Vocabulary, rounds: int = ROUNDS) -> recurrent.Weights:
-    """Weights averaged over the partitions of the training texts."""
-    spark = texts.sparkSession
+def train(coded: DataFrame, held: Vocabulary, rounds: int = ROUNDS, learner_words: int = LEARNER_WORDS) -> recurrent.Weights:
+    """Weights learned from the ids of all training texts (n_tokens, ids).
+
+    Each text takes part in one round, whole.  A round's texts are dealt by a hash of their ids to learners of
+    about ``learner_words`` words, however many partitions there are; the learners' weights are
+    averaged by words seen, and the next round starts from the average.
+    """
+    spark = coded.sparkSession
     weights = recurrent.initial(held.counts[:FREQUENT], held.rare_tokens)
-    counted = spark.sparkContext.broadcast(held)
+    first = held.index[END]
+    hashed = coded.select("n_tokens", "ids", F.xxhash64("ids").alias("h"))
+    total = hashed.agg(F.sum("n_tokens")).first()[0] or 0
+    rounds = max(1, min(rounds, -(-total // learner_words)))
+    learners = max(1, round(total / rounds / learner_words))
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
-        def learned(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            trainer, waiting = recurrent.Trainer(shared.value), []
-            for window in _windows((t.as_py() for b in batches for t in b.column(0)), counted.value, number):
-                waiting.append(window)
-                if len(waiting) == recurrent.LANES:
-                    trainer.learn(*_batch(waiting))
-                    waiting.clear()
-            if waiting:
-                trainer.learn(*_batch(waiting))
-            if trainer.words:
-                values = recurrent.flat(trainer.weights).astype(np.float64) * trainer.words
-                for piece in range(-(-len(values) // PIECE)):
-                    row = {"task": TaskContext.get().partitionId(), "piece": piece, "words": float(trainer.words), "held": values[piece * PIECE : (piece + 1) * PIECE]}
-                    yield pa.RecordBatch.from_pylist([row], schema=_PIECES)
-
-        pieces = texts.mapInArrow(learned, "task long, piece int, words double, held array<double>")
+        own = hashed.filter(F.pmod("h", F.lit(rounds)) == number).select("ids", "h", F.pmod(F.shiftright("h", 20), F.lit(learners)).cast("long").alias("learner"))
+        pieces = own.groupBy("learner").applyInArrow(_learner(shared, first), "task long, piece int, words double, held array<double>")
         for fan in (FAN * FAN, FAN, 1):
             pieces = pieces.withColumn("task", F.pmod("task", F.lit(fan))).groupBy("task", "piece").applyInArrow(_added, pieces.schema)
         parts = pieces.orderBy("piece").toArrow().to_pylist()  # one row a piece of the weights
-        if not parts:
-            return weights
-        weights = recurrent.shaped(np.concatenate([np.array(p["held"]) / p["words"] for p in parts]))
+        if parts:
+            weights = recurrent.shaped(np.concatenate([np.array(p["held"]) / p["words"] for p in parts]))
     return weights
 
 
@@ -199,14 +190,13 @@ def _added(rows: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([first], schema=_PIECES)
 
 
-# --- scoring --------------------------------------------------------------------------
+# --- ids and scores --------------------------------------------------------------------
 
 
-def _scored(texts: list[str], held: Vocabulary, weights: recurrent.Weights):
-    """Per text: tokens, known tokens, sum of log10(c + 1) over all held words, network part, other words."""
+def _measured(texts: list[str], held: Vocabulary):
+    """Per text: tokens, known tokens, sum of log10(c + 1) over held words, share of rare words in their classes, other words, ids."""
     share = np.log10(held.rare_tokens + held.rare_distinct + 1.0)
     logs = np.log10(held.counts + 1.0)
-    rows, ids = [], []
     for text in texts:
         words = tokens_of(text)
         places, own = _numbers(words, held)
@@ -216,15 +206,22 @@ def _scored(texts: list[str], held: Vocabulary, weights: recurrent.Weights):
         # A held word without an output of its own has its count inside its rare class.
         inside = logs[places[found & (places >= FREQUENT)]].sum() - share[rare].sum()
         known = int((held.counts[places[found]] > 0).sum())
-        rows.append([len(words), known, float(logs[places[found]].sum()), float(inside), other])
-        ids.append(own)
-    for row, log in zip(rows, recurrent.score(weights, ids, held.index[END])):
-        row[3] += log / LN10
-    return rows
+        yield len(words), known, float(logs[places[found]].sum()), float(inside), other, own.astype(IDS).tobytes()
+
+
+def _struct(rows: list) -> pa.Array:
+    """The measured rows, other words as flat arrays behind offsets."""
+    tokens, known, counted, inside, others, ids = zip(*rows) if rows else ((),) * 6
+    offsets = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
+    flat = pa.StructArray.from_arrays(
+        [pa.array([w for o in others for w in o], pa.binary()), pa.array([t for o in others for t in o.values()], pa.int64())], ["word", "times"]
+    )
+    columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(counted, pa.float64()), pa.array(inside, pa.float64()), pa.array(ids, pa.binary())]
+    return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["n_tokens", "known", "counted", "inside", "ids", "others"])
 
 
 def _together(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
-    """Batches in sets of enough text that a long document does not run through its lanes alone."""
+    """Batches in sets of enough ids that a long document does not run through its lanes alone."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -236,49 +233,43 @@ def _together(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         yield held
 
 
-def _struct(numbers: np.ndarray, rows: list) -> pa.Array:
-    """The measured rows, other words as flat arrays behind offsets."""
-    tokens, known, counted, network, others = zip(*rows) if rows else ((),) * 5
-    offsets = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
-    flat = pa.StructArray.from_arrays(
-        [pa.array([w for o in others for w in o], pa.binary()), pa.array([t for o in others for t in o.values()], pa.int64())], ["word", "times"]
-    )
-    columns = [pa.array(numbers, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(counted, pa.float64()), pa.array(network, pa.float64())]
-    return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["row", "n_tokens", "known", "counted", "network", "others"])
-
-
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, learner_words: int = LEARNER_WORDS) -> DataFrame:
     """One row for each document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     require(docs, key, text)
     spark = docs.sparkSession
     ready(spark)
     split = docs.select(F.col(f"`{key}`").alias("_key"), is_held_out(F.col(f"`{key}`")).alias("held_out"), text_of(text).alias("_text"))
-    training = split.filter("NOT held_out").select("_text")
-    counts = word_counts(training)
+    counts = word_counts(split.filter("NOT held_out").select("_text"))
     held = vocabulary(counts)
-    weights = spark.sparkContext.broadcast(train(training, held, rounds))
     shared = spark.sparkContext.broadcast(held)
 
-    @F.arrow_udf("struct<row:bigint,n_tokens:bigint,known:bigint,counted:double,network:double,others:array<struct<word:binary,times:bigint>>>")
+    @F.arrow_udf("struct<n_tokens:bigint,known:bigint,counted:double,inside:double,ids:binary,others:array<struct<word:binary,times:bigint>>>")
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        number = TaskContext.get().partitionId() << 33
-        for held_batches in _together(batches):
-            texts = [t.as_py() for b in held_batches for t in b]
-            rows = _scored(texts, shared.value, weights.value)
-            measured_rows = _struct(np.arange(number, number + len(rows)), rows)
-            number, start = number + len(rows), 0
-            for b in held_batches:
-                yield measured_rows.slice(start, len(b))
+        for batch in batches:
+            yield _struct(list(_measured(batch.to_pylist(), shared.value)))
+
+    coded = split.select("_key", "held_out", F.monotonically_increasing_id().alias("row"), measured("_text").alias("m")).select("_key", "held_out", "row", "m.*")
+    coded = stored(coded, "coded")
+    weights = spark.sparkContext.broadcast(train(coded.filter("NOT held_out"), held, rounds, learner_words))
+    first = held.index[END]
+
+    @F.arrow_udf("double")
+    def network(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for together in _together(batches):
+            logs = recurrent.score(weights.value, [np.frombuffer(d.as_buffer(), IDS) for b in together for d in b], first) / LN10
+            start = 0
+            for b in together:
+                yield pa.array(logs[start : start + len(b)])
                 start += len(b)
 
-    rows = stored(split.select("_key", "held_out", measured("_text").alias("m")).select("_key", "held_out", "m.*"), "measured")
-    others = rows.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
+    others = coded.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
     met = others.join(counts.select("word", "n"), "word").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs")
     )
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     floor = math.log10(held.tokens + held.distinct + 1)
-    return rows.drop("others").join(met, "row", "left").select(
+    rows = coded.drop("others").withColumn("network", network("ids")).drop("ids")
+    return rows.join(met, "row", "left").select(
         F.col("_key").alias(key), "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(held.tokens).cast("long").alias("train_tokens"),
-        (F.col("counted") + logs - F.col("n_tokens") * floor).alias("base_score"), (F.col("network") + logs).alias("score"),
+        (F.col("counted") + logs - F.col("n_tokens") * floor).alias("base_score"), (F.col("network") + F.col("inside") + logs).alias("score"),
     )

@@ -5,7 +5,7 @@ reset and candidate gates.  The output is factored: a softmax over classes, and
 class of frequent words a softmax over its members.  Rare words have classes of their own,
 told by the word's ending; their share inside the class comes from counts, not from here.
 
-Training is truncated backpropagation: windows run in pieces of ``STEPS`` words, the state is
+Training is truncated backpropagation: documents run in pieces of ``STEPS`` words, the state is
 carried from piece to piece and gradients stop at the seam.
 """
 
@@ -18,7 +18,7 @@ HIDDEN = 32
 #: Classes of frequent words, words in each, and classes of rare words.
 CLASSES, MEMBERS, RARE = 32, 64, 64
 FREQUENT = CLASSES * MEMBERS
-STEPS, LANES = 16, 128
+STEPS, LANES = 16, 256
 NOWHERE = np.float32(-1e9)
 
 SHAPES = {
@@ -141,7 +141,7 @@ def log_probabilities(weights: Weights, states: np.ndarray, ids: np.ndarray, sma
 
 
 class Trainer:
-    """Adagrad on batches of windows."""
+    """Adagrad over documents laid in lanes."""
 
     def __init__(self, weights: Weights, rate: float = 0.08):
         self.weights = {n: w.copy() for n, w in weights.items()}
@@ -149,25 +149,30 @@ class Trainer:
         self.rate = rate
         self.words = 0
 
-    def learn(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
-        """Windows as (time, lane); ``weight`` is 0 where a window has ended."""
+    def learn(self, documents: list[np.ndarray], first: int) -> None:
+        """Run through all documents once, in consecutive pieces of ``STEPS`` words, the state carried from piece to piece."""
+        laid = lanes_of(documents, first, LANES)
+        if laid is None:
+            return
+        inputs, targets, owners, carried = laid
         state = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for start in range(0, len(inputs), STEPS):
             part = slice(start, start + STEPS)
-            if not weight[part].any():
-                break
-            state = self._piece(inputs[part], targets[part], weight[part], state)
-        self.words += int(weight.sum())
+            state = self._piece(inputs[part], targets[part], owners[part] >= 0, carried[part], state)
+        self.words += int((owners >= 0).sum())
 
-    def _piece(self, inputs, targets, weight, state):
+    def _piece(self, inputs, targets, real, carried, state):
         w = self.weights
         befores, kept, states = [], [], []
-        for row in inputs:
+        fresh = (carried == 0).any(axis=1)
+        for t, row in enumerate(inputs):
+            if fresh[t]:
+                state = state * carried[t][:, None]
             befores.append(state)
             state, gates = _advance(w, w["inputs"][row], state)
             kept.append(gates)
             states.append(state)
-        flat_states, ids, share = np.concatenate(states), targets.ravel(), weight.ravel().astype(np.float32)
+        flat_states, ids, share = np.concatenate(states), targets.ravel(), real.ravel().astype(np.float32)
         share = share / max(1.0, float(share.sum()))
         grads = {}
         errors = np.exp(_log_softmax(flat_states @ w["class_w"] + w["class_b"]))
@@ -177,24 +182,28 @@ class Trainer:
         back = errors @ w["class_w"].T
         grads["word_w"], grads["word_b"] = np.zeros_like(w["word_w"]), np.zeros_like(w["word_b"])
         for c, at in _by_class(ids):
-            own = np.exp(_log_softmax(flat_states[at] @ w["word_w"][c] + w["word_b"][c]))
+            own_states = flat_states[at]
+            own = np.exp(_log_softmax(own_states @ w["word_w"][c] + w["word_b"][c]))
             own[np.arange(len(at)), ids[at] - c * MEMBERS] -= 1
             own *= share[at, None]
-            grads["word_w"][c], grads["word_b"][c] = flat_states[at].T @ own, own.sum(axis=0)
+            grads["word_w"][c], grads["word_b"][c] = own_states.T @ own, own.sum(axis=0)
             back[at] += own @ w["word_w"][c].T
         back = back.reshape(len(inputs), -1, HIDDEN)
-        gate_grads, grads["recur"] = np.empty((len(inputs), inputs.shape[1], 3 * HIDDEN), np.float32), np.zeros_like(w["recur"])
+        gate_grads, throughs = np.empty((2, len(inputs), inputs.shape[1], 3 * HIDDEN), np.float32)
         later = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
             update, reset, candidate, inner = kept[t]
             total = back[t] + later
             inside = total * (1 - update) * (1 - candidate * candidate)
-            at_update = total * (befores[t] - candidate) * update * (1 - update)
-            at_reset = inside * inner * reset * (1 - reset)
-            gate_grads[t] = np.concatenate([at_update, at_reset, inside], axis=1)
-            through = np.concatenate([at_update, at_reset, inside * reset], axis=1)
-            grads["recur"] += befores[t].T @ through
-            later = total * update + through @ w["recur"].T
+            gate_grads[t, :, :HIDDEN] = total * (befores[t] - candidate) * update * (1 - update)
+            gate_grads[t, :, HIDDEN : 2 * HIDDEN] = inside * inner * reset * (1 - reset)
+            gate_grads[t, :, 2 * HIDDEN :] = inside
+            throughs[t] = gate_grads[t]
+            throughs[t, :, 2 * HIDDEN :] *= reset
+            later = total * update + throughs[t] @ w["recur"].T
+            if fresh[t]:
+                later *= carried[t][:, None]
+        grads["recur"] = np.concatenate(befores).T @ throughs.reshape(-1, 3 * HIDDEN)
         rows = inputs.ravel()
         order = np.argsort(rows, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
@@ -216,16 +225,15 @@ class Trainer:
 # --- scoring --------------------------------------------------------------------------
 
 
-def score(weights: Weights, documents: list[np.ndarray], first: int, most_lanes: int = 256, window: int = 32) -> np.ndarray:
-    """Natural log probability of each sequence of target ids, ``first`` being the input before them.
+def lanes_of(documents: list[np.ndarray], first: int, most_lanes: int):
+    """Documents behind each other in lanes of about equal length: inputs, targets, owners, carried, as (time, lane).
 
-    Sequences are laid behind each other in lanes of about equal length, the state being
-    cleared where one begins and carried through all its windows.
+    ``first`` is the input before a document; ``carried`` is 0 where one begins, and the state is cleared.
+    ``owners`` is the document of each place, -1 behind a lane's last.
     """
-    total = np.zeros(len(documents))
     lengths = np.array([len(d) for d in documents])
     if not lengths.sum():
-        return total
+        return None
     lanes = int(np.clip(lengths.sum() // max(1, lengths.max()), 1, most_lanes))
     heap = [(0, lane, []) for lane in range(lanes)]
     for d in np.argsort(-lengths, kind="stable"):
@@ -244,6 +252,20 @@ def score(weights: Weights, documents: list[np.ndarray], first: int, most_lanes:
                 inputs[at, lane], carried[at, lane] = first, 0
                 inputs[at + 1 : stop, lane] = documents[d][:-1]
             at = stop
+    return inputs, targets, owners, carried
+
+
+def score(weights: Weights, documents: list[np.ndarray], first: int, most_lanes: int = 256, window: int = 32) -> np.ndarray:
+    """Natural log probability of each sequence of target ids, ``first`` being the input before them.
+
+    The state is carried through all windows of a sequence.
+    """
+    total = np.zeros(len(documents))
+    laid = lanes_of(documents, first, most_lanes)
+    if laid is None:
+        return total
+    inputs, targets, owners, carried = laid
+    longest, lanes = inputs.shape
     state, small = np.zeros((lanes, HIDDEN), np.float32), has_small_logits(weights)
     parts = _parted(weights)
     fresh = (carried == 0).any(axis=1)
