@@ -27,7 +27,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 #: Share of rank that follows links; the rest returns to the seeds.
 FOLLOW = 0.85
-#: Ranks have settled when a round changes none by more than this share of it; what later rounds
+#: Ranks have settled when ``TOGETHER`` rounds change none by more than this share of it; what later rounds
 #: would add is then below FOLLOW / (1 - FOLLOW) of that.  Distrust is more than trust when it is
 #: more by a share beyond that rest, so that neither it nor the order of sums decides.
 SETTLED, EQUAL = 1e-4, 1e-3
@@ -85,8 +85,8 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: int | None = None, settled: float = SETTLED) -> DataFrame:
     """Personalised PageRank (kind, host, rank) over links (kind, src, dst) from seeds (kind, host, weight).
 
-    Weights of a kind are brought to a sum of one.  Without a number of ``rounds`` it goes on until a round
-    changes no host's rank by more than the share ``settled`` of it, so that every host that links reach has
+    Weights of a kind are brought to a sum of one.  Without a number of ``rounds`` it goes on until ``TOGETHER``
+    rounds change no host's rank by more than the share ``settled`` of it, so that every host that links reach has
     one, however far it is and however small.
     """
     totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
@@ -97,17 +97,21 @@ def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: i
     arcs = checkpointed(links.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS))))
     none = F.lit(0.0).alias("before")
     back = start.select("kind", "host", (F.col("rank") * (1 - follow)).alias("rank"), none)
-    ranks, number = start.withColumn("before", F.lit(0.0)), 0
+    ranks = last = start
+    number = 0
     while number != rounds:
         number += 1
         sent = ranks.join(degrees, (ranks["host"] == degrees["src"]) & (ranks["kind"] == degrees["kind"])).select(
             ranks["kind"], "src", (F.col("rank") * follow / F.col("degree")).alias("share"), every
         )
         heard = arcs.join(sent, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), F.col("share").alias("rank"), none)
-        earlier = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
-        ranks = heard.union(back).union(earlier).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
-        if number % TOGETHER == 0 or number == rounds:
-            ranks = checkpointed(ranks)
+        ends = number % TOGETHER == 0 or number == rounds
+        terms = heard.union(back)
+        if ends:
+            terms = terms.union(last.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
+        ranks = terms.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+        if ends:
+            ranks = last = checkpointed(ranks)
             if rounds is None and ranks.filter(F.abs(F.col("rank") - F.col("before")) > settled * F.col("rank")).isEmpty():
                 break
     return ranks.select("kind", "host", "rank")
