@@ -66,14 +66,14 @@ def forget_stored(spark: SparkSession) -> None:
     remove_folder(spark, tables_of(spark))
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
+def stored(frame: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a table that later steps share into the shared folder and read it back."""
     spark = frame.sparkSession
-    return stored_at(frame, f"{tables_of(spark)}/{uuid.uuid4().hex}/{label}")
+    return stored_at(frame, f"{tables_of(spark)}/{uuid.uuid4().hex}/{label}", compression)
 
 
-def stored_at(frame: DataFrame, path: str) -> DataFrame:
-    frame.write.parquet(path)
+def stored_at(frame: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+    frame.write.parquet(path, compression=compression)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

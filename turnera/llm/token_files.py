@@ -46,8 +46,8 @@ from turnera.llm.common import ready, require, stored, text_of
 BLOCK_IDS, FILE_IDS, TASK_IDS = 1 << 18, 1 << 23, 1 << 20
 #: Blocks of a file at most; Spark's reader holds a file whole.
 FILE_BLOCKS = 1 << 6
-#: Units that a worker keeps with their ids.
-KEPT = 400_000
+#: Units of a generation that a worker keeps with their ids; it keeps two, and what is met again moves to the younger.
+KEPT = 250_000
 HEADER = struct.Struct("<4sHIIQIIQI")
 MAGIC, VERSION, END_OF_BLOCK = b"TIDS", 1, "/TIDS\n"
 #: Lengths of the four ranks that a control byte describes.
@@ -92,6 +92,7 @@ class Encoder:
         self.classes = bytescan.table_of(classes)
         self.plain = bytes(b for b in range(256) if classes.get(b, 0) in (LETTER, DIGIT, SIGN))
         self.held: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts behind each other, and the number of each text's; end ids included."""
@@ -132,11 +133,18 @@ class Encoder:
         return bytescan.cut(lowered, solid, starts), np.searchsorted(starts, offsets[1:])
 
     def _ids(self, units: list[bytes]) -> list[bytes]:
+        if len(self.held) > KEPT:
+            self.held, self.older = {}, self.held
         found = list(map(self.held.get, units))
-        new = [i for i, ids in enumerate(found) if ids is None]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            ids = found[i] = self.older.get(units[i])
+            if ids is None:
+                new.append(i)
+            else:
+                self.held[units[i]] = ids
         if new:
-            if len(self.held) > KEPT:
-                self.held = {}
             plain, merge = self.plain, self.library.model.tokenize
             other = []
             for i in new:
@@ -185,7 +193,8 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, key: str = "doc_id", tex
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     coded = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), ids_of(text_of(text)).alias("ids"))
-    return stored(coded.select("key", (F.octet_length("ids") / width).cast("bigint").alias("n"), F.lit(width).alias("width"), "ids", F.crc32("ids").alias("crc"), F.monotonically_increasing_id().alias("row")), "coded")
+    table = coded.select("key", (F.octet_length("ids") / width).cast("bigint").alias("n"), F.lit(width).alias("width"), "ids", F.crc32("ids").alias("crc"), F.monotonically_increasing_id().alias("row"))
+    return stored(table, "coded", compression="zstd")
 
 
 # --- ranks and blocks --------------------------------------------------------------------
