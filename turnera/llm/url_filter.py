@@ -92,19 +92,18 @@ def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: i
     totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("rank"))  # a row a kind
     start = checkpointed(start)
-    degrees = checkpointed(links.groupBy("kind", "src").agg(F.count("*").alias("degree")))
     every = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt")
-    arcs = checkpointed(links.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS))))
+    shares = links.groupBy("kind", "src").agg((F.lit(follow) / F.count("*")).alias("share")).select("*", every)
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
+    arcs = checkpointed(dealt.join(shares, ["kind", "src", "salt"]))  # what a link passes on never changes: met once
     none = F.lit(0.0).alias("before")
     back = start.select("kind", "host", (F.col("rank") * (1 - follow)).alias("rank"), none)
     ranks = last = start
     number = 0
     while number != rounds:
         number += 1
-        sent = ranks.join(degrees, (ranks["host"] == degrees["src"]) & (ranks["kind"] == degrees["kind"])).select(
-            ranks["kind"], "src", (F.col("rank") * follow / F.col("degree")).alias("share"), every
-        )
-        heard = arcs.join(sent, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), F.col("share").alias("rank"), none)
+        sent = ranks.select("kind", F.col("host").alias("src"), "rank", every)
+        heard = arcs.join(sent, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"), none)
         ends = number % TOGETHER == 0 or number == rounds
         terms = heard.union(back)
         if ends:
