@@ -34,6 +34,8 @@ SETTLED, EQUAL = 1e-4, 1e-3
 #: Rounds between two checkpoints.
 TOGETHER = 4
 SALTS = 8
+#: Links and ranks that a task holds, whatever number of partitions a shuffle has.
+ROWS = 1 << 18
 
 
 def _rest(url: Column) -> Column:
@@ -96,6 +98,8 @@ def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: i
     shares = links.groupBy("kind", "src").agg((F.lit(follow) / F.count("*")).alias("share")).select("*", every)
     dealt = links.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
     arcs = checkpointed(dealt.join(shares, ["kind", "src", "salt"]))  # what a link passes on never changes: met once
+    tasks = -(-(arcs.count() + start.count()) // ROWS) or 1  # no more hosts than that have a rank
+    arcs, start = arcs.coalesce(tasks), start.coalesce(tasks)
     none = F.lit(0.0).alias("before")
     back = start.select("kind", "host", (F.col("rank") * (1 - follow)).alias("rank"), none)
     ranks = last = start
@@ -108,7 +112,7 @@ def spread(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, rounds: i
         terms = heard.union(back)
         if ends:
             terms = terms.union(last.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
-        ranks = terms.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+        ranks = terms.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")).coalesce(tasks)
         if ends:
             ranks = last = checkpointed(ranks)
             if rounds is None and ranks.filter(F.abs(F.col("rank") - F.col("before")) > settled * F.col("rank")).isEmpty():
