@@ -116,6 +116,17 @@ def test_glossary(spark):
     assert english(tr.translate(frame, engine)) == {1: "want  cambiar mi\tcita"}
 
 
+def test_dictionary_takes_the_longest_phrase_from_the_left(spark):
+    entries = [("cita", "visit"), ("mi cita", "my visit"), ("Cambiar mi", "change my"), ("cita de hoy", "today's visit"), ("hoy", "today"), ("hoy", "now"), (None, "x"), ("y", None)]
+    engine = tr.dictionary_engine(spark.createDataFrame(entries, "origen string, destino string"), 3)
+    rows = ["cambiar mi cita de hoy", "CITA y hoy", "mi cita de ayer", "nada", "", None, "cita"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "fila int, mensaje_limpio string")
+    expected = ["change my today's visit", "visit y now", "my visit de ayer", "nada", "", None, "visit"]
+    assert english(tr.translate(frame, engine)) == dict(enumerate(expected))
+    known = memo(spark, ("cita", "DATE", NOW, None))
+    assert english(tr.translate(frame, engine, known, NOW))[6] == "DATE"
+
+
 def test_choice():
     assert tr.choose_engine("auto", {"remoto": REVERSE, "local": UPPER}, ("local", "remoto")) is UPPER
     assert tr.choose_engine("local", {"remoto": REVERSE}) is REVERSE

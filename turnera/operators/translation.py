@@ -27,7 +27,7 @@ Batches = Callable[[Iterator[list[str]]], Iterator[list[str]]]
 
 @dataclass(frozen=True)
 class Engine:
-    """How to translate: ``column`` or ``batches``, never both.
+    """How to translate: one of ``column``, ``batches`` and ``joined``, which answers for a whole frame.
 
     ``available`` tells, where it is called, whether the engine's library and model are there.
     """
@@ -36,12 +36,16 @@ class Engine:
     column: Callable[[Column], Column] | None = None
     batches: Batches | None = None
     available: Callable[[], bool] | None = None
+    joined: Callable[[DataFrame, Column, str], DataFrame] | None = None
 
     def apply(self, frame: DataFrame, source: Column, name: str) -> DataFrame:
         """Add the translation of ``source``, or the source where the engine returns nothing."""
-        answer = (self.column or _in_batches(self.batches))(source)
         useful = strip(present(F.col(name))) != ""
-        return frame.withColumn(name, answer).withColumn(name, F.when(useful, F.col(name)).otherwise(source))
+        if self.joined:
+            answered = self.joined(frame, source, name)
+        else:
+            answered = frame.withColumn(name, (self.column or _in_batches(self.batches))(source))
+        return answered.withColumn(name, F.when(useful, F.col(name)).otherwise(source))
 
 
 def _in_batches(translate: Batches) -> Callable[[Column], Column]:
@@ -132,6 +136,40 @@ def glossary_engine(words: dict[str, str], name: str = "glosario") -> Engine:
     return Engine(name, column=column)
 
 
+def dictionary_engine(entries: DataFrame, longest: int, name: str = "diccionario") -> Engine:
+    """Translation by a dictionary table (origen, destino) of any size, with phrases of up to ``longest`` words.
+
+    From left to right the longest phrase that the dictionary has is replaced, in any case;
+    other words stay.  Every place and length is a row that meets the dictionary by its phrase, so
+    nothing of the dictionary is in the plan; a phrase that most texts hold is left to adaptive skew
+    joins.  Of several meanings the first by order counts; entries that are null or longer never do.
+    """
+    plain = entries.select(F.lower("origen").alias("_frase"), "destino").dropna()
+    meanings = plain.groupBy("_frase").agg(F.min("destino").alias("_destino"))
+
+    def joined(frame: DataFrame, source: Column, answer: str) -> DataFrame:
+        texts = frame.select(source.alias("_fuente")).dropna().distinct().withColumn("_palabras", F.split("_fuente", " "))
+        place = texts.select("_fuente", "_palabras", F.explode(F.sequence(F.lit(1), F.size("_palabras"))).alias("_lugar"))
+        lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_palabras") - F.col("_lugar") + 1))).alias("_largo")
+        phrase = F.lower(F.array_join(F.slice("_palabras", F.col("_lugar"), F.col("_largo")), " ")).alias("_frase")
+        found = place.select("_fuente", "_palabras", "_lugar", lengths).select("_fuente", "_lugar", "_largo", phrase).join(meanings, "_frase")
+        best = found.groupBy("_fuente", "_lugar").agg(F.max(F.struct("_largo", "_destino")).alias("m"))
+        held = best.groupBy("_fuente").agg(F.map_from_entries(F.collect_list(F.struct("_lugar", "m"))).alias("_hallado"))
+        words = F.split("_fuente", " ")
+
+        def step(state: Column, at: Column) -> Column:
+            match = F.try_element_at("_hallado", at)
+            said = F.coalesce(match["_destino"], F.element_at(words, at))
+            taken = F.struct((at + F.coalesce(match["_largo"], F.lit(1))).alias("libre"), F.concat(state["dicho"], F.array(said)).alias("dicho"))
+            return F.when(at < state["libre"], state).otherwise(taken)
+
+        start = F.struct(F.lit(1).alias("libre"), F.array().cast("array<string>").alias("dicho"))
+        said = F.aggregate(F.sequence(F.lit(1), F.size(words)), start, step, lambda state: F.array_join(state["dicho"], " "))
+        return frame.withColumn("_fuente", source).join(held.select("_fuente", said.alias(answer)), "_fuente", "left").drop("_fuente")
+
+    return Engine(name, joined=joined)
+
+
 def choose_engine(wanted: str, engines: dict[str, Engine], preference: tuple[str, ...] = ()) -> Engine:
     """The wanted engine, or for "auto" (or an absent one) the first available by preference."""
     if wanted in engines:

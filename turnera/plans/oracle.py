@@ -224,6 +224,27 @@ _READ = """SELECT CAST(fila AS BIGINT) AS fila, paciente_id, coalesce(mensaje_te
     nullif(fecha_solicitada, '') AS fecha_solicitada FROM sol"""
 
 
+def _by_dictionary() -> str:
+    """Texts read from left to right, a phrase of the dictionary or a word at a time."""
+    def phrase(n: int) -> str:
+        return f"lower(array_to_string(w[a : a + {n - 1}], ' '))"
+
+    def known(n: int) -> str:
+        return f"a + {n - 1} <= len(w) AND substr(md5({phrase(n)}), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')"
+
+    size = " ".join(f"WHEN {known(n)} THEN {n}" for n in (3, 2))
+    said = " ".join(f"WHEN {known(n)} THEN '<' || {phrase(n)} || '>'" for n in (3, 2, 1))
+    recursive = TEXTS.lstrip().replace("sol AS (", "RECURSIVE sol AS (", 1)
+    return f"""WITH {recursive},
+        leida AS (
+          SELECT cache_key, texto_origen, veces, string_split(texto_origen, ' ') AS w, 1 AS a, '' AS dicho FROM textos
+          UNION ALL
+          SELECT cache_key, texto_origen, veces, w, a + CASE {size} ELSE 1 END,
+                 dicho || CASE WHEN a > 1 THEN ' ' ELSE '' END || CASE {said} ELSE w[a] END FROM leida WHERE a <= len(w)
+        )
+        SELECT cache_key, texto_origen, dicho AS texto_destino, veces FROM leida WHERE a > len(w)"""
+
+
 def _document_rows(saved: dict[str, str], share: dict[str, str]) -> str:
     def row(section: str, key: str, value: str, source: str) -> str:
         return f"SELECT '{section}' AS seccion, '{key}' AS clave, CAST({value} AS DOUBLE) AS valor FROM {source}"
@@ -312,6 +333,7 @@ def catalogue() -> dict[str, str]:
             UNION ALL SELECT 'rechazadas', count(*), 0, 'every row was discarded in preprocessing' FROM puesta WHERE fila % 20 = 0
             UNION ALL SELECT 'ninguna', 0, 0, 'the input has no rows'""",
         "budgeted_translation": f"WITH {TEXTS} SELECT cache_key, texto_origen, upper(texto_origen) AS texto_destino, veces FROM textos",
+        "translate_dictionary": _by_dictionary(),
         "incremental_mixed_headers": f"WITH {PROCESSED} {on.replace('paciente,', 'CAST(NULL AS VARCHAR) AS paciente,', 1)}",
         "batch_engine_translation": f"WITH {VALID} SELECT archivo_origen, fila, mensaje_limpio, upper(mensaje_limpio) AS mensaje_ingles FROM puesta WHERE lugar = 1",
         "incremental_batches": f"WITH {PROCESSED} {on.replace('paciente,', 'CAST(NULL AS VARCHAR) AS paciente,', 1)}",

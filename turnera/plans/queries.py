@@ -421,6 +421,24 @@ def budgeted_translation(spark, d):
     return found.select("cache_key", "texto_origen", "texto_destino", "veces")
 
 
+#: Words of the longest phrase in the dictionary of ``translate_dictionary``.
+PHRASE_WORDS = 3
+
+
+def translate_dictionary(spark, d):
+    """The texts by a dictionary of about half their own phrases, chosen by digest."""
+    home = _home(spark)
+    texts = _texts(spark, d, home)
+    words = texts.select(F.split(F.lower("texto_origen"), " ").alias("w"))
+    places = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(PHRASE_WORDS), F.size("w") - F.col("i") + 1))).alias("n")
+    phrases = places.select("w", "i", lengths).select(F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("origen")).distinct()
+    chosen = phrases.filter(F.substring(F.md5("origen"), 1, 1).isin(*"02468ace"))
+    entries = _stored(chosen.withColumn("destino", F.concat(F.lit("<"), "origen", F.lit(">"))), f"{home}/diccionario")
+    found = translation.translations(texts, translation.dictionary_engine(entries, PHRASE_WORDS))
+    return found.select("cache_key", "texto_origen", "texto_destino", "veces")
+
+
 def incremental_run(spark, d):
     """The orders file as a stream of requests, through the incremental job."""
     home = _home(spark)
@@ -508,6 +526,7 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_metrics": run_metrics,
     "empty_guards": empty_guards,
     "budgeted_translation": budgeted_translation,
+    "translate_dictionary": translate_dictionary,
     "batch_engine_translation": batch_engine_translation,
     "incremental_run": incremental_run,
     "incremental_batches": incremental_batches,
