@@ -314,3 +314,22 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     assert all(abs(few[d]["score"] - many[d]["score"]) < 1e-3 for d in few)
     out = [r for r in few.values() if r["held_out"]]
     assert sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out) > 0.05
+
+
+def test_every_row_is_written_to_a_shard_once(spark, tmp_path):
+    rows = [(1, "a", "s", 9, "x"), (1, "a", "s", 9, "x"), (1, "b", "s", 9, "y"), (None, None, None, 9, "z"), (None, None, "s", 9, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, Shard int, _key string")
+    sharding.write_shards(frame, str(tmp_path / "shards"), shards=2)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    got = [(r.doc_id, r.text, r.source, r["_key"]) for r in written.collect()]
+    assert sorted(got, key=repr) == sorted(((d, t, s, k) for d, t, s, _, k in rows), key=repr)
+    assert {r["shard"] for r in written.select("shard").collect()} == {0, 1}
+
+
+def test_first_rows_with_any_column_names(spark):
+    rows = [(1, "same words", 5, 6), (1, "same words", 5, 6), (2, "same words", 7, 8), (3, "other", 9, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _again long")
+    frame = frame.withColumns({"_Gone_digest": F.lit(1), "_d": F.lit(2), "_again_digest": F.lit(3)})
+    kept = simhash.deduplicated(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r["_gone"], r["_again"], r["_d"]) for r in kept.collect()) == [(1, 5, 6, 2), (3, 9, 9, 2)]

@@ -34,6 +34,14 @@ def without(frame: DataFrame, *names: str) -> DataFrame:
     return frame.select(*(frame[f"`{c}`"] for c in frame.columns if c.lower() not in gone))
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, lengthened until the frame has no such column in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def adding(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns; an input column of the same name, in any case, is replaced.
 

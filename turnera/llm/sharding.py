@@ -18,7 +18,7 @@ The law is ``rows`` (counts at most one apart), so equal texts form no groups an
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnera.llm.common import require, stored, text_of
+from turnera.llm.common import require, stored, text_of, without
 
 #: Blocks into which the shuffle of one source, and the common scale, are dealt.
 BLOCKS = 4096
@@ -80,7 +80,19 @@ def interleaved(docs: DataFrame, shards: int = 24, seed: int = 17, key: str = "d
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id", **options: str) -> None:
-    """Write whole rows as one folder per shard; ``key`` must identify a row."""
-    places = interleaved(docs, shards, key=key, **options).select(F.col(key).alias("_place"), "shard")
-    docs.join(places, F.col("_place").eqNullSafe(docs[f"`{key}`"])).drop("_place").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id", text: str = "text", **options: str) -> None:
+    """Write whole rows as one folder per shard, every row once.
+
+    Rows that repeat a key, a size and a checksum are numbered on both sides, as any of them may
+    take any of their places.  An input column named ``shard`` is replaced.
+    """
+    nth = F.row_number().over(Window.partitionBy("_key", "_size", "_crc").orderBy(F.lit(0)))
+    places = interleaved(docs, shards, key=key, text=text, **options)
+    places = places.select(F.col(f"`{key}`").alias("_key"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard").withColumn("_nth", nth)
+    whole = without(docs, "shard")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("_row"), F.col(f"`{key}`").alias("_key"),
+        (F.octet_length(text_of(text)) + ROW_BYTES).cast("long").alias("_size"), F.crc32(text_of(text)).alias("_crc"),
+    ).withColumn("_nth", nth)
+    same = [rows[c].eqNullSafe(places[c]) for c in ("_key", "_size", "_crc", "_nth")]
+    rows.join(places, same).select("_row.*", "shard").write.partitionBy("shard").parquet(path)

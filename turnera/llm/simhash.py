@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnera.llm.common import ready, require, stored, text_of
+from turnera.llm.common import ready, require, stored, text_of, unused
 from turnera.llm.components import components
 
 BITS = 64
@@ -247,7 +247,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def first_rows(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame:
-    """One row of ``docs`` for each root among ``rooted`` (_key, _digest, root)."""
+    """One row of ``docs``, whatever its columns are called, for each root among ``rooted`` (_key, _digest, root)."""
+    lost, lost_digest, again_key, again_digest, own = (unused(docs, n) for n in ("_gone", "_gone_digest", "_again", "_again_digest", "_d"))
     digest = F.xxhash64(text_of(text))
     grouped = rooted.groupBy("root", "_key", "_digest").agg(F.count("*").alias("copies"))
     grouped = stored(grouped, "grouped")
@@ -257,13 +258,13 @@ def first_rows(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataF
     salted = larger.select("root", "first", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
     members = grouped.withColumn("salt", F.pmod(F.xxhash64("_key", "_digest"), F.lit(SALTS))).join(salted, ["root", "salt"])
     stays = F.col("_key").eqNullSafe(F.col("first._key")) & (F.col("_digest") == F.col("first._digest"))
-    gone = stored(members.filter(~stays).select(F.col("_key").alias("_gone"), F.col("_digest").alias("_gone_digest")), "gone")
+    gone = stored(members.filter(~stays).select(F.col("_key").alias(lost), F.col("_digest").alias(lost_digest)), "gone")
     # Hashed by shuffle at every size: a row's text moves once, unsorted, and meets the few ids of its partition.
-    kept = docs.join(gone.hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")
-    repeated = grouped.filter("copies > 1").select(F.col("_key").alias("_again"), F.col("_digest").alias("_again_digest"))
+    kept = docs.join(gone.hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col(lost)) & (digest == F.col(lost_digest)), "left_anti")
+    repeated = grouped.filter("copies > 1").select(F.col("_key").alias(again_key), F.col("_digest").alias(again_digest))
     if repeated.isEmpty():
         return kept
     again = stored(repeated, "repeated")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_again")) & (digest == F.col("_again_digest"))
-    several = kept.join(again, same, "left_semi").withColumn("_d", digest)
-    return kept.join(again, same, "left_anti").union(several.dropDuplicates([key, "_d"]).drop("_d"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(again_key)) & (digest == F.col(again_digest))
+    several = kept.join(again, same, "left_semi").withColumn(own, digest)
+    return kept.join(again, same, "left_anti").union(several.dropDuplicates([key, own]).drop(own))
