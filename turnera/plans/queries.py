@@ -16,7 +16,7 @@ from turnera.glossary import WORDS
 from turnera.operators import columns, costing, fields, quality, report, translation
 from turnera.plans import job
 from turnera.plans.settings import RunOptions
-from turnera.session import asked_partitions, at_least, shared_folder, ship_package
+from turnera.session import asked_partitions, at_least, shared_folder, ship_package, wanted_partitions
 from turnera.sources import memo, requests
 from turnera.sources.readers import consolidate, read_requests
 from turnera.streaming import incremental
@@ -31,8 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of order keys, by plan statistics, that one task words and reads by rule: tens of thousands of rows.
+KEYS_EACH = 256 << 10
+
+
+def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+
+
+def _tasks(keys: DataFrame) -> int | None:
+    """Tasks that order keys are dealt to: their file may be a split or two, and a row costs much more than its keys."""
+    wanted = asked_partitions(keys.sparkSession) or wanted_partitions(keys, KEYS_EACH)
+    return wanted if wanted > 1 else None
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return at_least(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), asked_partitions(spark), "o_orderkey")
+    keys = _order_keys(spark, sf_dir)
+    return at_least(keys, _tasks(keys))
 
 
 def sol(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +55,8 @@ def sol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sol_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.solicitudes(orders(spark, sf_dir), table(spark, sf_dir, "customer"))
+    keys = _order_keys(spark, sf_dir)
+    return requests.solicitudes(keys, table(spark, sf_dir, "customer"), _tasks(keys))
 
 
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,21 +458,21 @@ def translate_dictionary(spark, d):
 def incremental_run(spark, d):
     """The orders file as a stream of requests, through the incremental job."""
     home = _home(spark)
-    orders = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parquet*")
+    keys = _order_keys(spark, d)
+    arriving = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parquet*").select(*keys.columns)
     options = incremental.StreamOptions(RunOptions(f"{home}/salida", f"{home}/memo"), f"{home}/control")
-    incremental.start(requests.solicitudes(orders), options).awaitTermination()
+    incremental.start(requests.solicitudes(at_least(arriving, _tasks(keys))), options).awaitTermination()
     return incremental.results(spark, f"{home}/salida")
 
 
 def incremental_batches(spark, d):
     """The requests in four files, a batch each, in order; duplicates are dropped across batches."""
-    home = _home(spark)
-    schema = table(spark, d, "orders").select("o_orderkey", "o_custkey").schema
+    home, keys = _home(spark), _order_keys(spark, d)
     options = incremental.StreamOptions(RunOptions(f"{home}/salida", f"{home}/memo"), f"{home}/control", across_batches=True)
     for file in range(4):
-        part = table(spark, d, "orders").select("o_orderkey", "o_custkey").filter(F.col("o_orderkey") % 4 == file)
+        part = keys.filter(F.col("o_orderkey") % 4 == file)
         part.coalesce(1).write.parquet(f"{home}/entrada/{file}")
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{home}/entrada")
+        stream = spark.readStream.schema(keys.schema).option("recursiveFileLookup", True).parquet(f"{home}/entrada")
         incremental.start(requests.solicitudes(stream), options).awaitTermination()
     return incremental.results(spark, f"{home}/salida")
 

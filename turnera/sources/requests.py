@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnera.fixed_values import EMPTY_MESSAGE_PERCENT, FIRST_DAY_AHEAD, LAST_DAY_AHEAD, SPECIALTY_RULES
 from turnera.functions.text import sql_text
+from turnera.session import at_least
 
 # --- words of the derived view: one phrase per rule, in rule order ------------
 
@@ -75,8 +76,11 @@ def _pick(words: tuple[str, ...], index: str) -> Column:
     return F.expr(f"element_at(array({', '.join(map(sql_text, words))}), cast({index} + 1 as int))")
 
 
-def solicitudes(orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:
-    """Requests worded from order keys; ``paciente`` is only there if customers are given."""
+def solicitudes(orders: DataFrame, customers: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Requests worded from order keys; ``paciente`` is only there if customers are given.
+
+    ``partitions`` deals the rows out before they are worded, after names have met them.
+    """
     k = F.col("o_orderkey")
     composed = F.concat(
         _pick(GREETINGS, "(o_orderkey div 5) % 5"),
@@ -106,7 +110,7 @@ def solicitudes(orders: DataFrame, customers: DataFrame | None = None) -> DataFr
         names = customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("paciente"))
         orders = orders.join(names, "o_custkey", "left")
         view["paciente"] = F.col("paciente")
-    return orders.select(*(c.alias(name) for name, c in view.items()))
+    return at_least(orders, partitions).select(*(c.alias(name) for name, c in view.items()))
 
 
 # --- generator ----------------------------------------------------------------
