@@ -466,12 +466,13 @@ def incremental_run(spark, d):
 
 
 def incremental_batches(spark, d):
-    """The requests in four files, a batch each, in order; duplicates are dropped across batches."""
+    """The requests in four deliveries, a batch each, in order; duplicates are dropped across batches."""
     home, keys = _home(spark), _order_keys(spark, d)
+    files = -(-(_tasks(keys) or 1) // 4)  # of a delivery
     options = incremental.StreamOptions(RunOptions(f"{home}/salida", f"{home}/memo"), f"{home}/control", across_batches=True)
     for file in range(4):
         part = keys.filter(F.col("o_orderkey") % 4 == file)
-        part.coalesce(1).write.parquet(f"{home}/entrada/{file}")
+        part.repartition(files).write.parquet(f"{home}/entrada/{file}")
         stream = spark.readStream.schema(keys.schema).option("recursiveFileLookup", True).parquet(f"{home}/entrada")
         incremental.start(requests.solicitudes(stream), options).awaitTermination()
     return incremental.results(spark, f"{home}/salida")
