@@ -1,6 +1,8 @@
 """Near duplicates by exact Jaccard similarity of word shingle sets.
 
-Candidates come from MinHash bands: ``BANDS`` keys of ``ROWS`` minima each.  Two sets of
+Candidates come first from the SimHash operator: sets whose texts' fingerprints, of the same
+shingles, differ in at most three bits (``simhash.links``).  Most pairs at 0.8 differ in more, so
+others come from MinHash bands: ``BANDS`` keys of ``ROWS`` minima each.  Two sets of
 similarity s share a key with probability 1 - (1 - s^8)^40: 99.94 % at 0.8, 99.9999 % at 0.9.
 Sets that share a key meet there by their sketches, a byte of each of ``SKETCH`` minima.  Those
 whose sketches agree in the asked share, less five standard deviations, are probably alike; only
@@ -25,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnera.llm import simhash
 from turnera.llm.common import ready, require, stored, text_of
 from turnera.llm.components import components
-from turnera.llm.simhash import SALTS, _hashes, first_rows, with_roots
+from turnera.llm.simhash import SALTS, _hashes, first_rows, of_hashes, with_roots
 
 BANDS, ROWS = 40, 8
 #: Shingle hashes that meet all multipliers at once.
@@ -47,7 +50,10 @@ _MIX = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 def shingles(text: str, size: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    parts = list(_hashes(text, size))
+    return _distinct(list(_hashes(text, size)))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -68,14 +74,16 @@ def _digest(own: np.ndarray) -> int:
 
 
 def _described(text: Column, size: int) -> Column:
-    """A text's set digest, its shingles' number, its band keys and its sketch."""
+    """A text's set digest, its shingles' number, its band keys, its sketch and its SimHash."""
 
-    @F.arrow_udf("struct<fingerprint:bigint,n:bigint,bands:array<bigint>,sketch:binary>")
+    @F.arrow_udf("struct<fingerprint:bigint,n:bigint,bands:array<bigint>,sketch:binary,simhash:bigint>")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            digests, numbers, keys, sketches = [], [], [], []
+            digests, numbers, keys, sketches, prints = [], [], [], [], []
             for value in batch:
-                own = shingles(value.as_py(), size)
+                parts = list(_hashes(value.as_py(), size))
+                own = _distinct(parts)
+                prints.append(of_hashes(parts))
                 digests.append(_digest(own))
                 numbers.append(len(own))
                 bands, sketch = _band_keys(own) if len(own) else (np.zeros(0, np.uint64), b"")
@@ -83,8 +91,8 @@ def _described(text: Column, size: int) -> Column:
                 sketches.append(sketch)
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            columns = [pa.array(digests, pa.int64()), pa.array(numbers, pa.int64()), bands, pa.array(sketches, pa.binary())]
-            yield pa.StructArray.from_arrays(columns, ["fingerprint", "n", "bands", "sketch"])
+            columns = [pa.array(digests, pa.int64()), pa.array(numbers, pa.int64()), bands, pa.array(sketches, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.StructArray.from_arrays(columns, ["fingerprint", "n", "bands", "sketch", "simhash"])
 
     return described(text)
 
@@ -178,8 +186,23 @@ def _within_many(members: DataFrame, least: float) -> DataFrame:
     return members.groupBy("held", "i", "j").applyInArrow(linked, "a long, b long")
 
 
+def _by_simhash(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join distinct sets (fingerprint, simhash) whose SimHashes differ in at most three bits.
+
+    The sets of one SimHash hang on the first of them, and links of SimHashes join those firsts.
+    """
+    firsts = stored(sets.groupBy("simhash").agg(F.min("fingerprint").alias("first"), F.count("*").alias("n")), "simhashes")
+    every = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt")
+    salted = firsts.filter("n > 1").select("simhash", "first", every)
+    members = sets.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS))).join(salted, ["simhash", "salt"])
+    own = members.filter("first <> fingerprint").select(F.col("first").alias("a"), F.col("fingerprint").alias("b"))
+    a, b = (firsts.select(F.col("simhash").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab")
+    between = simhash.links(firsts.select(F.col("simhash").alias("fingerprint"))).join(a, "a").join(b, "b")
+    return own.union(between.select("a_first", "b_first"))
+
+
 def candidates(sets: DataFrame, least: float) -> DataFrame:
-    """Distinct sets (fingerprint, bands, sketch) to links (a, b) of those that share a key and are probably alike."""
+    """Distinct sets (fingerprint, bands, sketch, simhash) to links (a, b) of those with close SimHashes, or with a shared key and probably alike."""
     salt = F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).alias("salt")
     keyed = sets.select("fingerprint", F.posexplode("bands").alias("band", "held")).select("fingerprint", F.xxhash64("band", "held").alias("held"), salt)
     # Keys that the very same sets share are one; copies with a word changed share most of theirs.
@@ -195,7 +218,8 @@ def candidates(sets: DataFrame, least: float) -> DataFrame:
     chunk = F.pmod(F.xxhash64("fingerprint", F.lit(1)), pieces)
     many = members.filter(F.col("n") > FEW).select("held", "fingerprint", "sketch", _tiles(chunk, pieces).alias("tile"))
     large = _within_many(many.select("held", "tile.i", "tile.j", "fingerprint", "sketch"), bound)
-    return _within_few(few, bound).union(large).distinct()
+    close = _by_simhash(sets.filter(F.size("bands") > 0).select("fingerprint", "simhash"))
+    return _within_few(few, bound).union(large).union(close).distinct()
 
 
 def clusters(sets: DataFrame, least: float) -> DataFrame:
@@ -223,8 +247,8 @@ def links(docs: DataFrame, rows: DataFrame, text: str, key: str, size: int, leas
     """Links (a, b) of set digests that join all sets of at least the similarity."""
     digest = F.xxhash64(text_of(text))
     first = F.min(F.struct(F.isnull("_key").alias("none"), "_key", "_digest")).alias("first")
-    once = stored(rows.groupBy("fingerprint").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
-    held = stored(once.select("fingerprint", "first", "n").join(clusters(once.select("fingerprint", "bands", "sketch"), least), "fingerprint"), "clusters")
+    once = stored(rows.groupBy("fingerprint").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("simhash").alias("simhash")), "sets")
+    held = stored(once.select("fingerprint", "first", "n").join(clusters(once.select("fingerprint", "bands", "sketch", "simhash"), least), "fingerprint"), "clusters")
     pieces = F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / SHINGLES)).cast("long")
     # Only clusters of more than a chunk: at most one for every SETS sets or SHINGLES shingles.
     large = held.groupBy("cluster").agg(pieces.alias("pieces")).filter("pieces > 1")

@@ -119,6 +119,15 @@ def _fingerprints(texts: list[str], size: int) -> np.ndarray:
     return found
 
 
+def of_hashes(parts: list[np.ndarray]) -> int:
+    """The SimHash, as a signed long, of a text whose shingle hashes are at hand."""
+    counts, total = np.zeros((1, BITS), np.int64), 0
+    for part in parts:
+        counts += _bit_counts(part, np.zeros(1, np.int64))
+        total += len(part)
+    return int(_pack(counts, np.array([total]))[0])
+
+
 def fingerprint(text: Column, size: int = 3) -> Column:
     """The SimHash of a text column as a signed long; ``size`` words a shingle."""
 
