@@ -92,6 +92,32 @@ def test_trie_bursts_and_spills(k):
     assert got == expected and len(rows) > 3
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_task_holds_and_tells_a_bounded_part(monkeypatch, k):
+    """Runs leave in small batches, texts are scanned in small portions, and the trie stays near its bound within one call."""
+    monkeypatch.setattr(phrases, "TOLD", 64)
+    monkeypatch.setattr(phrases, "SCANNED", 500, raising=False)
+    random = np.random.default_rng(k)
+    own = [" ".join(f"w{i}" for i in random.integers(0, 400, 60)) + "." for _ in range(100)] + ["", "."]
+    counter, most = phrases.Counter(k, None, entries=300, words=1000, burst=50), 0
+    rows = []
+    for batch in counter.read("en", pa.array(own)):
+        most = max(most, sum(t.entries for t in counter.tries.values()))
+        rows.append(batch)
+    most = max(most, sum(t.entries for t in counter.tries.values()))
+    rows += list(counter.rest())
+    got = Counter()
+    for batch in rows:
+        for r in batch.to_pylist():
+            got[f"{r['prefix']} {r['last']}" if k > 1 else r["last"]] += r["n"]
+    expected = Counter()
+    for text in own:
+        w = text.strip(".").split()
+        expected.update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+    assert got == expected
+    assert max(b.num_rows for b in rows) <= 64 and most <= 300 + 64
+
+
 def test_marks(spark):
     held = [("en", f"w{i} x{i}") for i in range(3000)]
     marks = phrases.marks_of(spark.createDataFrame(held, "lang string, phrase string"))

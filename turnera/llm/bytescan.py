@@ -47,10 +47,12 @@ def collected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         held.append(batch)
         total += batch.nbytes
         if total >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, total = [], 0
+            whole, held, total = pa.Table.from_batches(held).combine_chunks(), [], 0  # the parts go before the whole is read
+            yield from whole.to_batches()
+            del whole
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        whole, held = pa.Table.from_batches(held).combine_chunks(), []
+        yield from whole.to_batches()
 
 
 def begins(solid: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -11,7 +11,8 @@ In a task, phrases are counted in a trie over the task's own word ids.  Its uppe
 on one word each; below them hang hash containers of the remaining words, packed into one
 number.  A container that grows beyond ``BURST`` bursts into a branch with a container for each
 next word.  When the trie holds more than ``ENTRIES`` phrases, its fullest subtrees are spilled
-whole, each as a run sorted by its words' ids, until half are left.  Runs are merged by prefix, all words of
+whole, each as a run sorted by its words' ids, until half are left.  A run leaves container by container,
+in batches of ``TOLD`` rows, and no longer holds what has left.  Runs are merged by prefix, all words of
 the phrase but the last: a shuffle partition takes whole prefixes.  A prefix that holds more
 than 1 / ``PIECES`` of the occurrences which the level before has counted (at most ``PIECES``
 do, and are broadcast) is dealt into pieces by the last word.
@@ -36,8 +37,8 @@ from turnera.llm.common import ready, require, stored, text_of
 
 #: Phrases in a container before it bursts, and phrases and distinct words that a task holds.
 BURST, ENTRIES, WORDS = 1 << 12, 1 << 20, 1 << 19
-#: Rows of a batch that leaves a task, and bytes of text that are read together.
-TOLD, TOGETHER = 1 << 15, 16 << 20
+#: Rows of a batch that leaves a task at most, bytes of text that are read together, and that are cut into words at once.
+TOLD, TOGETHER, SCANNED = 1 << 15, 16 << 20, 1 << 20
 #: Bits of a word id within a packed number; three ids fit.
 ID_BITS = 21
 #: Bits for each phrase of a bit table, and bits of a table at most (64 MB).
@@ -57,12 +58,17 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, A-Z lower-cased, and the number of the piece each lies in."""
-    data, offsets = bytescan.joined(texts)
-    kind = CLASSES[data]
-    solid = kind == WORD
-    starts = np.flatnonzero(bytescan.begins(solid, offsets))
-    pieces = np.cumsum(kind == BREAK)[starts] + np.searchsorted(offsets[1:], starts, "right") if len(starts) else starts
-    return bytescan.cut(bytescan.LOWER[data], solid, starts), pieces
+    words, pieces, before = [], [], 0
+    for portion in bytescan.portions(texts, SCANNED):  # what a scan needs for each byte is many times the text
+        data, offsets = bytescan.joined(portion)
+        kind = CLASSES[data]
+        solid = kind == WORD
+        starts = np.flatnonzero(bytescan.begins(solid, offsets))
+        breaks = np.cumsum(kind == BREAK, dtype=np.int32)
+        pieces.append(breaks[starts] + np.searchsorted(offsets[1:], starts, "right") + before)
+        words.append(bytescan.cut(bytescan.LOWER[data], solid, starts))
+        before += len(portion) + int(breaks[-1] if len(breaks) else 0)
+    return (pa.concat_arrays(words), np.concatenate(pieces)) if words else (pa.array([], pa.binary()), np.zeros(0, np.int64))
 
 
 def mixed(hashes: list[np.ndarray]) -> np.ndarray:
@@ -145,33 +151,30 @@ class Trie:
         return len(node) if isinstance(node, dict) else sum(map(self.size, node[0].values()))
 
     def spilled(self, keep: int) -> Iterator[tuple[list[int], list[int]]]:
-        """Take the fullest subtrees out, as sorted runs, until at most ``keep`` phrases stay."""
+        """Take the fullest subtrees out, as sorted runs in parts, until at most ``keep`` phrases stay."""
         if isinstance(self.root, dict) or keep == 0:
-            yield self._run(self.root, ())
-            self.root, self.entries = {}, 0
+            node, self.root, self.entries = self.root, {}, 0
+            yield from self._run(node, 0, self.k)
             return
         sizes = {word: self.size(child) for word, child in self.root[0].items()}
         for word in sorted(sizes, key=lambda w: -sizes[w]):
             if self.entries <= keep:
                 return
             self.entries -= sizes[word]
-            yield self._run(self.root[0].pop(word), (word,))
+            yield from self._run(self.root[0].pop(word), word, self.k - 1)
 
-    def _run(self, node: dict | list, path: tuple[int, ...]) -> tuple[list[int], list[int]]:
-        """All phrases of a subtree in order, packed whole, and their counts."""
+    def _run(self, node: dict | list, path: int, left: int) -> Iterator[tuple[list[int], list[int]]]:
+        """All phrases of a subtree in order, packed whole, and their counts, a container at a time; empties the subtree."""
         if isinstance(node, dict):
-            head = 0
-            for word in path:
-                head = head << ID_BITS | word
-            head <<= ID_BITS * (self.k - len(path))
-            keys = sorted(node)
-            return [head | key for key in keys], [node[key] for key in keys]
-        keys, counts = [], []
+            head, keys = path << (ID_BITS * left), sorted(node)
+            counts = list(map(node.__getitem__, keys))
+            node.clear()
+            for start in range(0, len(keys), TOLD):
+                part = slice(start, start + TOLD)
+                yield [head | key for key in keys[part]] if head else keys[part], counts[part]
+            return
         for word in sorted(node[0]):
-            own, n = self._run(node[0][word], (*path, word))
-            keys += own
-            counts += n
-        return keys, counts
+            yield from self._run(node[0].pop(word), path << ID_BITS | word, left - 1)
 
 
 class Counter:
@@ -189,18 +192,23 @@ class Counter:
 
     def read(self, language: str, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         """Count the texts; give the runs that had to leave."""
+        first, rest, n = self._phrases(language, texts)
+        for start in range(0, len(n), TOLD):  # numbers become objects slice by slice, and the trie never holds much more than it may
+            part = slice(start, start + TOLD)
+            self.tries.setdefault(language, Trie(self.k, self.burst)).add(first[part], rest[part], n[part])
+            if sum(t.entries for t in self.tries.values()) > self.entries:
+                yield from self._spilled(1, 2)
+        if len(self.words) > self.most_words:
+            yield from self.rest()
+
+    def _phrases(self, language: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' distinct phrases that may be frequent, and their occurrences."""
         words, pieces = words_of(texts)
         coded = words.dictionary_encode()
-        local = self._local(coded.dictionary.to_pylist())
-        ids = local[coded.indices.to_numpy()]
+        del words
+        ids = self._local(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         at = self._candidates(language, ids, pieces)
-        if len(at):
-            trie = self.tries.setdefault(language, Trie(self.k, self.burst))
-            trie.add(*self._distinct(ids, at))
-        if len(self.words) > self.most_words:
-            yield from self.rest()
-        elif sum(t.entries for t in self.tries.values()) > self.entries:
-            yield from self._spilled(1, 2)
+        return self._distinct(ids, at) if len(at) else (at, at, at)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self._spilled(0, 1)
@@ -208,15 +216,15 @@ class Counter:
 
     def _spilled(self, share: int, of: int) -> Iterator[pa.RecordBatch]:
         """Runs behind each other, in batches of rows, until a share of each trie is left."""
-        held = pa.array(self.words, pa.binary())
+        held = pa.array(self.words, pa.binary()).cast(pa.string())
         for name, trie in self.tries.items():
             keys, counts = [], []
             for own, n in trie.spilled(trie.entries * share // of):
-                keys += own
-                counts += n
-                if len(keys) >= TOLD:
+                if len(keys) + len(own) > TOLD:
                     yield self._rows(name, keys, counts, held)
                     keys, counts = [], []
+                keys += own
+                counts += n
             if keys:
                 yield self._rows(name, keys, counts, held)
 
@@ -261,13 +269,14 @@ class Counter:
         return first[starts], rest[starts], np.diff(starts, append=len(first))
 
     def _rows(self, language: str, keys: list[int], counts: list[int], held: pa.Array) -> pa.RecordBatch:
-        low = (1 << ID_BITS) - 1
-        columns = []
-        for i in range(self.k):
-            shift = ID_BITS * (self.k - 1 - i)
-            columns.append(held.take(pa.array([key >> shift & low for key in keys], pa.int64())).cast(pa.string()))
-        prefix = pc.binary_join_element_wise(*columns[:-1], " ") if self.k > 1 else pa.array([""] * len(keys), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([language] * len(keys), pa.string()), prefix, columns[-1], pa.array(counts, pa.int64())], ["lang", "prefix", "last", "n"])
+        low, three = (1 << ID_BITS) - 1, (1 << 3 * ID_BITS) - 1
+        rest = np.array(keys if self.k < 4 else [key & three for key in keys], np.int64)
+        ids = [rest >> (ID_BITS * (min(self.k, 3) - 1 - i)) & low for i in range(min(self.k, 3))]
+        if self.k == 4:  # the first of four ids is beyond 64 bits
+            ids.insert(0, np.array([key >> 3 * ID_BITS for key in keys], np.int64))
+        columns = [held.take(pa.array(own)) for own in ids]
+        prefix = pc.binary_join_element_wise(*columns[:-1], " ") if self.k > 1 else pa.repeat("", len(keys))
+        return pa.RecordBatch.from_arrays([pa.repeat(language, len(keys)), prefix, columns[-1], pa.array(counts, pa.int64())], ["lang", "prefix", "last", "n"])
 
 
 # --- counts over all documents -----------------------------------------------------------------
