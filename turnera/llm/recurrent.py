@@ -98,19 +98,28 @@ def _follow(parts: tuple[np.ndarray, ...], words: np.ndarray, state: np.ndarray)
     return state
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place; ``held`` is room of the same size."""
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+    logits -= np.log(np.exp(logits, out=held).sum(axis=1, keepdims=True))
+    return np.exp(logits, out=logits)
 
 
 def _by_class(ids: np.ndarray):
-    """(class, positions of the targets that are its words) for each class that occurs."""
+    """Positions of the targets that are frequent words, ordered by class, and (class, part of them) for each class that occurs."""
     words = np.flatnonzero(ids < FREQUENT)
     order = words[np.argsort(ids[words], kind="stable")]
     classes = ids[order] // MEMBERS
     starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]]) if len(order) else np.zeros(0, int)
-    return [(int(classes[a]), order[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(order)])]
+    return order, [(int(classes[a]), slice(int(a), int(b))) for a, b in zip(starts, np.r_[starts[1:], len(order)])]
+
+
+def _member_logits(weights: Weights, states: np.ndarray, parts: list[tuple[int, slice]], logits: np.ndarray) -> np.ndarray:
+    """Logits of the members of each state's class; states are ordered by class."""
+    for c, part in parts:
+        np.matmul(states[part], weights["word_w"][c], out=logits[part])
+        logits[part] += weights["word_b"][c]
+    return logits
 
 
 def _picked(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
@@ -131,9 +140,11 @@ def has_small_logits(weights: Weights) -> bool:
 
 def log_probabilities(weights: Weights, states: np.ndarray, ids: np.ndarray, small: bool = False) -> np.ndarray:
     """Natural log probability of each target's class and, for a frequent word, of the word in it."""
-    logs = _picked(states @ weights["class_w"] + weights["class_b"], class_of(ids), small)
-    for c, at in _by_class(ids):
-        logs[at] += _picked(states[at] @ weights["word_w"][c] + weights["word_b"][c], ids[at] - c * MEMBERS, small)
+    logits = states @ weights["class_w"]
+    logits += weights["class_b"]
+    logs = _picked(logits, class_of(ids), small)
+    order, parts = _by_class(ids)
+    logs[order] += _picked(_member_logits(weights, states[order], parts, np.empty((len(order), MEMBERS), np.float32)), ids[order] % MEMBERS, small)
     return logs
 
 
@@ -148,6 +159,7 @@ class Trainer:
         self.squares = {n: np.full(w.shape, 1e-4, np.float32) for n, w in weights.items()}
         self.rate = rate
         self.words = 0
+        self.size: tuple[int, int] | None = None
 
     def learn(self, documents: list[np.ndarray], first: int) -> None:
         """Run through all documents once, in consecutive pieces of ``STEPS`` words, the state carried from piece to piece."""
@@ -163,63 +175,105 @@ class Trainer:
 
     def _piece(self, inputs, targets, real, carried, state):
         w = self.weights
-        befores, kept, states = [], [], []
+        steps, lanes = inputs.shape
+        room = self._room(steps, lanes)
         fresh = (carried == 0).any(axis=1)
-        for t, row in enumerate(inputs):
+        befores, states, recurs, candidates = (room[n] for n in ("befores", "states", "recurs", "candidates"))
+        gates = np.take(w["inputs"], inputs, axis=0, out=room["gates"], mode="clip")
+        # What a step reads lies contiguous: its loops over so few lanes cost more than their arithmetic.
+        boths, lasts = gates[:, :, : 2 * HIDDEN].copy(), gates[:, :, 2 * HIDDEN :].copy()
+        for t, (both, candidate, own) in enumerate(zip(boths, candidates, recurs)):
             if fresh[t]:
                 state = state * carried[t][:, None]
-            befores.append(state)
-            state, gates = _advance(w, w["inputs"][row], state)
-            kept.append(gates)
-            states.append(state)
-        flat_states, ids, share = np.concatenate(states), targets.ravel(), real.ravel().astype(np.float32)
+            befores[t] = state
+            np.matmul(state, w["recur"], out=own)
+            both += own[:, : 2 * HIDDEN]
+            both *= 0.5
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
+            np.multiply(both[:, HIDDEN:], own[:, 2 * HIDDEN :], out=candidate)
+            candidate += lasts[t]
+            np.tanh(candidate, out=candidate)
+            state = np.subtract(state, candidate, out=states[t])
+            state *= both[:, :HIDDEN]
+            state += candidate
+        flat_states, ids, share = states.reshape(-1, HIDDEN), targets.ravel(), real.ravel().astype(np.float32)
         share = share / max(1.0, float(share.sum()))
         grads = {}
-        errors = np.exp(_log_softmax(flat_states @ w["class_w"] + w["class_b"]))
+        errors = np.matmul(flat_states, w["class_w"], out=room["classes"])
+        errors += w["class_b"]
+        errors = _softmax(errors, room["held"])
         errors[np.arange(len(ids)), class_of(ids)] -= 1
         errors *= share[:, None]
         grads["class_w"], grads["class_b"] = flat_states.T @ errors, errors.sum(axis=0)
         back = errors @ w["class_w"].T
         grads["word_w"], grads["word_b"] = np.zeros_like(w["word_w"]), np.zeros_like(w["word_b"])
-        for c, at in _by_class(ids):
-            own_states = flat_states[at]
-            own = np.exp(_log_softmax(own_states @ w["word_w"][c] + w["word_b"][c]))
-            own[np.arange(len(at)), ids[at] - c * MEMBERS] -= 1
-            own *= share[at, None]
-            grads["word_w"][c], grads["word_b"][c] = own_states.T @ own, own.sum(axis=0)
-            back[at] += own @ w["word_w"][c].T
-        back = back.reshape(len(inputs), -1, HIDDEN)
-        gate_grads, throughs = np.empty((2, len(inputs), inputs.shape[1], 3 * HIDDEN), np.float32)
-        later = np.zeros_like(state)
-        for t in range(len(inputs) - 1, -1, -1):
-            update, reset, candidate, inner = kept[t]
-            total = back[t] + later
-            inside = total * (1 - update) * (1 - candidate * candidate)
-            gate_grads[t, :, :HIDDEN] = total * (befores[t] - candidate) * update * (1 - update)
-            gate_grads[t, :, HIDDEN : 2 * HIDDEN] = inside * inner * reset * (1 - reset)
-            gate_grads[t, :, 2 * HIDDEN :] = inside
-            throughs[t] = gate_grads[t]
-            throughs[t, :, 2 * HIDDEN :] *= reset
-            later = total * update + throughs[t] @ w["recur"].T
+        order, parts = _by_class(ids)
+        own_states, through = flat_states[order], np.empty((len(order), HIDDEN), np.float32)
+        members = _member_logits(w, own_states, parts, room["members"][: len(order)])
+        members = _softmax(members, room["members_held"][: len(order)])
+        members[np.arange(len(order)), ids[order] % MEMBERS] -= 1
+        members *= share[order, None]
+        for c, part in parts:
+            own = members[part]
+            grads["word_w"][c], grads["word_b"][c] = own_states[part].T @ own, own.sum(axis=0)
+            np.matmul(own, w["word_w"][c].T, out=through[part])
+        back[order] += through
+        back = back.reshape(steps, lanes, HIDDEN)
+        throughs, insides = room["throughs"], room["insides"]
+        update, reset, inner = boths[:, :, :HIDDEN].copy(), boths[:, :, HIDDEN:].copy(), recurs[:, :, 2 * HIDDEN :].copy()
+        unmoved, unreset, slope = 1 - update, 1 - reset, 1 - candidates * candidates
+        moved = befores - candidates
+        later, held, recur = np.zeros((lanes, HIDDEN), np.float32), np.empty((lanes, HIDDEN), np.float32), w["recur"].T
+        for t in range(steps - 1, -1, -1):
+            total, inside, through, stays = back[t], insides[t], throughs[t], update[t]
+            total += later
+            np.multiply(total, unmoved[t], out=inside)
+            inside *= slope[t]
+            np.multiply(total, moved[t], out=held)
+            held *= stays
+            np.multiply(held, unmoved[t], out=through[:, :HIDDEN])
+            np.multiply(inside, inner[t], out=held)
+            held *= reset[t]
+            np.multiply(held, unreset[t], out=through[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(inside, reset[t], out=through[:, 2 * HIDDEN :])
+            np.matmul(through, recur, out=later)
+            total *= stays
+            later += total
             if fresh[t]:
                 later *= carried[t][:, None]
-        grads["recur"] = np.concatenate(befores).T @ throughs.reshape(-1, 3 * HIDDEN)
+        grads["recur"] = befores.reshape(-1, HIDDEN).T @ throughs.reshape(-1, 3 * HIDDEN)
+        throughs[:, :, 2 * HIDDEN :] = insides  # from here on the gradients of the gates
         rows = inputs.ravel()
         order = np.argsort(rows, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-        sums = np.add.reduceat(gate_grads.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+        sums = np.add.reduceat(throughs.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
         self._step("inputs", sums, rows[order][starts])
         for name, grad in grads.items():
             self._step(name, grad, ...)
-        return state
+        return state.copy()
+
+    def _room(self, steps: int, lanes: int) -> dict[str, np.ndarray]:
+        """Arrays that every piece of this size uses again."""
+        if (steps, lanes) != self.size:
+            wide, narrow, flat_size = (steps, lanes, 3 * HIDDEN), (steps, lanes, HIDDEN), steps * lanes
+            shapes = {n: narrow for n in ("befores", "states", "candidates", "insides")} | {n: wide for n in ("gates", "recurs", "throughs")}
+            shapes |= {n: (flat_size, CLASSES + RARE) for n in ("classes", "held")} | {n: (flat_size, MEMBERS) for n in ("members", "members_held")}
+            self.size, self.room = (steps, lanes), {n: np.empty(shape, np.float32) for n, shape in shapes.items()}
+        return self.room
 
     def _step(self, name: str, grad: np.ndarray, at) -> None:
-        norm = float(np.sqrt((grad * grad).sum()))
+        held = grad * grad
+        norm = float(np.sqrt(held.sum()))
         if norm > 1:
             grad = grad / norm
-        squares = self.squares[name][at] + grad * grad
-        self.squares[name][at] = squares
-        self.weights[name][at] -= self.rate * grad / np.sqrt(squares)
+            np.multiply(grad, grad, out=held)
+        held += self.squares[name][at]
+        self.squares[name][at] = held
+        change = self.rate * grad
+        change /= np.sqrt(held, out=held)
+        self.weights[name][at] -= change
 
 
 # --- scoring --------------------------------------------------------------------------
