@@ -144,7 +144,7 @@ def log_probabilities(weights: Weights, states: np.ndarray, ids: np.ndarray, sma
     logits += weights["class_b"]
     logs = _picked(logits, class_of(ids), small)
     order, parts = _by_class(ids)
-    logs[order] += _picked(_member_logits(weights, states[order], parts, np.empty((len(order), MEMBERS), np.float32)), ids[order] % MEMBERS, small)
+    logs[order] += _picked(_member_logits(weights, states[order], parts, np.empty((len(order), MEMBERS), logits.dtype)), ids[order] % MEMBERS, small)
     return logs
 
 
